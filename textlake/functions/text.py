@@ -13,6 +13,11 @@ _SPACE = r"[\s\p{Z}]+"
 _NOT_WORD = r"[^\p{L}\p{N}_\s]"
 
 
+def let(c: Column, body) -> Column:
+    """``body`` of a column that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Collapse runs of white space and trim."""
     return F.trim(F.regexp_replace(c, _SPACE, " "))
@@ -62,39 +67,47 @@ def is_false_word(c: Column) -> Column:
     return F.coalesce(F.upper(F.trim(c)).isin(vocab.FALSE_WORDS), F.lit(False))
 
 
-def _plain_number(x: Column, text: Column) -> Column:
-    whole = x == F.floor(x)
+def plain_number(x: Column, text: Column) -> Column:
+    """Text of a number without useless decimals; ``text`` when it is no number."""
     return (F.when(x.isNull(), text)
-            .when(whole, F.when(x == 0, F.lit("0")).otherwise(number_format(x, 0)))
+            .when(x == F.floor(x), F.when(x == 0, F.lit("0")).otherwise(number_format(x, 0)))
             .otherwise(number_format(x, 2)))
 
 
-def format_value(field: str, c: Column, style: str = "render") -> Column:
-    """Text of a value inside a sentence.
+def is_percent(field: str) -> bool:
+    return "percent" in field.lower() or "%" in field
 
-    ``style`` decides percent fields: ``render`` one decimal and ``%``, ``raw`` the
-    number and ``%``, ``sentence`` two decimals and ``%``. NULL reads ``NULL``.
-    """
-    text = F.coalesce(c.cast("string"), F.lit("NULL"))
-    x = to_number(text)
-    plain = _plain_number(x, text)
-    if "percent" not in field.lower() and "%" not in field:
+
+def number_text(field: str, x: Column, text: Column, style: str = "render") -> Column:
+    """Text of a value whose number is already read into ``x``."""
+    plain = plain_number(x, text)
+    if not is_percent(field):
         return plain
     scaled = F.when(x.between(0, 1), x * 100).when(x > 1, x)
     if style == "raw":
-        shown = F.concat(_plain_number(scaled, text), F.lit("%"))
+        shown = F.concat(plain_number(scaled, text), F.lit("%"))
     else:
         shown = F.concat(number_format(scaled, 1 if style == "render" else 2), F.lit("%"))
     return F.when(scaled.isNotNull(), shown).otherwise(plain)
 
 
+def format_value(field: str, c: Column, style: str = "render") -> Column:
+    """Text of a value inside a sentence.
+
+    ``style`` decides percent fields: ``render`` one decimal and ``%``, ``raw`` the
+    number and ``%``, ``sentence`` two decimals and ``%``. NULL reads ``NULL``.
+    """
+    text = F.coalesce(c.cast("string"), F.lit("NULL"))
+    return let(F.struct(text.alias("t"), to_number(text).alias("x")),
+               lambda v: number_text(field, v["x"], v["t"], style))
+
+
 def format_column_value(field: str, c: Column, null_mode: str = "explicit") -> Column:
     """As ``format_value`` in sentence style; missing words follow the mode, leading zeros stay."""
     text = F.coalesce(c.cast("string"), F.lit("NULL"))
     missing = F.lit("NULL" if null_mode == "explicit" else "not specified")
     formatted = format_value(field, text, style="sentence")
-    percent = "percent" in field.lower() or "%" in field
-    if not percent:
+    if not is_percent(field):
         keep = text.startswith("0") & ~text.contains(".")
         formatted = F.when(keep, text).otherwise(formatted)
     return F.when(F.upper(text).isin(vocab.NULL_WORDS_SENTENCE), missing).otherwise(formatted)
@@ -227,9 +240,16 @@ def is_raw_sql_text(c: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-# any of these makes clean_sentence worth running in full
-_CLEAN_TRIGGER = (r"(?i)\||\(Hash:|[\s\p{Z}]{2}|[\t\n\r\x0B\f]|row value for|indicates that|the value"
-                  r"|recorded as|Name\s+of|Percent \(|Count \(|Enrollment \(")
+# lower-case marks of a sentence that clean_sentence may change
+_CLEAN_MARKS = ["|", "(hash:", "  ", "row value for", "indicates that", "the value", "recorded as", "name",
+                "percent (", "count (", "enrollment ("]
+
+
+def _may_change(c: Column) -> Column:
+    """Cheap test that spares most sentences the full rewrite; any other character than plain ASCII passes it."""
+    low = F.lower(c)
+    return reduce(lambda a, b: a | b, [low.contains(m) for m in _CLEAN_MARKS],
+                  c.rlike(r"[\x00-\x1f]") | (F.length(c) != F.octet_length(c)))
 
 
 def clean_sentence(c: Column) -> Column:
@@ -237,15 +257,9 @@ def clean_sentence(c: Column) -> Column:
     text = strip_tags(c)
     for pattern, words in vocab.CLEANUPS:
         text = F.regexp_replace(text, "(?i)" + pattern, words)
-    cleaned = F.when(c.rlike(_CLEAN_TRIGGER), squeeze(text)).otherwise(F.trim(c))
-    return (F.when(cleaned == "", cleaned)
-            .when(~cleaned.rlike(r"[.!?]$"), F.concat(cleaned, F.lit(".")))
-            .when(cleaned.endswith(".."), _drop_last(cleaned))
-            .otherwise(cleaned))
-
-
-def _drop_last(c: Column) -> Column:
-    return F.substring(c, F.lit(1), F.length(c) - 1)
+    cleaned = F.when(_may_change(c), squeeze(text)).otherwise(F.trim(c))
+    closed = F.regexp_replace(cleaned, r"([^.!?])$", "$1.")
+    return F.regexp_replace(closed, r"\.\.$", ".")
 
 
 def clean_malformed_variation(c: Column) -> Column:

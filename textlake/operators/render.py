@@ -102,61 +102,86 @@ def fill_placeholders_map(pattern: Column, row: Column) -> Column:
         quoted(e["value"], r"([\\$])", r"\\$1")))
 
 
-def formatted(df: DataFrame, field: str) -> Column:
+def _is_text(dtype: T.DataType) -> bool:
+    return not isinstance(dtype, T.NumericType)
+
+
+def formatted(df: DataFrame, field: str, number: Column | None = None) -> Column:
     """Value text of a column inside a sentence; typed numbers skip text parsing."""
     dtype, c = df.schema[field].dataType, F.col(field)
-    percent = "percent" in field.lower() or "%" in field
-    if not percent and isinstance(dtype, (T.DoubleType, T.FloatType)):
-        x = c.cast("double")
-        whole = F.when(x == 0, "0").otherwise(X.number_format(x, 0))
-        return F.when(x.isNull(), "NULL").when(x == F.floor(x), whole).otherwise(X.number_format(x, 2))
-    if not percent and isinstance(dtype, T.IntegralType):
+    if isinstance(dtype, T.IntegralType) and not X.is_percent(field):
         return F.coalesce(c.cast("string"), F.lit("NULL"))
-    return X.format_value(field, value_text(c, dtype))
+    if isinstance(dtype, T.NumericType):
+        return X.number_text(field, c.cast("double"), F.lit("NULL"))
+    text = F.coalesce(value_text(c, dtype), F.lit("NULL"))
+    return X.format_value(field, text) if number is None else X.number_text(field, number, text)
 
 
-def slot_sentence(df: DataFrame, t: Template, key: Column, seed: str, ordinal: Column | None = None,
-                  clean: bool = True) -> Column:
-    """Sentence of one bank slot for the row."""
-    label = F.lit(t.field or "static")
-
-    def worded(pool: tuple[str, ...]) -> Column:
-        if ordinal is None:
-            index = draw(len(pool), F.lit(seed), key, label)
-        else:
-            index = F.pmod(ordinal + draw(len(pool), F.lit(seed), label), F.lit(len(pool))).cast("int")
-        patterns = [normalize_pattern(p) for p in pool]
-        used = {f: formatted(df, f) for f in df.columns if any(placeholder(f) in p for p in patterns)}
-        return fill_placeholders(_choose(patterns, index), used)
-
-    if t.field is None:
-        sentence = worded(t.std)
-    elif not t.std:
-        sentence = F.concat(F.lit(f"The {t.field} value is "), formatted(df, t.field), F.lit("."))
+def _worded(pool: tuple[str, ...], fields: list[str], label: str, key: Column, seed: str,
+            ordinal: Column | None) -> Column:
+    """A wording of the pool with the row's formatted values (columns ``_v_<field>``) put in."""
+    if ordinal is None:
+        index = draw(len(pool), F.lit(seed), key, F.lit(label))
     else:
-        raw = F.coalesce(value_text(F.col(t.field), df.schema[t.field].dataType), F.lit("NULL"))
-        pool = choose_pool(raw, t.klass, bool(t.counter), bool(t.null))
-        sentence = worded(t.std)
-        if t.klass != "STANDARD":
-            chain = F.when(pool == "std", sentence)
-            if t.counter:
-                chain = chain.when(pool == "counter", worded(t.counter))
-            if t.null:
-                chain = chain.when(pool == "null", worded(t.null))
-            sentence = chain
-    if t.synonyms:
-        values = [formatted(df, f) for f in df.columns]
-        sentence = lexical_vary(sentence, t.synonyms, values, seed, key, ordinal)
-    return X.clean_sentence(sentence) if clean else sentence
+        index = F.pmod(ordinal + draw(len(pool), F.lit(seed), F.lit(label)), F.lit(len(pool))).cast("int")
+    patterns = [normalize_pattern(p) for p in pool]
+    used = {f: F.col(f"_v_{f}") for f in fields if any(placeholder(f) in p for p in patterns)}
+    return fill_placeholders(_choose(patterns, index), used)
+
+
+def _slot_sentence(t: Template, fields: list[str], key: Column, seed: str, ordinal: Column | None) -> Column:
+    label = t.field or "static"
+    if t.field is not None and not t.std:
+        return F.concat(F.lit(f"The {t.field} value is "), F.col(f"_v_{t.field}"), F.lit("."))
+    sentence = _worded(t.std, fields, label, key, seed, ordinal)
+    if t.field is None or t.klass == "STANDARD":
+        return sentence
+    chain = F.when(F.col(f"_pool_{t.field}") == "std", sentence)
+    for name in ("counter", "null"):
+        if t.pool(name):
+            chain = chain.when(F.col(f"_pool_{t.field}") == name, _worded(t.pool(name), fields, label, key, seed, ordinal))
+    return chain
+
+
+def word_slots(df: DataFrame, bank: Bank, key: str, seed: str, ordinal: Column | None = None) -> DataFrame:
+    """Add ``_s_<i>``, the filled wording of every slot.
+
+    The steps are separate projections, so that a value, a pool and a sentence are each
+    computed once however often later steps name them.
+    """
+    slots = [t for t in bank if t.field is None or t.field in df.columns]
+    marks = " ".join(normalize_pattern(p) for t in slots for name in ("std", "counter", "null") for p in t.pool(name))
+    fields = [f for f in df.columns if placeholder(f) in marks or any(t.field == f and not t.std for t in slots)
+              or any(t.synonyms for t in slots)]
+    texts = [f for f in fields if _is_text(df.schema[f].dataType)]
+    raw = {t.field: F.coalesce(value_text(F.col(t.field), df.schema[t.field].dataType), F.lit("NULL"))
+           for t in slots if t.field is not None and t.klass != "STANDARD"}
+    out = df.withColumns({f"_n_{f}": X.to_number(value_text(F.col(f), df.schema[f].dataType)) for f in texts})
+    out = out.withColumns({
+        **{f"_v_{f}": formatted(df, f, F.col(f"_n_{f}") if f in texts else None) for f in fields},
+        **{f"_pool_{t.field}": choose_pool(raw[t.field], t.klass, bool(t.counter), bool(t.null))
+           for t in slots if t.field in raw}})
+    k = F.col(key).cast("string")
+    return out.withColumns({f"_s_{i}": _slot_sentence(t, fields, k, seed, ordinal) for i, t in enumerate(slots)})
 
 
 # --- wording variation -------------------------------------------------------------
 
-def _swap(sentence: Column, word: str, repl: str) -> Column:
-    """Replace a whole word, keeping upper, title and lower case."""
-    for found, put in ((word.upper(), repl.upper()), (word.capitalize(), repl.capitalize()), (word.lower(), repl.lower())):
-        sentence = F.regexp_replace(sentence, rf"\b{found}\b", put)
-    return F.regexp_replace(sentence, rf"(?i)\b{word}\b", repl)
+def _swap(sentence: Column, word: str, choices: list[str], index: Column) -> Column:
+    """Replace a whole word by the chosen one, keeping upper, title and lower case."""
+    def chosen(case) -> Column:
+        return F.element_at(F.array(*[F.lit(case(c)) for c in choices]), index + 1)
+    for case in (str.upper, str.capitalize, str.lower):
+        sentence = F.regexp_replace(sentence, F.lit(rf"\b{case(word)}\b"), chosen(case))
+    # mixed case takes the choice as it is written; index 0 is the word itself and changes nothing above
+    return F.when(index == 0, sentence).otherwise(F.regexp_replace(sentence, F.lit(rf"(?i)\b{word}\b"), chosen(str)))
+
+
+def _varier(word: str, choices: list[str], index: Column, held: Column):
+    def vary(s: Column) -> Column:
+        allowed = s.rlike(rf"(?i)\b{word}\b") & ~held.contains(word.lower())
+        return F.when(allowed, _swap(s, word, choices, index)).otherwise(s)
+    return vary
 
 
 def lexical_vary(sentence: Column, synonyms: dict[str, tuple[str, ...]], values: list[Column], seed: str,
@@ -178,11 +203,8 @@ def lexical_vary(sentence: Column, synonyms: dict[str, tuple[str, ...]], values:
         else:
             index = F.pmod(F.floor(ordinal / step), F.lit(n)).cast("int")
         step *= n
-        allowed = sentence.rlike(rf"(?i)\b{word}\b") & ~held.contains(word.lower())
-        chain = F.when(~allowed | (index == 0), sentence)
-        for i, choice in enumerate(choices[1:], 1):
-            chain = chain.when(index == i, _swap(sentence, word, choice))
-        sentence = chain
+
+        sentence = X.let(sentence, _varier(word, choices, index, held))
     return sentence
 
 
@@ -191,6 +213,16 @@ NAME_TAILS = "Code|Name|Number|Type|Status|Count|Grade"
 NAME_HEADS = "Academic|Charter|District|County|School|Free|FRPM|Enrollment|Percent"
 
 
+def _consistent_varier(word: str, choices: list[str], index: Column, held: Column):
+    phrase = rf"(?i)\b{word}\s+(?:{NAME_TAILS})\b|\b(?:{NAME_HEADS})\s+{word}\b"
+
+    def vary(s: Column) -> Column:
+        allowed = ~held.contains(word.lower()) & ~s.rlike(phrase)
+        chosen = F.element_at(F.array(*[F.lit(c) for c in choices]), index + 1)
+        return F.when(allowed, F.regexp_replace(s, F.lit(rf"\b{word}\b"), chosen)).otherwise(s)
+    return vary
+
+
 def lexical_vary_consistent(sentence: Column, synonyms: dict[str, tuple[str, ...]], values: list[Column],
                             seed: str, key: Column) -> Column:
     """One synonym per word for a whole document; also leaves field-name phrases alone."""
@@ -198,12 +230,7 @@ def lexical_vary_consistent(sentence: Column, synonyms: dict[str, tuple[str, ...
     for word, options in synonyms.items():
         choices = [word, *[o for o in options if o != word]]
         index = draw(len(choices), F.lit(seed), key, F.lit(word))
-        phrase = rf"(?i)\b{word}\s+(?:{NAME_TAILS})\b|\b(?:{NAME_HEADS})\s+{word}\b"
-        allowed = ~held.contains(word.lower()) & ~sentence.rlike(phrase)
-        chain = F.when(~allowed | (index == 0), sentence)
-        for i, choice in enumerate(choices[1:], 1):
-            chain = chain.when(index == i, F.regexp_replace(sentence, rf"\b{word}\b", choice))
-        sentence = chain
+        sentence = X.let(sentence, _consistent_varier(word, choices, index, held))
     return sentence
 
 
@@ -257,16 +284,20 @@ def weave_noise(sentences: Column, noise: list[str], x: int, y: int, seed: str,
     n = F.size(sentences)
     q = noise_count(n, x, y)
     bank = F.array(*[F.lit(s) for s in noise])
-    slots = F.sequence(F.lit(0), q - 1)
 
     def noise_at(j: Column) -> Column:
         return F.element_at(bank, draw(len(noise), F.lit(seed), key, F.lit("noise"), j.cast("string")) + 1)
 
+    def first_slot(i: Column) -> Column:
+        return F.floor((i * q + n - 1) / n).cast("int")
+
     def with_noise(s: Column, i: Column) -> Column:
-        mine = F.filter(slots, lambda j: F.floor(j * n / q) == i)
+        # noise sentence j follows data sentence floor(j * n / q)
+        lo, hi = first_slot(i), first_slot(i + 1)
+        mine = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
         return F.concat(F.array(s), F.transform(mine, noise_at))
 
-    return F.when(n > 0, F.flatten(F.transform(sentences, with_noise))).otherwise(sentences)
+    return F.flatten(F.transform(sentences, with_noise))
 
 
 def narrative_text(sentences: Column) -> Column:
@@ -347,9 +378,7 @@ def assemble_document(sentences: Column, seed: str, key: Column, transition_shar
     ``transition_share`` is in tenths. A transition lower-cases the first letter of the
     sentence, or the whole sentence with ``transition_case='all'``.
     """
-    length = draw(3, F.lit(seed), key, F.lit("paragraph")) + 2
-
-    def piece(s: Column, i: Column) -> Column:
+    def piece(s: Column, i: Column, length: Column) -> Column:
         place = F.pmod(i, length)
         slot = i.cast("string")
         wanted = (place > 0) & (draw(10, F.lit(seed), key, F.lit("transition"), slot) < transition_share)
@@ -362,7 +391,8 @@ def assemble_document(sentences: Column, seed: str, key: Column, transition_shar
         gap = F.when(i == 0, "").when(place == 0, "\n\n").otherwise(" ")
         return F.concat(gap, text)
 
-    return F.array_join(F.transform(sentences, piece), "")
+    return X.let(draw(3, F.lit(seed), key, F.lit("paragraph")) + 2, lambda length: F.array_join(
+        F.transform(sentences, lambda s, i: piece(s, i, length)), ""))
 
 
 def closing_sentence(column: str, value: Column, seed: str) -> Column:
@@ -381,10 +411,15 @@ def render_sentences(df: DataFrame, bank: Bank, key: str, seed: str = "s0", no_r
     source, ordinal = df, None
     if no_repeat:
         source, ordinal = number_rows(df, key, out="_ordinal"), F.col("_ordinal")
+    slots = [t for t in bank if t.field is None or t.field in df.columns]
+    worded = word_slots(source, bank, key, seed, ordinal)
     k = F.col(key).cast("string")
-    slots = [slot_sentence(df, t, k, seed, ordinal, clean) for t in bank
-             if t.field is None or t.field in df.columns]
-    return source.select(F.col(key).alias("row_id"), F.array(*slots).alias("sentences"),
+    held = [F.col(f"_v_{f}") for f in df.columns if f"_v_{f}" in worded.columns]
+    varied = worded.withColumns({f"_s_{i}": lexical_vary(F.col(f"_s_{i}"), t.synonyms, held, seed, k, ordinal)
+                                 for i, t in enumerate(slots) if t.synonyms})
+    done = F.array(*[F.col(f"_s_{i}") for i in range(len(slots))])
+    return varied.select(F.col(key).alias("row_id"),
+                         (F.transform(done, X.clean_sentence) if clean else done).alias("sentences"),
                          *[c.alias(name) for name, c in (carry or {}).items()])
 
 
@@ -413,14 +448,13 @@ def render_documents(df: DataFrame, bank: Bank, key: str, table: str, seed: str
 
 def render_consistent(df: DataFrame, bank: Bank, key: str, seed: str = "s0", min_length: int = 15) -> DataFrame:
     """Documents with one synonym per word throughout; short sentences are dropped."""
+    slots = [t for t in bank if t.field is None or t.field in df.columns]
+    worded = word_slots(df, bank, key, seed)
     k = F.col(key).cast("string")
-    values = [formatted(df, f) for f in df.columns]
-    slots = []
-    for t in bank:
-        if t.field is not None and t.field not in df.columns:
-            continue
-        bare = Template(t.field, t.std, t.counter, t.null, {}, t.variation_class)
-        slots.append(X.clean_sentence(lexical_vary_consistent(
-            slot_sentence(df, bare, k, seed, clean=False), t.synonyms, values, seed, k)))
-    kept = F.filter(F.array(*slots), lambda s: F.length(s) > min_length)
-    return df.select(F.col(key).alias("row_id"), kept.alias("sentences"), F.array_join(kept, " ").alias("contents"))
+    held = [F.col(f"_v_{f}") for f in df.columns if f"_v_{f}" in worded.columns]
+    varied = worded.withColumns({f"_s_{i}": lexical_vary_consistent(F.col(f"_s_{i}"), t.synonyms, held, seed, k)
+                                 for i, t in enumerate(slots) if t.synonyms})
+    done = F.array(*[F.col(f"_s_{i}") for i in range(len(slots))])
+    kept = F.filter(F.transform(done, X.clean_sentence), lambda s: F.length(s) > min_length)
+    return (varied.select(F.col(key).alias("row_id"), kept.alias("sentences"))
+            .withColumn("contents", F.array_join("sentences", " ")))

@@ -22,30 +22,44 @@ from textlake.operators.model import RowModel, model_map
 _BINARY = ("BINARY", "NULLABLE_BINARY")
 
 
-def _quote(text: str) -> str:
-    return re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", text)
+# a sentence opens the text or a line, or follows a sentence end or a transition
+_OPEN = r"(?:^|(?<=\n)|(?<=[.!?,]\s))"
+
+
+def _wording(text: str, synonyms: dict[str, tuple[str, ...]], opening: bool) -> str:
+    """Regex of literal text; words that may have been varied match any of their choices.
+
+    A transition may have lower-cased the first letter of an opening.
+    """
+    parts, first = [], opening
+    for token in re.split(r"(\w+)", text):
+        if token.lower() in synonyms:
+            choices = sorted({token.lower(), *synonyms[token.lower()]}, key=lambda w: (-len(w), w))
+            parts.append("(?i:" + "|".join(map(_quote, choices)) + ")")
+        elif first and token[:1].isalpha() and token[0].lower() != token[0].upper():
+            parts.append(f"[{token[0].upper()}{token[0].lower()}]" + _quote(token[1:]))
+        else:
+            parts.append(_quote(token))
+        first = first and not token.strip()
+    return "".join(parts)
 
 
-def _start(text: str) -> str:
-    """Regex of a sentence start; a transition may have lower-cased its first letter."""
-    first = text[:1]
-    if first.isalpha() and first.lower() != first.upper():
-        return f"(?:^|(?<=\\s))[{first.upper()}{first.lower()}]" + _quote(text[1:])
-    return "(?:^|(?<=\\s))" + _quote(text)
+def _quote(text: str) -> str:
+    return re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", text)
 
 
-def _literal_regex(patterns: list[str]) -> str:
-    return "(?:" + "|".join(_start(p) for p in patterns) + r")(?=\s|$)"
+def _literal_regex(patterns: list[str], synonyms) -> str:
+    return _OPEN + "(?:" + "|".join(_wording(p, synonyms, True) for p in patterns) + r")(?=\s|$)"
 
 
-def _value_regexes(patterns: list[str], mark: str) -> list[str]:
+def _value_regexes(patterns: list[str], mark: str, synonyms) -> list[str]:
     """One regex per distinct sentence end, longest starts first."""
     by_end: dict[str, list[str]] = {}
     for p in patterns:
         before, after = p.split(mark, 1)
         by_end.setdefault(after, []).append(before)
-    return ["(?s)(?:" + "|".join(_start(b) for b in sorted(starts, key=len, reverse=True))
-            + ")(.*?)" + _quote(end) + r"(?=\s|$)" for end, starts in by_end.items()]
+    return ["(?s)" + _OPEN + "(?:" + "|".join(_wording(b, synonyms, True) for b in sorted(starts, key=len, reverse=True))
+            + ")(.*?)" + _wording(end, synonyms, False) + r"(?=\s|$)" for end, starts in by_end.items()]
 
 
 def pool_matches(t: Template, contents: Column) -> dict[str, Column]:
@@ -55,7 +69,7 @@ def pool_matches(t: Template, contents: Column) -> dict[str, Column]:
     for pool in ("null", "counter", "std"):
         literal = [p for p in map(normalize_pattern, t.pool(pool)) if mark not in p]
         if literal:
-            out[pool] = contents.rlike(_literal_regex(literal))
+            out[pool] = contents.rlike(_literal_regex(literal, t.synonyms))
     return out
 
 
@@ -70,7 +84,7 @@ def extract_value(t: Template, contents: Column) -> Column:
     for pool, hit in pool_matches(t, contents).items():
         chain = chain.when(hit, F.lit(meaning[pool]).cast("string"))
     with_value = [p for pool in ("std", "counter", "null") for p in map(normalize_pattern, t.pool(pool)) if mark in p]
-    found = [F.nullif(F.regexp_extract(contents, rx, 1), F.lit("")) for rx in _value_regexes(with_value, mark)]
+    found = [F.nullif(F.regexp_extract(contents, rx, 1), F.lit("")) for rx in _value_regexes(with_value, mark, t.synonyms)]
     text = F.coalesce(*found) if found else F.lit(None).cast("string")
     text = F.when(~F.upper(text).isin([w for w in vocab.NULL_WORDS_RENDER if w]), text)
     return chain.otherwise(text)

@@ -37,7 +37,7 @@ def duck(sql: str) -> str:
 
 
 def spark_view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
-    return view(spark, sf_dir, sql.replace("{string}", "string"), *names)
+    return view(spark, sf_dir, sql.replace("{string}", "string"), *names, heavy=True)
 
 
 def profile_rows(spark, sf_dir):

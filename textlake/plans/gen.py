@@ -27,7 +27,7 @@ SENTENCES_SQL = rf"""select doc_id, list_filter(list_transform(regexp_split_to_a
 
 
 def document_sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.split_sentences(F.col("text")).alias("s"))
+    return table(spark, sf, "documents", heavy=True).select("doc_id", X.split_sentences(F.col("text")).alias("s"))
 
 
 @query("gen_1_tags", """select p_partkey, tag, tagged, tag as found, p_name || '.' as plain, 2::integer as n_tags from
@@ -65,7 +65,7 @@ def _(spark, sf):
  case l_suppkey % 5 when 0 then 'counter' when 1 then 'null' else 'std' end as pool, case l_partkey % 4 when 0 then 'It is NULL.' else 'It is [X].' end as pattern
  from lineitem) group by l_orderkey""")
 def _(spark, sf):
-    bank = table(spark, sf, "lineitem").select(
+    bank = table(spark, sf, "lineitem", heavy=True).select(
         "l_orderkey", F.expr("case l_suppkey % 5 when 0 then 'counter' when 1 then 'null' else 'std' end").alias("pool"),
         F.expr("case l_partkey % 4 when 0 then 'It is NULL.' else 'It is [X].' end").alias("pattern"))
     return variation_class(bank, ["l_orderkey"])
@@ -202,7 +202,7 @@ def _(spark, sf):
 @query("gen_14_noise_count", """select l_orderkey, case when y = 0 then 0 else greatest(y, cast(ceil(n * y / cast(x as double)) as integer)) end as noise from (select l_orderkey, count(*) as n,
  cast(1 + l_orderkey % 3 as integer) as x, cast(l_orderkey % 4 as integer) as y from lineitem group by l_orderkey)""")
 def _(spark, sf):
-    n = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    n = table(spark, sf, "lineitem", heavy=True).groupBy("l_orderkey").agg(F.count("*").alias("n"))
     k = F.col("l_orderkey")
     return n.select("l_orderkey", R.noise_count(F.col("n"), (1 + k % 3).cast("int"), (k % 4).cast("int")).alias("noise"))
 
@@ -230,7 +230,7 @@ def _(spark, sf):
 @query("gen_17_format_paragraphs", """select doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: replace(trim(p), chr(10), ' ')),
  lambda p: p <> ''), '#')) as paragraphs from documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(
+    return table(spark, sf, "documents", heavy=True).select("doc_id", F.md5(F.array_join(
         R.format_paragraphs(F.col("text")), "#")).alias("paragraphs"))
 
 

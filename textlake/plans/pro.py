@@ -159,7 +159,7 @@ _SCORES = ", ".join(f"{{'s': {_score(ws)} + {_BONUS[d]}, 'r': {-i}, 'd': '{d}'}}
  (select doc_id, list_max([{_SCORES}]) as b from (select doc_id, {_MIXED.replace('page_id', 'doc_id')} as t from documents))""")
 def _(spark, sf):
     text = F.expr(_MIXED.replace("page_id", "doc_id"))
-    return (table(spark, sf, "documents").select("doc_id", text.alias("t"))
+    return (table(spark, sf, "documents", heavy=True).select("doc_id", text.alias("t"))
             .select("doc_id", P.document_domain(F.col("t"), _DOMAIN_FIELDS).alias("domain")))
 
 
@@ -184,4 +184,4 @@ _FIRST_WORD = r"lower(regexp_extract(text, '([\p{L}\p{N}_]+)', 1))"
 def _(spark, sf):
     values = table(spark, sf, "benchmark").select(
         "item_id", F.lower(F.regexp_extract("text", r"([\p{L}\p{N}_]+)", 1)).alias("value"))
-    return P.common_word_values(values, table(spark, sf, "documents"), "text", 0.2)
+    return P.common_word_values(values, table(spark, sf, "documents", heavy=True), "text", 0.2)

@@ -14,7 +14,7 @@ _SHOPPED = """select doc_id, case doc_id % 4 when 0 then 'See <b>' || text || '<
 
 
 def _marked(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.expr(
+    return table(spark, sf, "documents", heavy=True).select("doc_id", F.expr(
         r"""case doc_id % 4 when 0 then 'See <b>' || text || '</b>' when 1 then '"' || text || '"'
             when 2 then 'a\\b/' || text else text end""").alias("t"))
 
@@ -30,7 +30,7 @@ _ANSWERED = """select conv_id, turn, case turn % 3 when 0 then '"**' || text ||
 
 
 def _answered(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.expr(
+    return table(spark, sf, "conversations", heavy=True).select("conv_id", "turn", F.expr(
         """case turn % 3 when 0 then '"**' || text || '**"'
            when 1 then 'Use `' || role || '` then ```code``` ' || text else text end""").alias("t"))
 
@@ -50,7 +50,7 @@ _HOLES = """select page_id, html || case page_id % 3 when 0 then ' [URL] is [P_N
 @query("txt_3_count_placeholders", rf"""select page_id,
  cast(len(regexp_extract_all(t, '\[[^\]]+\]')) as integer) as holes from ({_HOLES})""")
 def _(spark, sf):
-    t = table(spark, sf, "pages").select("page_id", F.expr(
+    t = table(spark, sf, "pages", heavy=True).select("page_id", F.expr(
         """html || case page_id % 3 when 0 then ' [URL] is [P_NAME].' when 1 then ' []'
            else ' [A B' end""").alias("t"))
     return t.select("page_id", T.count_placeholders(F.col("t")).alias("holes"))
@@ -61,7 +61,7 @@ def _(spark, sf):
 def _(spark, sf):
     tagged = F.concat(F.lit("| "), F.col("text"), F.lit(" (Hash: "),
                       F.substring(F.md5("text"), 1, 16), F.lit(") |"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.strip_tags(tagged)).alias("plain"))
+    return table(spark, sf, "documents", heavy=True).select("doc_id", F.md5(T.strip_tags(tagged)).alias("plain"))
 
 
 _VALUE = """case (l_orderkey + l_linenumber) % 6 when 0 then cast(cast(l_quantity as int) as varchar)
@@ -70,7 +70,7 @@ _VALUE = """case (l_orderkey + l_linenumber) % 6 when 0 then cast(cast(l_quantit
 
 
 def _values(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(
+    return table(spark, sf, "lineitem", heavy=True).select("l_orderkey", "l_linenumber", "l_partkey", F.expr(
         """case (l_orderkey + l_linenumber) % 6 when 0 then cast(cast(l_quantity as int) as string)
            when 1 then format_number(l_extendedprice, '0.00') when 2 then format_number(l_discount, '0.0000')
            when 3 then l_returnflag when 4 then '00' || cast(l_partkey as string)
@@ -169,7 +169,7 @@ _PREDICATES = f"""select l_orderkey, l_linenumber, l_partkey, [{D.words(_OPS)}][
 def predicates(spark, sf):
     """One structured predicate per line item."""
     pick = (F.lit(1) + (F.col("l_orderkey") + F.col("l_partkey")) % len(_OPS)).cast("int")
-    return table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem", heavy=True).select(
         "l_orderkey", "l_linenumber", "l_partkey",
         F.element_at(F.array(*[F.lit(o) for o in _OPS]), pick).alias("op"),
         F.expr("case l_linenumber % 3 when 0 then 'l.l_shipdate' when 1 then 'l_quantity' else 't2.unit_price' end")
@@ -211,7 +211,7 @@ STEPS_SQL = f"""select l_orderkey as question_id, l_linenumber as op_index, l_pa
 
 def steps(spark, sf):
     """One declared step per line item; a question is an order."""
-    return table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem", heavy=True).select(
         F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("op_index"),
         F.col("l_partkey").alias("tie"),
         F.element_at(F.array(*[F.lit(t) for t in _STEP_TYPES]),
@@ -324,7 +324,7 @@ _STRIP = r"regexp_replace(s, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
  lambda s: replace({_STRIP}, chr(1), '.')), lambda s: length(s) > 10) as s from documents)""")
 def _(spark, sf):
     s = T.split_sentences(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", heavy=True).select(
         "doc_id", F.size(s).cast("bigint").alias("n"), F.md5(F.array_join(s, "#")).alias("joined"))
 
 
@@ -337,7 +337,7 @@ def _(spark, sf):
 def _(spark, sf):
     t = F.expr("""'=====\\nSample report\\n' || case when page_id % 2 = 0 then '| ' || replace(url, 'example', 'site') || ' is up. | Host 3.5 (Hash: 0a) |'
                   else replace(url, 'example', 'site') || ' is up. (Hash: 0a) Host 3.5 down! Ok' end""")
-    return table(spark, sf, "pages").select("page_id", F.array_join(T.split_narrative(t), "#").alias("sentences"))
+    return table(spark, sf, "pages", heavy=True).select("page_id", F.array_join(T.split_narrative(t), "#").alias("sentences"))
 
 
 @query("txt_17_parse_numbered_list", r"""select conv_id, array_to_string(list_filter(list_transform(list(p order by turn, p),
@@ -347,7 +347,7 @@ def _(spark, sf):
 def _(spark, sf):
     line = F.expr("""case turn % 3 when 0 then cast(turn as string) || '. ' || role || ' speaks turn'
                      when 1 then 'Variation 2: ' || role || ' replies' else '3) short' end""")
-    answers = (table(spark, sf, "conversations").select("conv_id", F.struct("turn", line.alias("p")).alias("x"))
+    answers = (table(spark, sf, "conversations", heavy=True).select("conv_id", F.struct("turn", line.alias("p")).alias("x"))
                .groupBy("conv_id").agg(F.array_join(F.transform(
                    F.array_sort(F.collect_list("x")), lambda x: x["p"]), "\n").alias("answer")))
     return answers.select("conv_id", F.array_join(T.parse_numbered_list(F.col("answer"), 15), "#").alias("wordings"))
@@ -361,13 +361,13 @@ WORD_SET = r"""list_distinct(list_filter(regexp_split_to_array(regexp_replace(lo
  from (select doc_id, {WORD_SET.format(x='text')} as w from documents)""")
 def _(spark, sf):
     w = T.word_set(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", heavy=True).select(
         "doc_id", F.size(w).cast("bigint").alias("n"), F.md5(F.array_join(F.array_sort(w), " ")).alias("words"))
 
 
 @query("txt_19_estimate_tokens", """select conv_id, turn, cast(floor(length(text) / 4.0) as bigint) as tokens from conversations""")
 def _(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.estimate_tokens(F.col("text")).alias("tokens"))
+    return table(spark, sf, "conversations", heavy=True).select("conv_id", "turn", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 _WORDS = vocab.TRUE_WORDS + vocab.FALSE_WORDS + vocab.NULL_WORDS_RENDER + ["other"]
@@ -399,4 +399,4 @@ def _phrase_sql(null_mode: str, binary_mode: str) -> str:
 def _(spark, sf):
     aggs = [F.count_if(T.holds_phrase(F.col("text"), phrases)).alias(f"{kind}_{mode}_{mode}")
             for mode in ("explicit", "implicit") for kind, phrases in T.detection_phrases(mode, mode).items()]
-    return table(spark, sf, "documents").groupBy("source").agg(*aggs)
+    return table(spark, sf, "documents", heavy=True).groupBy("source").agg(*aggs)

@@ -18,9 +18,31 @@ def local_session(cpus: int = 8, name: str = "textlake") -> SparkSession:
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the wide text projections like; all may be changed at run time.
+
+    The JVM never compiles methods over 8000 bytes, so larger generated methods are
+    better split; skewed joins and small partitions are left to adaptive execution.
+    """
+    for name, value in {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.adaptive.enabled": "true",
+                        "spark.sql.adaptive.skewJoin.enabled": "true",
+                        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}.items():
+        spark.conf.set(name, value)
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan that has fewer splits than the session has cores one task per core.
+
+    Large inputs have more splits than cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
