@@ -66,8 +66,8 @@ def name_forms(field: Column) -> Column:
 
     def bare(c: Column) -> Column:
         return F.trim(F.translate(c, "()", ""))
-    forms = F.array(field, bare(field), bare(clean))
-    return F.array_distinct(F.concat(forms, F.transform(forms, _plural)))
+    forms = F.array_distinct(F.array(field, bare(field), bare(clean)))
+    return F.flatten(F.transform(forms, lambda n: F.array(n, _plural(n))))
 
 
 def has_name(sentence: Column, field: Column) -> Column:
@@ -125,7 +125,11 @@ _TRAIL = "[!-/:-@\\[-`{-~]+$"
 def value_variants(value: Column) -> Column:
     """Texts that may stand for a value in prose, best first."""
     numeric = value.rlike(r"^-?\d+\.?\d*$|^-?\d*\.\d+$")
-    x = F.when(numeric, value.try_cast("double"))
+    return F.when(numeric, X.let(value.try_cast("double"), lambda x: _number_variants(value, x))).otherwise(
+        _text_variants(value))
+
+
+def _number_variants(value: Column, x: Column) -> Column:
     whole = x == F.floor(x)
     i = F.when(whole, X.number_format(x, 0))
     last2, last = F.pmod(x.cast("bigint"), F.lit(100)), F.pmod(x.cast("bigint"), F.lit(10))
@@ -141,7 +145,7 @@ def value_variants(value: Column) -> Column:
     for d in range(5):
         p = F.when(share, X.number_format(x * 100, d))
         numbers += [F.concat(p, F.lit("%")), p]
-    return F.when(x.isNotNull(), F.array_distinct(F.array_compact(F.array(*numbers)))).otherwise(_text_variants(value))
+    return F.array_distinct(F.array_compact(F.array(*numbers)))
 
 
 def _text_variants(value: Column) -> Column:
@@ -216,26 +220,35 @@ def _standard_text(sentence: Column, value: Column) -> Column:
     one_digit = value.rlike(r"^\d$")
     alone = F.regexp_substr(sentence, _rx(r"(?:^|(?<=\s))", quoted(value), r"(?=$|\s)"))
     hit = F.get(F.filter(value_variants(value), lambda v: F.rlike(sentence, bounded(v))), F.lit(0))
-    return F.when(one_digit, alone).otherwise(F.when(hit.isNotNull(), F.regexp_substr(sentence, bounded(hit))))
+    return F.when(one_digit, alone).otherwise(X.let(hit, lambda h: F.regexp_substr(sentence, bounded(h))))
 
 
 def field_in_sentence(sentence: Column, field: Column, value: Column, klass: Column,
                       names: list[str] | None = None) -> Column:
     """``(found, matched_text, match_type)`` of a field in a sentence, by the rules of its class."""
-    kind = name_in_sentence(sentence, field, value, names)
-    named = kind.startswith("field_name")
-    low = F.lower(sentence)
     missing = (F.upper(value).isin("NULL", "NONE")) | (F.trim(value) == "")
     binary = (klass.isin("BINARY", "NULLABLE_BINARY")) & value.isin("0", "1")
-    text = (F.when(binary, _binary_text(sentence, field, value))
-            .when((klass.isin("NULL", "NULLABLE_BINARY")) & missing, F.when(named, F.coalesce(
-                _first_phrase(low, vocab.NAMED_NULL_PHRASES), F.lit("not specified"))).otherwise(
-                _first_phrase(low, vocab.UNNAMED_NULL_PHRASES)))
-            .when((klass == "MISC") & X.is_misc(value), _misc_text(sentence, value, named))
-            .otherwise(_standard_text(sentence, value)))
-    found = (kind != "") & (named | text.isNotNull())
-    return F.struct(found.alias("found"), F.coalesce(F.when(kind != "", text), value).alias("matched_text"),
-                    F.when(found, kind).otherwise("").alias("match_type"))
+    low = F.lower(sentence)
+
+    def text_of(kind: Column) -> Column:
+        named = kind.startswith("field_name")
+        return (F.when(binary, _binary_text(sentence, field, value))
+                .when((klass.isin("NULL", "NULLABLE_BINARY")) & missing, F.when(named, F.coalesce(
+                    _first_phrase(low, vocab.NAMED_NULL_PHRASES), F.lit("not specified"))).otherwise(
+                    _first_phrase(low, vocab.UNNAMED_NULL_PHRASES)))
+                .when((klass == "MISC") & X.is_misc(value), _misc_text(sentence, value, named))
+                .otherwise(_standard_text(sentence, value)))
+
+    def judge(kind: Column) -> Column:
+        text = F.when(kind != "", text_of(kind))
+        return F.struct(kind.alias("kind"), text.alias("text"))
+
+    def verdict(j: Column) -> Column:
+        found = (j["kind"] != "") & (j["kind"].startswith("field_name") | j["text"].isNotNull())
+        return F.struct(found.alias("found"), F.coalesce(j["text"], value).alias("matched_text"),
+                        F.when(found, j["kind"]).otherwise("").alias("match_type"))
+
+    return X.let(X.let(name_in_sentence(sentence, field, value, names), judge), verdict)
 
 
 def replace_match(sentence: Column, field: Column, matched: Column) -> Column:
@@ -272,7 +285,7 @@ def templatize(sentence: Column, field: Column, value: Column) -> Column:
             out = F.substring(out, F.length(left) + 1, F.length(out))
             out = F.substring(out, F.lit(1), F.length(out) - F.length(right))
             return F.concat(out, F.coalesce(F.get(names, i), F.lit("")))
-        return F.array_join(F.transform(pieces, piece), "")
+        return F.when((v != "") & field.isNotNull(), F.array_join(F.transform(pieces, piece), ""))
 
     x = F.when(value.rlike(r"^\d+\.?\d*$"), value.try_cast("double"))
     integer = F.when(x == F.floor(x), X.number_format(x, 0))

@@ -156,4 +156,3 @@ CLEANUPS = [
     (r"\b\w+ Count \([^)]+\)\b", "count"),
     (r"\bEnrollment \([^)]+\)\b", "total enrollment"),
 ]
-SCHEMA_WORDS = r"\b(?:row value|database|table|field value|data entry)\b"
