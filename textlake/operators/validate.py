@@ -78,37 +78,53 @@ def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str
                   within: list[str] | None = None) -> DataFrame:
     """Exact pairs whose word sets have a Jaccard similarity of at least ``threshold``.
 
-    Prefix filter: in a global word order from rare to common, two sets that similar
-    share a word among the first ``n - ceil(t * n) + 1`` of each. Only those few rare
-    words are joined, so a common word pairs nothing; candidates are then checked on the
-    whole sets. ``within`` limits pairs to equal values of those columns.
+    ``b`` is the side with few different texts (wordings, reference items). Texts with
+    the same word set are compared once and get their results by a join, so copies cost
+    no pairs of their own. Pairs come from a prefix filter: with words in one order, rare
+    in ``b`` first, two sets that similar share a word among the first
+    ``n - ceil(t * n) + 1`` of each; words ``b`` does not have need no join at all.
+    ``within`` limits pairs to equal values of those columns.
     """
     within = within or []
 
     def sets(df: DataFrame, key: str) -> DataFrame:
-        return df.select(*within, F.col(key).alias("id"), X.word_set(F.col(text)).alias("words"))
+        words = df.select(*within, F.col(key), F.array_sort(X.word_set(F.col(text))).alias("words"))
+        return words.where(F.size("words") > 0).withColumn("sid", F.sha2(F.array_join("words", " "), 256))
+
+    def distinct_sets(s: DataFrame) -> DataFrame:
+        return s.groupBy(*within, "sid").agg(F.first("words").alias("words"))
+
+    def prefix(size: Column) -> Column:
+        return size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
 
     sa, sb = sets(a, key_a), sets(b, key_b)
-    counts = (sa.select(F.explode("words").alias("w")).unionAll(sb.select(F.explode("words").alias("w")))
-              .groupBy("w").agg(F.count("*").alias("n")))
-
-    def prefixes(s: DataFrame) -> DataFrame:
-        ranked = (s.select(*within, "id", F.explode("words").alias("w")).join(counts, "w")
-                  .groupBy(*within, "id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o")))
-        size = F.size("o")
-        keep = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-        words = F.transform("o", lambda x: x["w"])
-        return ranked.select(*within, "id", words.alias("words"), F.explode(F.slice(words, F.lit(1), keep)).alias("w"))
-
-    pa = prefixes(sa).withColumnsRenamed({"id": key_a, "words": "wa"})
-    pb = prefixes(sb).withColumnsRenamed({"id": key_b, "words": "wb"})
-    na, nb = F.size("wa"), F.size("wb")
-    candidates = (pa.join(pb, [*within, "w"])
-                  .where((na >= F.lit(threshold) * nb - 1e-9) & (nb >= F.lit(threshold) * na - 1e-9)))
-    # count a pair once: at the first rare word both prefixes share
-    inter = F.size(F.array_intersect("wa", "wb"))
-    return (candidates.where(F.get(F.array_intersect("wa", "wb"), F.lit(0)) == F.col("w"))
-            .withColumn("similarity", inter / (na + nb - inter)).where(F.col("similarity") >= threshold)
+    db = distinct_sets(sb).select(*within, "sid", "words", F.size("words").alias("n"))
+    counts = db.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
+
+    def known_words(d: DataFrame) -> DataFrame:
+        """The words of a set that ``b`` has, rare first; the others take the first places of the order."""
+        return (d.select(*within, "sid", "n", F.explode("words").alias("w")).join(counts, "w")
+                .groupBy(*within, "sid", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
+                .select(*within, "sid", "n", F.transform("o", lambda x: x["w"]).alias("known"))
+                .withColumn("room", prefix(F.col("n")) - (F.col("n") - F.size("known"))).where("room > 0")
+                .select("*", F.explode(F.slice("known", F.lit(1), F.col("room"))).alias("w")))
+
+    da = distinct_sets(sa).select(*within, "sid", "words", F.size("words").alias("n"))
+    pa = known_words(da).select(*within, "w", F.col("sid").alias("sid_a"), F.col("n").alias("na"),
+                                F.col("known").alias("ka"), F.col("room").alias("ra"))
+    pb = known_words(db).select(*within, "w", F.col("sid").alias("sid_b"), F.col("n").alias("nb"),
+                                F.col("known").alias("kb"), F.col("room").alias("rb"))
+    na, nb = F.col("na"), F.col("nb")
+    sized = pa.join(pb, [*within, "w"]).where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9))
+    # a pair is kept at the first word both prefixes share
+    shared = F.array_intersect(F.slice("ka", F.lit(1), F.col("ra")), F.slice("kb", F.lit(1), F.col("rb")))
+    common = F.size(F.array_intersect("ka", "kb"))
+    hits = (sized.where(F.get(shared, F.lit(0)) == F.col("w"))
+            .withColumn("similarity", common / (na + nb - common)).where(F.col("similarity") >= threshold)
+            .select(*within, "sid_a", "sid_b", "similarity"))
+    ids_a = sa.select(*within, F.col(key_a), F.col("sid").alias("sid_a"))
+    ids_b = sb.select(*within, F.col(key_b), F.col("sid").alias("sid_b"))
+    return (hits.join(ids_b, [*within, "sid_b"]).join(ids_a, [*within, "sid_a"])
             .select(*within, key_a, key_b, "similarity"))
 
 

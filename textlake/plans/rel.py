@@ -139,7 +139,7 @@ def _(spark, sf):
         F.bit_and("o_custkey").alias("b_and"), F.bit_or("o_custkey").alias("b_or"))
 
 
-@query("rel_18_collections", """select l_orderkey, array_to_string(list(cast(l_partkey as varchar) order by l_linenumber, l_partkey), ',') as parts, string_agg(l_returnflag, '' order by l_linenumber, l_partkey) as flags,
+@query("rel_18_collections", """select l_orderkey, array_to_string(list(cast(l_partkey as varchar) order by l_linenumber, l_partkey), ',') as parts, string_agg(l_returnflag, '' order by l_linenumber, l_partkey, l_returnflag) as flags,
  '[' || string_agg('{"line":' || cast(l_linenumber as varchar) || ',"part":' || cast(l_partkey as varchar) || '}', ',' order by l_linenumber, l_partkey) || ']' as doc from lineitem group by 1""")
 def _(spark, sf):
     # the group is an order: its lines are few
