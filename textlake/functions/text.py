@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textlake import vocab
 
 _SPACE = r"[\s\p{Z}]+"
-_NOT_WORD = r"[^\p{L}\p{N}_\s]"
+_NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def let(c: Column, body) -> Column:
@@ -325,7 +325,7 @@ def parse_numbered_segments(c: Column) -> Column:
 
 def word_set(c: Column) -> Column:
     """Distinct lower-case words longer than two characters."""
-    words = F.split(F.regexp_replace(F.lower(c), _NOT_WORD, " "), _SPACE)
+    words = F.split(F.lower(c), _NOT_WORD)
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
 
 

@@ -44,64 +44,68 @@ def unpivot_rows(df: DataFrame, key: str, sample: int | None = None) -> DataFram
     return df.select(F.col(key).alias("row_id"), F.inline(cells))
 
 
-def _column_stats(v: Column) -> dict[str, Column]:
-    """Boolean aggregates that decide class and type of one column of text values."""
-    bare = F.trim(v)
-    missing = T.is_null_word(v, vocab.NULL_WORDS_PROFILE)
-    filled = ~missing
-
-    def every(test: Column) -> Column:
-        return F.coalesce(F.bool_and(F.when(filled, F.coalesce(test, F.lit(False)))), F.lit(True))
-
-    digits = F.regexp_replace(v, "[, ]", "")
-    amount = F.regexp_replace(v, "[, $%]", "")
-    return {
-        "n_rows": F.count(F.lit(1)),
-        "any_missing": F.bool_or(missing),
-        "any_filled": F.bool_or(filled),
-        "all_01": every(bare.isin("0", "1")),
-        "all_misc": every(T.is_misc(v)),
-        "all_bool": every(F.lower(bare).isin(vocab.BOOL_WORDS_PROFILE)),
-        "all_int": every(digits.rlike(r"^\s*[+-]?\d+\s*$")),
-        "all_float": every(amount.rlike(vocab.NUMBER) | amount.rlike(r"(?i)^\s*[+-]?(?:inf|infinity|nan)\s*$")),
-        "all_date": every(bare.rlike(vocab.DATE_WHOLE)),
-        "all_email": every(bare.rlike(vocab.EMAIL)),
-        "all_url": every(bare.rlike(vocab.URL_START)),
-    }
+# tests a column passes when all its filled values pass, one bit each
+_TESTS = ["01", "misc", "bool", "int", "float", "date", "email", "url"]
+_MISSING, _ALL = 1 << len(_TESTS), (1 << len(_TESTS)) - 1
+
+
+def _value_bits(v: Column) -> Column:
+    """The tests a filled value passes as bits; a missing value has only the bit for missing."""
+    def bits(text: Column) -> Column:
+        bare = F.trim(text)
+        digits, amount = F.translate(text, ", ", ""), F.translate(text, ", $%", "")
+        passed = [
+            bare.isin("0", "1"), T.is_misc(text), F.lower(bare).isin(vocab.BOOL_WORDS_PROFILE),
+            digits.rlike(r"^\s*[+-]?\d+\s*$"),
+            amount.rlike(vocab.NUMBER) | amount.rlike(r"(?i)^\s*[+-]?(?:inf|infinity|nan)\s*$"),
+            bare.rlike(vocab.DATE_WHOLE), bare.rlike(vocab.EMAIL), bare.rlike(vocab.URL_START)]
+        return reduce(lambda a, b: a.bitwiseOR(b),
+                      [F.when(p, 1 << i).otherwise(0) for i, p in enumerate(passed)])
+    return F.when(T.is_null_word(v, vocab.NULL_WORDS_PROFILE), _MISSING).otherwise(T.let(v, bits))
+
+
+def _folded(b: Column) -> dict[str, Column]:
+    """Aggregates of the bits of a column: rows, bits seen at all, bits every filled value has."""
+    filled = F.when(b != _MISSING, b)
+    return {"n_rows": F.count(F.lit(1)), "any_bits": F.bit_or(b), "n_filled": F.count(filled),
+            "all_bits": F.coalesce(F.bit_and(filled), F.lit(_ALL))}
+
+
+def _passes(test: str) -> Column:
+    return F.col("all_bits").bitwiseAND(1 << _TESTS.index(test)) != 0
 
 
 def _class_of() -> Column:
-    return (F.when(F.col("any_missing") & F.col("any_filled") & F.col("all_01"), "NULLABLE_BINARY")
-            .when(F.col("any_missing"), "NULL")
-            .when(F.col("all_misc"), "MISC")
-            .when(F.col("all_01"), "BINARY")
-            .otherwise("STANDARD"))
+    gaps, some = F.col("any_bits").bitwiseAND(_MISSING) != 0, F.col("n_filled") > 0
+    return (F.when(gaps & some & _passes("01"), "NULLABLE_BINARY").when(gaps, "NULL").when(_passes("misc"), "MISC")
+            .when(_passes("01"), "BINARY").otherwise("STANDARD"))
 
 
 def _type_of() -> Column:
-    chain = F.when(~F.col("any_filled"), "null")
-    for name in ("bool", "int", "float", "date", "email", "url"):
-        chain = chain.when(F.col(f"all_{name}"), name)
+    chain = F.when(F.col("n_filled") == 0, "null")
+    for name in _TESTS[2:]:
+        chain = chain.when(_passes(name), name)
     return chain.otherwise("string")
 
 
 def profile_columns(df: DataFrame, key: str | None = None) -> DataFrame:
     """Class and value type of every column: ``(field, ordinal, field_class, data_type, n_rows)``."""
     fields = [f for f in df.schema.fields if f.name != key]
+    bits = df.select(*[_value_bits(value_text(F.col(f.name), f.dataType)).alias(f"b{i}") for i, f in enumerate(fields)])
     aggs, packs = [], []
     for i, f in enumerate(fields):
-        stats = _column_stats(value_text(F.col(f.name), f.dataType))
-        aggs += [c.alias(f"s{i}_{n}") for n, c in stats.items()]
+        folded = _folded(F.col(f"b{i}"))
+        aggs += [c.alias(f"s{i}_{n}") for n, c in folded.items()]
         packs.append(F.struct(F.lit(f.name).alias("field"), F.lit(i + 1).alias("ordinal"),
-                              *[F.col(f"s{i}_{n}").alias(n) for n in stats]))
-    return (df.agg(*aggs).select(F.inline(F.array(*packs)))
+                              *[F.col(f"s{i}_{n}").alias(n) for n in folded]))
+    return (bits.agg(*aggs).select(F.inline(F.array(*packs)))
             .select("field", "ordinal", _class_of().alias("field_class"), _type_of().alias("data_type"), "n_rows"))
 
 
 def profile_long(long: DataFrame, keys: list[str]) -> DataFrame:
     """As ``profile_columns`` for values already in long form; partial aggregates before the shuffle."""
-    stats = _column_stats(F.col("value"))
-    return (long.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+    bits = long.withColumn("_bits", _value_bits(F.col("value")))
+    return (bits.groupBy(*keys).agg(*[c.alias(n) for n, c in _folded(F.col("_bits")).items()])
             .select(*keys, _class_of().alias("field_class"), _type_of().alias("data_type"), "n_rows"))
 
 
@@ -166,18 +170,19 @@ def document_domain(text: Column, fields: list[str], head_chars: int | None = No
 
     The whole text counts by default; ``head_chars`` limits it to its beginning.
     """
-    low = F.lower(F.substring(text, 1, head_chars) if head_chars else text)
     names = [f.lower() for f in fields]
 
-    def hits(word: str) -> Column:
-        return ((F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    def name_of(low: Column) -> Column:
+        def hits(word: str) -> Column:
+            return ((F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / len(word)).cast("int")
+        scores = [F.struct((reduce(lambda a, b: a + b, [hits(w) for w in words])
+                            + sum(w in n for w in words for n in names)).alias("score"),
+                           F.lit(-i).alias("rank"), F.lit(domain).alias("domain"))
+                  for i, (domain, words) in enumerate(DOMAIN_KEYWORDS.items())]
+        return T.let(F.greatest(*scores), lambda b: F.when(b["score"] > 0, b["domain"]).otherwise("professional"))
 
-    scores = [F.struct((reduce(lambda a, b: a + b, [hits(w) for w in words])
-                        + sum(w in n for w in words for n in names)).alias("score"),
-                       F.lit(-i).alias("rank"), F.lit(domain).alias("domain"))
-              for i, (domain, words) in enumerate(DOMAIN_KEYWORDS.items())]
-    best = F.greatest(*scores)
-    return F.concat(F.when(best["score"] > 0, best["domain"]).otherwise("professional"), F.lit(" data report"))
+    low = F.lower(F.substring(text, 1, head_chars) if head_chars else text)
+    return F.concat(T.let(low, name_of), F.lit(" data report"))
 
 
 def describe_columns(columns: DataFrame, enhanced: DataFrame, base: DataFrame) -> DataFrame:

@@ -48,18 +48,22 @@ def _quote(text: str) -> str:
     return re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", text)
 
 
-def _literal_regex(patterns: list[str], synonyms) -> str:
-    return _OPEN + "(?:" + "|".join(_wording(p, synonyms, True) for p in patterns) + r")(?=\s|$)"
+_TRANSITION = "(?:(?:" + "|".join(vocab.TRANSITIONS) + r")\s)?"
 
 
-def _value_regexes(patterns: list[str], mark: str, synonyms) -> list[str]:
-    """One regex per distinct sentence end, longest starts first."""
-    by_end: dict[str, list[str]] = {}
-    for p in patterns:
-        before, after = p.split(mark, 1)
-        by_end.setdefault(after, []).append(before)
-    return ["(?s)" + _OPEN + "(?:" + "|".join(_wording(b, synonyms, True) for b in sorted(starts, key=len, reverse=True))
-            + ")(.*?)" + _wording(end, synonyms, False) + r"(?=\s|$)" for end, starts in by_end.items()]
+def _anchor(text: str, synonyms: dict[str, tuple[str, ...]]) -> tuple[str, str]:
+    """``(literal, regex)`` of a sentence opening.
+
+    The literal is a plain text every match holds: a fast test before the regex. The
+    regex begins with the literal too where it can, so that the engine searches for it
+    as a text, and looks back for the first letter and the sentence boundary.
+    """
+    varied = [w for w in re.findall(r"\w+", text) if w.lower() in synonyms]
+    if not varied and len(text) > 3 and text[0].isalpha():
+        rest = _quote(text[1:])
+        return text[1:], rest + rf"(?<=(?:^|\n|[.!?,]\s)[{text[0].upper()}{text[0].lower()}]{rest})"
+    fixed = re.split("|".join(rf"\b{re.escape(w)}\b" for w in varied), text[1:]) if varied else [text[1:]]
+    return max(fixed, key=len), _OPEN + _wording(text, synonyms, True)
 
 
 def pool_matches(t: Template, contents: Column) -> dict[str, Column]:
@@ -67,12 +71,27 @@ def pool_matches(t: Template, contents: Column) -> dict[str, Column]:
     mark = placeholder(t.field)
     out = {}
     for pool in ("null", "counter", "std"):
-        literal = [p for p in map(normalize_pattern, t.pool(pool)) if mark not in p]
-        if literal:
-            out[pool] = contents.rlike(_literal_regex(literal, t.synonyms))
+        tests = []
+        for p in map(normalize_pattern, t.pool(pool)):
+            if mark not in p:
+                literal, rx = _anchor(p, t.synonyms)
+                tests.append(contents.contains(literal) & contents.rlike(rx + r"(?=\s|$)"))
+        if tests:
+            out[pool] = reduce(lambda a, b: a | b, tests)
     return out
 
 
+def _value_of(pattern: str, mark: str, synonyms, contents: Column) -> Column:
+    """Value shown by one wording, NULL when the text does not hold it."""
+    before, after = pattern.split(mark, 1)
+    end = _wording(after, synonyms, False) + r"(?=\s|$)"
+    if not before.strip():
+        # the value opens the sentence, so it must not run over a sentence end
+        return F.nullif(F.regexp_extract(contents, "(?s)" + _OPEN + _TRANSITION + r"((?:(?![.!?]\s).)*?)" + end, 1), F.lit(""))
+    literal, rx = _anchor(before, synonyms)
+    return F.when(contents.contains(literal), F.nullif(F.regexp_extract(contents, "(?s)" + rx + "(.*?)" + end, 1), F.lit("")))
+
+
 def extract_value(t: Template, contents: Column) -> Column:
     """Text of a field's value in a document; NULL when missing or not found.
 
@@ -84,10 +103,11 @@ def extract_value(t: Template, contents: Column) -> Column:
     for pool, hit in pool_matches(t, contents).items():
         chain = chain.when(hit, F.lit(meaning[pool]).cast("string"))
     with_value = [p for pool in ("std", "counter", "null") for p in map(normalize_pattern, t.pool(pool)) if mark in p]
-    found = [F.nullif(F.regexp_extract(contents, rx, 1), F.lit("")) for rx in _value_regexes(with_value, mark, t.synonyms)]
+    # wordings with the longest start first: a shorter one may be the end of a longer one
+    with_value.sort(key=lambda p: -len(p.split(mark, 1)[0]))
+    found = [_value_of(p, mark, t.synonyms, contents) for p in with_value]
     text = F.coalesce(*found) if found else F.lit(None).cast("string")
-    text = F.when(~F.upper(text).isin([w for w in vocab.NULL_WORDS_RENDER if w]), text)
-    return chain.otherwise(text)
+    return chain.otherwise(F.when(~F.upper(text).isin([w for w in vocab.NULL_WORDS_RENDER if w]), text))
 
 
 def slots(bank: Bank) -> dict[str, Template]:
