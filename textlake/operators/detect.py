@@ -219,7 +219,9 @@ def _misc_text(sentence: Column, value: Column, named: Column) -> Column:
 def _standard_text(sentence: Column, value: Column) -> Column:
     one_digit = value.rlike(r"^\d$")
     alone = F.regexp_substr(sentence, _rx(r"(?:^|(?<=\s))", quoted(value), r"(?=$|\s)"))
-    hit = F.get(F.filter(value_variants(value), lambda v: F.rlike(sentence, bounded(v))), F.lit(0))
+    # the value itself is the best variant, so the others are only built when it is not there
+    hit = F.coalesce(F.when(F.rlike(sentence, bounded(value)) & (value != ""), value), F.get(
+        F.filter(value_variants(value), lambda v: F.rlike(sentence, bounded(v))), F.lit(0)))
     return F.when(one_digit, alone).otherwise(X.let(hit, lambda h: F.regexp_substr(sentence, bounded(h))))
 
 

@@ -19,12 +19,14 @@ class RowModel(Protocol):
 
 
 def model_map(df: DataFrame, prompt: str, model: RowModel, out: str = "answer",
-              cache: DataFrame | None = None, cache_path: str | None = None) -> DataFrame:
+              cache: DataFrame | None = None, cache_path: str | None = None,
+              tasks: int | None = None) -> DataFrame:
     """Answer ``prompt`` of every row.
 
     Each distinct prompt is asked once, and not at all when ``cache`` (prompt, answer)
     holds it. With ``cache_path`` the answers are stored before they are joined back, so
-    that a lost executor never asks again.
+    that a lost executor never asks again. Prompts are small but answers are slow, so they
+    are spread over ``tasks`` tasks whatever their size.
     """
     spark = df.sparkSession
     asked = df.select(F.col(prompt).alias("prompt")).where("prompt is not null").distinct()
@@ -35,7 +37,8 @@ def model_map(df: DataFrame, prompt: str, model: RowModel, out: str = "answer",
         for batch in batches:
             yield pd.DataFrame({"prompt": batch["prompt"], "answer": model.answer(batch["prompt"])})
 
-    answers = asked.mapInPandas(run, "prompt string, answer string")
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    answers = asked.repartition(tasks, "prompt").mapInPandas(run, "prompt string, answer string")
     if cache_path:
         answers.write.mode("append").parquet(cache_path)
         answers = spark.read.parquet(cache_path)

@@ -345,15 +345,18 @@ def run_branches(trunk: DataFrame, branches: dict[str, tuple[Column | None, str,
     return wide.groupBy(*group).agg(*columns) if group else wide.agg(*columns)
 
 
-def collect_answers(finals: list[DataFrame]) -> DataFrame:
-    """All non-missing answers as one ordered array; infinities, NaN and divisions by or of 0 are dropped."""
-    tagged = [f.withColumn("ix", F.lit(i)) for i, f in enumerate(finals)]
-    rows = reduce(DataFrame.unionByName, tagged)
+def answer_rows(finals: list[DataFrame]) -> DataFrame:
+    """``(ix, group_key, answer)`` of all finals; infinities, NaN and divisions of or by 0 are dropped."""
+    rows = reduce(DataFrame.unionByName, [f.withColumn("ix", F.lit(i)) for i, f in enumerate(finals)])
     bad = (F.lower("answer").isin("inf", "-inf", "infinity", "-infinity", "nan", "none")
            | F.col("answer").rlike(r"^n\s*[:/]\s*0$"))
-    kept = rows.where(F.col("answer").isNotNull() & ~bad)
-    return kept.agg(F.array_sort(F.collect_list(F.struct("ix", "group_key", "answer"))).alias("a")).select(
-        F.transform("a", lambda x: x["answer"]).alias("answers"))
+    return rows.where(F.col("answer").isNotNull() & ~bad)
+
+
+def collect_answers(finals: list[DataFrame]) -> DataFrame:
+    """The answer rows as one ordered array: for results a reader looks at, not for document sets."""
+    ordered = F.array_sort(F.collect_list(F.struct("ix", "group_key", "answer")))
+    return answer_rows(finals).agg(ordered.alias("a")).select(F.transform("a", lambda x: x["answer"]).alias("answers"))
 
 
 def supported_steps(steps: DataFrame, capabilities: DataFrame, backend: str) -> tuple[DataFrame, DataFrame]:

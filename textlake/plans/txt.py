@@ -189,15 +189,13 @@ def _predicate_sql() -> str:
     return f"(case when op in ('LIKE', 'NOT LIKE') then {_like_sql('col', 'v1', chr(39) + 'NOT LIKE' + chr(39) + ' = op')} {whens} end)"
 
 
-@query("txt_10_predicate_text", f"""select l_orderkey, count(*) as n,
- string_agg(s, ' and ' order by l_linenumber, l_partkey, s) as words from
- (select l_orderkey, l_linenumber, l_partkey, {_predicate_sql()} as s from ({_PREDICATES})) group by l_orderkey""")
+@query("txt_10_predicate_text", f"""select l_orderkey, l_linenumber, l_partkey, {_predicate_sql()} || ' and The l quantity is greater than ' || cast(l_linenumber as varchar) as words
+ from ({_PREDICATES})""")
 def _(spark, sf):
-    s = predicates(spark, sf).select("l_orderkey", F.struct("l_linenumber", "l_partkey", T.predicate_text(
-        F.col("op"), F.col("col"), F.col("v1"), F.col("v2")).alias("s")).alias("part"))
-    return s.groupBy("l_orderkey").agg(
-        F.count("*").alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["s"]), " and ").alias("words"))
+    p = predicates(spark, sf)
+    first = T.predicate_text(F.col("op"), F.col("col"), F.col("v1"), F.col("v2"))
+    second = T.predicate_text(F.lit(">"), F.lit("l.l_quantity"), F.col("l_linenumber").cast("string"), F.lit(None))
+    return p.select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws(" and ", first, second).alias("words"))
 
 
 _STEP_TYPES = ["sem_filter", "sem_join", "sem_cluster_by", "sem_agg", "sem_extract", "sem_topk"]
@@ -340,17 +338,16 @@ def _(spark, sf):
     return table(spark, sf, "pages", heavy=True).select("page_id", F.array_join(T.split_narrative(t), "#").alias("sentences"))
 
 
-@query("txt_17_parse_numbered_list", r"""select conv_id, array_to_string(list_filter(list_transform(list(p order by turn, p),
- lambda s: regexp_replace(regexp_replace(s, '^\d+[.)]\s*', ''), '^Variation \d+:?\s*', '')), lambda s: length(s) > 10)[1:15], '#') as wordings
- from (select conv_id, turn, case turn % 3 when 0 then cast(turn as varchar) || '. ' || role || ' speaks turn'
- when 1 then 'Variation 2: ' || role || ' replies' else '3) short' end as p from conversations) group by conv_id""")
+_LISTED = """'Variation 1: ' || role || ' says' || {nl} || '2) ' || replace(text, {nl}, {nl} || '- ')"""
+
+
+@query("txt_17_parse_numbered_list", r"""select conv_id, turn, md5(array_to_string(list_filter(list_transform(string_split(a, chr(10)), lambda s: regexp_replace(regexp_replace(regexp_replace(
+ regexp_replace(s, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^\d+[.)]\s*', ''), '^[-•*]\s*', ''), '^Variation \d+:?\s*', '')), lambda s: length(s) > 10)[1:15], '#')) as wordings
+ from (select conv_id, turn, """ + _LISTED.format(nl="chr(10)") + " as a from conversations)")
 def _(spark, sf):
-    line = F.expr("""case turn % 3 when 0 then cast(turn as string) || '. ' || role || ' speaks turn'
-                     when 1 then 'Variation 2: ' || role || ' replies' else '3) short' end""")
-    answers = (table(spark, sf, "conversations", heavy=True).select("conv_id", F.struct("turn", line.alias("p")).alias("x"))
-               .groupBy("conv_id").agg(F.array_join(F.transform(
-                   F.array_sort(F.collect_list("x")), lambda x: x["p"]), "\n").alias("answer")))
-    return answers.select("conv_id", F.array_join(T.parse_numbered_list(F.col("answer"), 15), "#").alias("wordings"))
+    answer = F.expr(_LISTED.format(nl="'\\n'"))
+    return table(spark, sf, "conversations", heavy=True).select("conv_id", "turn", F.md5(F.array_join(
+        T.parse_numbered_list(answer, 15), "#")).alias("wordings"))
 
 
 WORD_SET = r"""list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'),

@@ -70,8 +70,7 @@ _BANK = """select p_partkey as row_id, field, pool, p_partkey % 10 = 9 as is_sta
 def _(spark, sf):
     rows = table(spark, sf, "part").select("*", F.expr(
         "inline(array(struct('p_brand' as field, 'std' as pool, 0 as vid), struct('p_brand' as field, 'std' as pool, 1 as vid), struct('p_size' as field, 'std' as pool, 1 as vid)))"))
-    rows.createOrReplaceTempView("tl_bank_rows")
-    return V.placeholder_gaps(spark.sql(_BANK + " from tl_bank_rows"), ["row_id"])
+    return V.placeholder_gaps(spark.sql(_BANK + " from {rows}", rows=rows), ["row_id"])
 
 
 @query("val_7_orphan_columns", """select p_partkey as row_id, field, cast(case when field = 'size' then case when p_partkey % 2 = 0 then 1 when p_partkey % 3 = 0 then -1 else 1 end else -1 end as integer) as tmpl_ix,
