@@ -175,7 +175,7 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
         lines = readers.read_lines(spark, str(path))
-        assert lines.select("file_name", "line_no").distinct().count() == 5000
+        assert lines.select("file_path", "line_no").distinct().count() == 5000
         assert lines.where(F.concat(F.lit("line "), F.col("line_no")) != F.col("value")).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)

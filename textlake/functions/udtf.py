@@ -30,7 +30,7 @@ def register_extract_fields(spark: SparkSession, bank: Bank, name: str = "extrac
     """Register ``name(contents)`` yielding (field, value) for the wordings of a bank."""
     readers = _readers(bank)
 
-    @udtf(returnType="field string, value string")
+    @udtf(returnType="field string, value string", useArrow=True)
     class ExtractFields:
         def __init__(self):
             self._compiled = [(f, re.compile(p)) for f, p in readers]

@@ -181,12 +181,12 @@ def _tagged(spark, sf):
         "field_class", F.lit("STANDARD"))
 
 
-@query("det_5_resolve_by_tag", f"""with n as (select *, {_NAME_KIND} as kind from ({_PAIRS_DUCK}) where pos < 3), m as (select *, {bounded('sentence', 'value')} and not (regexp_matches(value, '^\\d$') and
+@query("det_5_resolve_by_tag", f"""with n as (select *, {_NAME_KIND} as kind from ({_PAIRS_DUCK})), m as (select *, {bounded('sentence', 'value')} and not (regexp_matches(value, '^\\d$') and
  not regexp_matches(sentence, '(?:^|\\s)' || value || '(?:$|\\s)')) as hit, contains(lower(sentence), lower(value)) as shown from n)
- select row_id, substr(md5(concat_ws('|', cast(row_id as varchar), field)), 1, 16) as tag, field, case when row_id % 4 = 0 then 'known' else value end as replacement_value,
+ select row_id, substr(md5(concat_ws('|', cast(row_id as varchar), field)), 1, 16) as tag, field, case when row_id % 4 = 0 then 'known' when field = 'category (main)' and kind <> '' and hit then lower(value) else value end as replacement_value,
  case when row_id % 4 = 0 then 'hash_validated' when kind <> '' and (hit or kind like 'field_name%') and shown then kind else 'needs_regeneration' end as match_type from m""")
 def _(spark, sf):
-    t = _tagged(spark, sf).where("pos < 3")
+    t = _tagged(spark, sf)
     known = F.when(F.col("row_id") % 4 == 0, "known")
     tags = t.select("row_id", "tag", "field", "value", "field_class", known.alias("replacement"))
     return DT.resolve_by_tag(t.select("row_id", "tag", "sentence"), tags)

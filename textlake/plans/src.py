@@ -134,14 +134,15 @@ def _(spark, sf):
 
 
 @query("src_9_read_workload", """select line_no, 'SELECT ' || cast(o_orderkey as varchar) as sql, 'db' || cast(o_orderkey % 11 as varchar) as db_id
- from (select o_orderkey, row_number() over (order by o_orderkey) as line_no from orders) where o_orderkey % 10 <> 3""")
+ from (select o_orderkey, row_number() over (partition by o_orderkey % 16 order by o_orderkey) as line_no from orders) where o_orderkey % 10 <> 3""")
 def _(spark, sf):
+    # sixteen workload files, each in key order; every tenth line is blank or malformed
     line = F.expr("""case when o_orderkey % 10 = 3 then case when o_orderkey % 20 = 3 then '' else 'SELECT without db' end
                      else 'SELECT ' || cast(o_orderkey as string) || '\\tdb' || cast(o_orderkey % 11 as string) end""")
     path = scratch_path(spark, "workload")
-    orders = table(spark, sf, "orders").select("o_orderkey", line.alias("value"))
-    # a workload is one ordered file, so this fixture sorts into a single part
-    orders.coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 16).alias("part"), line.alias("value"))
+    (orders.repartition(16, "part").sortWithinPartitions("part", "o_orderkey").select("part", "value")
+     .write.partitionBy("part").text(path))
     return R.read_workload(spark, path)
 
 

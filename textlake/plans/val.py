@@ -43,14 +43,15 @@ def _(spark, sf):
 
 
 @query("val_4_same_after_smoothing", """select o_orderkey, case when o_orderkey % 19 = 0 then 'tag count' when o_orderkey % 5 = 0 then 'tags changed' when o_orderkey % 3 = 0 then 'sentence count changed' else '' end as error
- from orders where o_orderkey % 29 <> 0""")
+ from orders""")
 def _(spark, sf):
     k = F.col("o_orderkey")
-    # odd pipe counts shift every later pair, so whole narratives are compared only where pipes are even
-    good = narratives(spark, sf).where(V.delimiters_ok(F.col("n")))
+    # an odd pipe shifts every later pair, so it is taken out first
+    even = narratives(spark, sf).withColumn("n", F.when(V.delimiters_ok(F.col("n")), F.col("n")).otherwise(
+        F.regexp_replace("n", r"^\| ", "")))
     after = (F.when((k % 5 == 0) & (k % 19 != 0), F.replace("n", F.lit("(Hash: 2c)"), F.lit("(Hash: 3d)")))
              .when(k % 3 == 0, F.concat("n", F.lit(" | One more. |"))).otherwise(F.col("n")))
-    return good.select("o_orderkey", V.smoothing_error(F.col("n"), after, F.lit(3)).alias("error"))
+    return even.select("o_orderkey", V.smoothing_error(F.col("n"), after, F.lit(3)).alias("error"))
 
 
 @query("val_5_needs_backfill", """select o_orderkey % 11 <> 0 and (o_orderkey % 13 = 0 or o_orderkey % 19 = 0 or o_orderkey % 29 = 0) as todo, count(*) as n from orders group by 1""")

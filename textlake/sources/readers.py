@@ -183,13 +183,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks; only one count per block is gathered.
     """
     raw = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mid"), "value")
-    blocks = raw.groupBy("file_name", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
-    before = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("file_name", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    return (raw.join(offsets, ["file_name", "block"])
-            .select("file_name", (F.col("skip") + F.col("mid") - F.col("first") + 1).alias("line_no"), "value"))
+    blocks = raw.groupBy("file_path", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file_path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    return (raw.join(offsets, ["file_path", "block"])
+            .select("file_path", (F.col("skip") + F.col("mid") - F.col("first") + 1).alias("line_no"), "value"))
 
 
 def read_workload(spark: SparkSession, path: str) -> DataFrame:
