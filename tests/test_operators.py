@@ -14,9 +14,10 @@ from textlake.sources import readers, sinks
 
 
 def skewed(spark, n=900):
-    """One key holds a third of all rows."""
+    """One key holds a third of all rows; some keys and values are missing."""
     rng = random.Random(7)
-    data = [(i, "hot" if i % 3 == 0 else f"k{rng.randrange(40)}", rng.randrange(50)) for i in range(n)]
+    data = [(i, None if i % 50 == 1 else "hot" if i % 3 == 0 else f"k{rng.randrange(40)}",
+             None if i % 31 == 2 else rng.randrange(50)) for i in range(n)]
     return spark.createDataFrame(data, "id bigint, k string, v int")
 
 
