@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import language, license, ngram_join, packing, sharding
+from textlake.llm import language, license, ngram_join, ngram_lm, packing, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,13 @@ def feistel_shards(spark, sf_dir):
 @query("op1_ngram_jaccard_join")
 def ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_dedup")
+def suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.removed_spans(_table(spark, sf_dir, "documents"))
+
+
+@query("op6_katz_scores")
+def katz_scores(spark, sf_dir):
+    return ngram_lm.score(_table(spark, sf_dir, "documents"), remainder(10) != 0)
