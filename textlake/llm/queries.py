@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import language, license, ngram_join, ngram_lm, packing, sharding, suffix_dedup
+from textlake.llm import block_topk, language, license, nearest, ngram_join, ngram_lm, packing, sharding, suffix_dedup, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,19 @@ def suffix_array_dedup(spark, sf_dir):
 @query("op6_katz_scores")
 def katz_scores(spark, sf_dir):
     return ngram_lm.score(_table(spark, sf_dir, "documents"), remainder(10) != 0)
+
+
+@query("op3_cross_polytope_search")
+def cross_polytope_search(spark, sf_dir):
+    return nearest.nearest(vectors.usable(_table(spark, sf_dir, "embeddings")))
+
+
+@query("op8_block_top_k", """
+WITH x AS (SELECT vec_id, list_transform(embedding, c -> CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.x, d.x), p -> p[1] * p[2])) AS BIGINT) AS score
+      FROM x q JOIN x d ON d.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def block_top_k(spark, sf_dir):
+    return block_topk.top_products(block_topk.quantised(_table(spark, sf_dir, "embeddings")))
