@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import block_topk, language, license, nearest, ngram_join, ngram_lm, packing, sharding, suffix_dedup, vectors
+from textlake.llm import block_topk, language, license, mixing, nearest, ngram_join, ngram_lm, packing, sharding, suffix_dedup, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,12 +59,33 @@ def feistel_shards(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
-@query("op1_ngram_jaccard_join")
+@query("op1_ngram_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.r)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM w JOIN reach ON reach.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id""")
 def ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-@query("op10_suffix_dedup")
+@query("op10_suffix_dedup", """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, CAST(len(h) / 2 AS BIGINT))) AS i FROM b),
+x AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 100 <= len(h) THEN substr(h, 2 * i + 1, 100) END AS g FROM p),
+f AS (SELECT g, min(doc_id) AS first FROM x WHERE g IS NOT NULL GROUP BY g),
+m AS (SELECT x.doc_id, i, byte, CAST(coalesce(first < x.doc_id, false) AS INTEGER) AS dup FROM x LEFT JOIN f USING (g)),
+c AS (SELECT doc_id, i, byte, max(dup) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+r AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS head FROM c),
+t AS (SELECT doc_id, count(*) AS n, sum(gone) AS removed, count(*) FILTER (head) AS spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM r GROUP BY doc_id)
+SELECT b.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN t USING (doc_id)""")
 def suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.removed_spans(_table(spark, sf_dir, "documents"))
 
@@ -80,11 +101,18 @@ def cross_polytope_search(spark, sf_dir):
 
 
 @query("op8_block_top_k", """
-WITH x AS (SELECT vec_id, list_transform(embedding, c -> CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.x, d.x), p -> p[1] * p[2])) AS BIGINT) AS score
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.x, d.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
       FROM x q JOIN x d ON d.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""")
 def block_top_k(spark, sf_dir):
     return block_topk.top_products(block_topk.quantised(_table(spark, sf_dir, "embeddings")))
+
+
+@query("op4_mixing")
+def mixing_to_targets(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.mix(docs).select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+                                   F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
