@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from textlake.session import cut_lineage, scratch_path
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 Batches = Iterator[pa.RecordBatch]
 
 

@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFr
 
     def run(batches):
         learned = shared.value
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=4 << 20):
             n = batch.num_rows
             pred, score, accepted = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
             if learned:
