@@ -30,7 +30,9 @@ from textlake.llm.words import _BACK, _BYTE, _STEP, powers
 GRAM = 18
 #: An anchor with more different contexts than this sends single suffixes.
 HOT = 256
-_U32 = np.uint64(32)
+#: Suffixes that are sorted together.
+SORTED = 1 << 20
+_U32, _U20, _U10, _MASK = np.uint64(32), np.uint64(20), np.uint64(10), np.uint64(1023)
 
 
 class _Sums:
@@ -132,6 +134,7 @@ def _entries(kind: int, keys: np.ndarray, doc, mark, place, gram=None) -> list[t
 def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
     """Places of anchors whose context is a copy (kind 0) or differs between documents (1; 2 for frequent anchors)."""
     n_parts, reach = len(keys), length - GRAM
+    half = -(-reach // 2)
     schema = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("context", pa.binary()), ("doc", pa.binary()), ("mark", pa.binary()), ("place", pa.binary())])
 
     def emit(batches):
@@ -142,7 +145,8 @@ def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
             row = np.searchsorted(at, p, side="right") - 1
             lo, hi = np.maximum(at[row], p - reach), np.minimum(at[row + 1], p + length)
             gram = sums.span(p, p + GRAM)
-            context = mix(sums.span(lo, hi) + (p - lo).astype(np.uint64))
+            near = [sums.span(np.maximum(at[row], p - half), p + GRAM), sums.span(p, np.minimum(at[row + 1], p + GRAM + half))]
+            context = mix(sums.span(lo, hi) + (p - lo).astype(np.uint64)) << _U20 | (near[0] & _MASK) << _U10 | near[1] & _MASK
             ids, tags = _ids(batch)
             part = (gram % np.uint64(n_parts)).astype(np.int64)
             yield block([(int(keys[k]), *cut) for k, cut in split(part, n_parts, gram, context, ids[row], tags[row], (p - at[row]).astype(np.int32))], schema)
@@ -168,8 +172,15 @@ def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
         copy = doc > first
         heads, outer = starts[:-1], runs(gram[starts[:-1]])
         contexts = np.diff(outer)
+        # a shared window holds half of the reach on one side, so one of the two near hashes is shared too
+        group = np.repeat(np.arange(len(contexts), dtype=np.uint64), contexts) << _U10
+        shared = np.zeros(len(heads), bool)
+        for side in (context[heads] >> _U10 & _MASK, context[heads] & _MASK):
+            _, back, times = np.unique(group | side, return_inverse=True, return_counts=True)
+            shared |= times[back] > 1
+        rivals = np.add.reduceat(shared.astype(np.int64), outer[:-1])
         apart = np.minimum.reduceat(doc[heads], outer[:-1]) < np.maximum.reduceat(doc[heads], outer[:-1])
-        per_head = np.repeat(np.where(apart, contexts, 0), contexts)
+        per_head = np.where(shared, np.repeat(np.where(apart, rivals, 0), contexts), 0)
         number = np.repeat(per_head, np.diff(starts))
         check, hot = ~copy & (number > 1) & (number <= HOT), ~copy & (number > HOT)
         rows = _entries(_COPY, keys, doc[copy], mark[copy], place[copy])
@@ -271,24 +282,31 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
                 some = batch.take(pa.array(rows))
                 got = [read(some.column(n), t) for n, t in (("bytes", np.uint8), ("doc", np.int64), ("mark", np.uint32), ("place", np.int32), ("left", np.uint8), ("right", np.uint8))]
                 if w is None:
-                    out += _entries(_WINDOW, keys, got[1], got[2], got[3])
+                    out.append((got[1], got[2], got[3]))
                 else:
                     held[w].append(got)
         for w, parts in held.items():
             if not parts:
                 continue
-            data, doc, mark, place, left, right = (np.concatenate(x) for x in zip(*parts))
-            ranks = suffix_ranks(data, length)
-            if w:
-                start = np.arange(reach + 1)
-                which, start = np.nonzero((start >= reach - left[:, None].astype(np.int64)) & (start + length <= reach + right[:, None].astype(np.int64)))
-                suffix, first = which * wide + start, place[which] + start - reach
-            else:
-                which = np.arange(len(doc))
-                suffix, first = which * length, place
-            later = later_copies(ranks[suffix], doc[which])
-            out += _entries(_WINDOW, keys, doc[which][later], mark[which][later], first[later].astype(np.int32))
-        yield block(out, pa.schema(_ENTRY))
+            columns_ = [np.concatenate(x) for x in zip(*parts)]
+            size = wide if w else length
+            rows = columns_[0].reshape(-1, size)
+            # suffixes of different anchors share no window, so the part is sorted in pieces of whole anchors
+            pieces = 1 + rows.size // SORTED
+            own = _row_hash(rows[:, reach:reach + GRAM] if w else rows) % np.uint64(pieces)
+            for _, (some, doc, mark, place, left, right) in split(own.astype(np.int64), pieces, rows, *columns_[1:]):
+                ranks = suffix_ranks(some.ravel(), length)
+                if w:
+                    start = np.arange(reach + 1)
+                    which, start = np.nonzero((start >= reach - left[:, None].astype(np.int64)) & (start + length <= reach + right[:, None].astype(np.int64)))
+                    suffix, first = which * wide + start, place[which] + start - reach
+                else:
+                    which = np.arange(len(doc))
+                    suffix, first = which * length, place
+                later = later_copies(ranks[suffix], doc[which])
+                out.append((doc[which][later], mark[which][later], first[later].astype(np.int32)))
+        if out:
+            yield block(_entries(_WINDOW, keys, *[np.concatenate(x) for x in zip(*out)]), pa.schema(_ENTRY))
     blocks = _with_docs(docs, entries.where(f"kind in ({_CHECK}, {_HOT})"), keys).mapInArrow(cut, sql)
     return exchange(blocks, keys, compare, _ENTRY_SQL)
 
