@@ -20,9 +20,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from textlake.llm.blocks import block, chunks, exchange, gather, mix, narrow_batches, part_keys, read, runs, split, stored, text_bytes
 from textlake.llm.words import _BACK, _BYTE, _STEP, powers
@@ -131,11 +132,16 @@ def _entries(kind: int, keys: np.ndarray, doc, mark, place, gram=None) -> list[t
     return [(kind, int(keys[p]), *cut, *([] if len(gram) else [np.zeros(0, np.uint64)])) for p, cut in split(part, n, *columns)]
 
 
+def _planes(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high halves: the high ones are runs of equal values, which compress."""
+    return (place & 0xFFFF).astype(np.uint16), (place >> 16).astype(np.uint16)
+
+
 def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
     """Places of anchors whose context is a copy (kind 0) or differs between documents (1; 2 for frequent anchors)."""
     n_parts, reach = len(keys), length - GRAM
     half = -(-reach // 2)
-    schema = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("context", pa.binary()), ("doc", pa.binary()), ("mark", pa.binary()), ("place", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("context", pa.binary()), ("doc", pa.binary()), ("mark", pa.binary()), ("place", pa.binary()), ("far", pa.binary())])
 
     def emit(batches):
         for batch in chunks(batches):
@@ -149,10 +155,11 @@ def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
             context = mix(sums.span(lo, hi) + (p - lo).astype(np.uint64)) << _U20 | (near[0] & _MASK) << _U10 | near[1] & _MASK
             ids, tags = _ids(batch)
             part = (gram % np.uint64(n_parts)).astype(np.int64)
-            yield block([(int(keys[k]), *cut) for k, cut in split(part, n_parts, gram, context, ids[row], tags[row], (p - at[row]).astype(np.int32))], schema)
+            yield block([(int(keys[k]), *cut) for k, cut in split(part, n_parts, gram, context, ids[row], tags[row], *_planes(p - at[row]))], schema)
 
     def resolve(batches):
-        gram, context, doc, mark, place = gather(batches, ("gram", np.uint64), ("context", np.uint64), ("doc", np.int64), ("mark", np.uint32), ("place", np.int32))
+        gram, context, doc, mark, low, far = gather(batches, ("gram", np.uint64), ("context", np.uint64), ("doc", np.int64), ("mark", np.uint32), ("place", np.uint16), ("far", np.uint16))
+        place = (far.astype(np.int32) << 16) | low
         order = np.argsort(gram, kind="stable")
         starts = runs(gram[order])
         if len(gram) == 0:
@@ -187,7 +194,7 @@ def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
         for kind, pick in ((_CHECK, check), (_HOT, hot)):
             rows += _entries(kind, keys, doc[pick], mark[pick], place[pick], gram[pick])
         yield block(rows, pa.schema(_ENTRY))
-    blocks = docs.mapInArrow(emit, "part int, gram binary, context binary, doc binary, mark binary, place binary")
+    blocks = docs.mapInArrow(emit, "part int, gram binary, context binary, doc binary, mark binary, place binary, far binary")
     return exchange(blocks, keys, resolve, _ENTRY_SQL)
 
 
@@ -195,11 +202,29 @@ def _with_docs(docs: DataFrame, entries: DataFrame, keys: np.ndarray) -> DataFra
     """Entries, then documents, of the same part in the same partition."""
     own = F.element_at(F.lit(keys.tolist()), (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(len(keys))) + 1).cast("int"))
     blank = F.lit(None).cast("binary")
-    right = docs.select(F.lit(9).alias("kind"), own.alias("part"), blank.alias("doc"), blank.alias("mark"), blank.alias("place"), blank.alias("gram"), "doc_id", "tag", "text", "rest")
-    left = entries.select("kind", "part", "doc", "mark", "place", "gram", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tag"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(docs.schema["rest"].dataType).alias("rest"))
+    right = _squeezed(docs).select(F.lit(9).alias("kind"), own.alias("part"), blank.alias("doc"), blank.alias("mark"), blank.alias("place"), blank.alias("gram"), "doc_id", "tag", "text", "rest")
+    left = entries.select("kind", "part", "doc", "mark", "place", "gram", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tag"), blank.alias("text"), F.lit(None).cast(docs.schema["rest"].dataType).alias("rest"))
     return left.unionByName(right).repartition(len(keys), "part").sortWithinPartitions("kind")
 
 
+def _squeezed(docs: DataFrame) -> DataFrame:
+    """The same rows with ``text`` compressed: texts are shuffled twice, and take most of the disk."""
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in chunks(batches):
+            at = batch.schema.get_field_index("text")
+            text = pa.array([squeeze(t.as_buffer()) for t in batch.column(at)], pa.binary())
+            yield batch.set_column(at, "text", text)
+    fields = [StructField("text", BinaryType()) if f.name == "text" else f for f in docs.schema]
+    return docs.mapInArrow(run, StructType(fields))
+
+
+def _restored(batch: pa.RecordBatch) -> pa.RecordBatch:
+    expand = zstandard.ZstdDecompressor().decompress
+    at = batch.schema.get_field_index("text")
+    return batch.set_column(at, "text", pa.array([expand(t.as_buffer()) for t in batch.column(at)], pa.binary()).cast(pa.string()))
+
+
 def _entries_then_docs(batches, kinds: tuple[int, ...]):
     """First the sorted entries of each kind, then batches of documents."""
     held = {k: [[], [], [], []] for k in kinds}
@@ -218,7 +243,7 @@ def _entries_then_docs(batches, kinds: tuple[int, ...]):
             if not done:
                 yield {k: _sorted([np.concatenate(x) if x else np.zeros(0, t) for x, (_, t) in zip(held[k], types)]) for k in kinds}
                 done = True
-            yield from chunks([batch.slice(int(rows[0]))])
+            yield from chunks([_restored(batch.slice(int(rows[0])))])
 
 
 def _sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
