@@ -30,7 +30,7 @@ RARE, START, END, FIRST = 0, 1, 2, 3
 #: The end of a text; white space cannot be in a word.
 _END = one_hash(" end ")
 #: Tokens that a task gathers before it sends them.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 
 _COUNT = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("n", pa.binary())])
 _COUNT_SQL = "part int, key binary, n binary"
