@@ -2,7 +2,7 @@
 
 Sets share a link when 100 * |intersection| >= percent * |union|. Two linked sets share a
 shingle among the first ``n - ceil(percent n / 100) + 1`` of each, in one order of all shingles
-(rare first), so only those are indexed. An index list is sorted by set size and cut where no
+(rarest first), so only those are indexed, and only for sets whose first ones are not all their own. An index list is sorted by set size and cut where no
 size on one side can reach one on the other; each block names its smallest document as pivot.
 Every set of a block is compared with the pivot once. Sets linked to the pivot are one
 component and need no test among themselves. What is left is pairs of a set that is not linked to the
@@ -12,18 +12,14 @@ off and words that it adds are put on, through the index of the other sets' diff
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.blocks import block, chunks, components, exchange, mix, narrow_batches, part_keys, runs, split, stored, task_number, text_bytes
+from textlake.llm.blocks import block, chunks, components, exchange, gather, mix, narrow_batches, part_keys, runs, split, stored, text_bytes
 from textlake.llm.words import shingles, word_hashes
 
-#: Counters of shingle frequency; they only set the order, links do not depend on them.
-SKETCH_BITS = 18
 #: Sets in one chunk of a star; larger stars are cut.
 CHUNK = 512
 
@@ -37,46 +33,83 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (size and two sums that name the set) and of shingle counters."""
+    """Size and two sums that name the set, for every document."""
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in chunks(batches):
             value, at = _sets(batch, size)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(value), mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
             s1, s2 = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
-            counts += np.bincount((value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.nulls(batch.num_rows, pa.int32())],
-                                             ["doc_id", "n", "s1", "s2", "bucket"])
-        used = np.flatnonzero(counts)
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(counts[used]), none, none, pa.array(used.astype(np.int32))], ["doc_id", "n", "s1", "s2", "bucket"])
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bucket int")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(s1), pa.array(s2)], ["doc_id", "n_shingles", "s1", "s2"])
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
-def _stars(docs: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Distinct (pivot, doc_id) of all blocks of all index lists with more than one document."""
-    spark = docs.sparkSession
-    keys = part_keys(spark)
+_GRAMS = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("df", pa.binary()), ("doc", pa.binary()), ("size", pa.binary())])
+_GRAMS_SQL = "part int, gram binary, df binary, doc binary, size binary"
+
+
+def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int) -> DataFrame:
+    """Shingles that more than one document has, with their documents, dealt by document."""
     n_parts = len(keys)
-    shared = spark.sparkContext.broadcast(counters)
-    schema = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("doc", pa.binary()), ("size", pa.binary())])
 
-    def index(batches):
-        common = shared.value
+    def emit(batches):
         for batch in chunks(batches):
             value, at = _sets(batch, size)
             n = np.diff(at)
-            doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((value, common[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
-            place = np.arange(len(value)) - at[:-1][doc]
-            keep = place < _prefix(n, percent)[doc]
-            gram, doc = value[order][keep], doc[keep]
-            ids = batch.column("doc_id").to_numpy()
-            part = (mix(gram) % np.uint64(n_parts)).astype(np.int64)
-            yield block([(int(keys[p]), g, ids[d], n[d].astype(np.int32)) for p, (g, d) in split(part, n_parts, gram, doc)], schema)
+            doc = np.repeat(batch.column("doc_id").to_numpy(), n)
+            part = (value % np.uint64(n_parts)).astype(np.int64)
+            yield block([(int(keys[p]), g, np.zeros(0, np.uint16), d, m) for p, (g, d, m) in split(part, n_parts, value, doc, np.repeat(n, n).astype(np.int32))], _GRAMS)
+
+    def count(batches):
+        gram, doc, n = gather(batches, ("gram", np.uint64), ("doc", np.int64), ("size", np.int32))
+        order = np.argsort(gram, kind="stable")
+        starts = runs(gram[order])
+        df = np.diff(starts)
+        order = order[np.repeat(df > 1, df)]
+        gram, doc, n = gram[order], doc[order], n[order]
+        df = np.minimum(np.repeat(df[df > 1], df[df > 1]), 65535).astype(np.uint16)
+        order = np.argsort(doc, kind="stable")
+        gram, df, doc, n = gram[order], df[order], doc[order], n[order]
+        yield block([(int(keys[p]), *cut) for p, cut in split(doc % n_parts, n_parts, gram, df, doc, n)], _GRAMS)
+    return exchange(docs.mapInArrow(emit, _GRAMS_SQL), keys, count, _GRAMS_SQL)
+
+
+def _candidates(shared: DataFrame, keys: np.ndarray, percent: int) -> DataFrame:
+    """Sets (``doc_id, n, grams``) whose prefix reaches a shared shingle, and index blocks of those prefixes (``part``).
+
+    Shingles of one document come first in the order, so a set with enough of them is linked with nothing.
+    ``grams`` holds the shared shingles only: no overlap has others.
+    """
+    n_parts = len(keys)
+    schema = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("doc", pa.binary()), ("size", pa.binary()),
+                        ("doc_id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
 
+    def run(batches):
+        gram, df, doc, n = gather(batches, ("gram", np.uint64), ("df", np.uint16), ("doc", np.int64), ("size", np.int32))
+        order = np.lexsort((n, doc))
+        ends = runs(doc[order])
+        counts, size = np.diff(ends), n[order][ends[:-1]].astype(np.int64)
+        # rows that repeat an id count together; their sets are told apart by ``copies``
+        fine = counts >= size - _prefix(size, percent) + 1
+        order = order[np.repeat(fine, counts)]
+        gram, df, doc, n = gram[order], df[order], doc[order], n[order].astype(np.int64)
+        order = np.lexsort((gram, df, doc))
+        gram, doc, n = gram[order], doc[order], n[order]
+        ends = runs(doc)
+        counts = np.diff(ends)
+        size = n[ends[:-1]] if len(n) else n
+        place = np.arange(len(doc)) - np.repeat(ends[:-1], counts)
+        use = place < np.repeat(_prefix(size, percent) - (size - counts), counts)
+        part = (mix(gram[use]) % np.uint64(n_parts)).astype(np.int64)
+        yield block([(int(keys[p]), g, d, m, None, None, None) for p, (g, d, m) in split(part, n_parts, gram[use], doc[use], n[use].astype(np.int32))], schema)
+        for lo in range(0, len(counts), 500):
+            rows = range(lo, min(lo + 500, len(counts)))
+            yield block([(None, None, None, None, int(doc[ends[i]]), int(size[i]), np.unique(gram[ends[i]:ends[i + 1]])) for i in rows], schema)
+    return exchange(shared, keys, run, "part int, gram binary, doc binary, size binary, doc_id long, n long, grams binary")
+
+
+def _stars(index: DataFrame, keys: np.ndarray, percent: int) -> DataFrame:
+    """Distinct (pivot, doc_id) of all blocks of all index lists with more than one document."""
     def find(batches):
-        from textlake.llm.blocks import gather
         gram, doc, n = gather(batches, ("gram", np.uint64), ("doc", np.int64), ("size", np.int32))
         order = np.lexsort((doc, n, gram))
         gram, doc, n = gram[order], doc[order], n[order].astype(np.int64)
@@ -91,8 +124,7 @@ def _stars(docs: DataFrame, counters: np.ndarray, size: int, percent: int) -> Da
             for i in range(0, len(pairs), 100_000):
                 some = pairs[i:i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], ["pivot", "doc_id"])
-    blocks = docs.mapInArrow(index, "part int, gram binary, doc binary, size binary")
-    return exchange(blocks, keys, find, "pivot long, doc_id long").distinct()
+    return exchange(index, keys, find, "pivot long, doc_id long").distinct()
 
 
 def _linked(overlap, a, b, percent: int):
@@ -131,7 +163,7 @@ def _with_pivots(stars: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = stars.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     members = stars.join(sizes, "pivot").select("pivot", spread.alias("chunk"), "doc_id")
     pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("doc_id"))
-    return members.union(pivots).join(sets, "doc_id").select("pivot", "chunk", "doc_id", "grams")
+    return members.union(pivots).join(sets, "doc_id").select("pivot", "chunk", "doc_id", "n", "grams")
 
 
 def _first_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -140,9 +172,9 @@ def _first_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for (pivot, _), table in _groups(batches, ["pivot", "chunk"]):
             ids, grams = table.column("doc_id").to_numpy(), _blob(table, "grams")
             at = int(np.flatnonzero(ids == pivot)[0])
-            size = np.array([len(g) for g in grams])
+            held, size = np.array([len(g) for g in grams]), table.column("n").to_numpy()
             inside = np.isin(np.concatenate(grams), grams[at])
-            overlap = np.add.reduceat(inside, np.cumsum(size) - size).astype(np.int64)
+            overlap = np.add.reduceat(inside, np.cumsum(held) - held).astype(np.int64)
             keep = ids != pivot
             yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), pivot)), pa.array(ids[keep]), pa.array(_linked(overlap, size, size[at], percent)[keep])],
                                              ["pivot", "doc_id", "linked"])
@@ -150,14 +182,14 @@ def _first_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "pivot long, doc_id long, linked boolean")
 
 
-def derived_links(pivot: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def derived_links(pivot: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], size_l: np.ndarray, size_r: np.ndarray,
+                  percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two lists of sets, from their overlaps with the pivot and their differences to it.
 
     |x and y| = |p and y| - |(p without x) and y| + |(x without p) and y|: the first is known, the
     other two are counted in an index of the right sets by shingle.
     """
-    size_r = np.array([len(g) for g in right])
-    flat, owner = np.concatenate(right), np.repeat(np.arange(len(right)), size_r)
+    flat, owner = np.concatenate(right), np.repeat(np.arange(len(right)), [len(g) for g in right])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
 
@@ -170,7 +202,7 @@ def derived_links(pivot: np.ndarray, left: list[np.ndarray], right: list[np.ndar
     xs, ys = [], []
     for i, x in enumerate(left):
         overlap = base - count(np.setdiff1d(pivot, x, assume_unique=True)) + count(np.setdiff1d(x, pivot, assume_unique=True))
-        hit = np.flatnonzero(_linked(overlap, len(x), size_r, percent))
+        hit = np.flatnonzero(_linked(overlap, size_l[i], size_r, percent))
         xs.append(np.full(len(hit), i))
         ys.append(hit)
     return np.concatenate(xs), np.concatenate(ys)
@@ -198,13 +230,13 @@ def _rest_links(stars: DataFrame, first: DataFrame, sets: DataFrame, percent: in
 
     def run(batches):
         for (pivot, _, _), table in _groups(batches, ["pivot", "i", "j"]):
-            ids, root, side = (table.column(c).to_numpy() for c in ("doc_id", "root", "side"))
+            ids, root, side, size = (table.column(c).to_numpy() for c in ("doc_id", "root", "side", "n"))
             grams = _blob(table, "grams")
             l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(l) or not len(r):
                 continue
             middle = grams[int(np.flatnonzero(side == 2)[0])]
-            x, y = derived_links(middle, [grams[k] for k in l], [grams[k] for k in r], percent)
+            x, y = derived_links(middle, [grams[k] for k in l], [grams[k] for k in r], size[l], size[r], percent)
             a, b, to = ids[l[x]], ids[r[y]], root[r[y]]
             other = root[l[x]] != to
             a, b, to = a[other], b[other], to[other]
@@ -219,30 +251,23 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     """``doc_id, n_shingles, component_id`` of every document: the smallest doc_id that links reach.
 
     Sets are the distinct ``size``-word shingles of the lower-cased whole text; fewer words are one shingle.
-    Null or empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id stay rows;
-    their sets count apart and meet under the id. A null doc_id is linked with nothing.
+    Null or empty texts have no shingles and are linked with nothing. A doc_id names one text: rows that repeat it
+    stay rows and get its component. A null doc_id is linked with nothing and has no component.
     """
     spark = docs.sparkSession
     narrow_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(_profile(slim, size), "sets")
-    own = profile.where("bucket is null").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
-    counters = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in profile.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        counters[r["bucket"]] = r["n"]
+    own = stored(_profile(slim, size), "sets")
     full = own.where("n_shingles > 0 and doc_id is not null")
     same = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     copies = stored(full.join(same, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct(), "copies")
-    stars = _stars(slim.where("doc_id is not null"), np.minimum(counters, (1 << 31) - 1).astype(np.int32), size, percent)
+    keys = part_keys(spark)
+    shared = _shared_grams(slim.where("doc_id is not null"), keys, size)
+    found = stored(_candidates(shared, keys, percent), "candidates")
+    stars = _stars(found.where("part is not null").select("part", "gram", "doc", "size"), keys, percent)
     stars = stored(stars.join(copies.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select("pivot", "doc_id"), "stars")
-    wanted = stars.select(F.col("doc_id")).union(stars.select("pivot")).distinct()
-
-    def grams(batches):
-        for batch in chunks(batches):
-            value, at = _sets(batch, size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([value[at[i]:at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())],
-                                             ["doc_id", "grams"])
-    sets = stored(slim.join(wanted, "doc_id").mapInArrow(grams, "doc_id long, grams binary"), "grams")
+    wanted = stars.select("doc_id").union(stars.select("pivot")).distinct()
+    sets = stored(found.where("part is null").select("doc_id", "n", "grams").join(wanted, "doc_id"), "grams")
     first = stored(_first_links(stars, sets, percent), "links")
     links = first.where("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     same_id = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
