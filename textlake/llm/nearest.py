@@ -13,7 +13,7 @@ from textlake.llm.blocks import mix, narrow_batches, stored
 from textlake.llm.vectors import best, is_query, matrix, usable
 
 #: Rows of one cell that a task compares at a time; larger cells are cut.
-CELL_ROWS = 2048
+CELL_ROWS = 512
 
 
 def signs(dim: int, tables: int, seed: int) -> np.ndarray:

@@ -259,7 +259,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = stored(_profile(slim, size), "sets")
     full = own.where("n_shingles > 0 and doc_id is not null")
-    same = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # stored, so that the join can split a set that very many documents have
+    same = stored(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "same")
     copies = stored(full.join(same, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct(), "copies")
     keys = part_keys(spark)
     shared = _shared_grams(slim.where("doc_id is not null"), keys, size)

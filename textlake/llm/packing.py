@@ -30,8 +30,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat = None
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         words = []
@@ -45,12 +44,11 @@ class WordEncoder:
             new = list(dict.fromkeys(w for ws in words for w in ws))
         for i in range(0, len(new), 10_000):
             some = new[i:i + 10_000]
-            for word, encoded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[word] = len(self.ids)
-                self.ids.append(np.array(encoded.ids, np.uint32))
-        if new or self.flat is None:
-            self.flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-            self.size = np.array([len(x) for x in self.ids], np.int64)
+            ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            self.flat = np.concatenate([self.flat, np.fromiter((x for word in ids for x in word), np.uint32)])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
+        if new:
             self.begin = np.cumsum(self.size) - self.size
         for ws in words:
             index = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
