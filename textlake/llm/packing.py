@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.blocks import chunks, narrow_batches, stored
+from textlake.llm.blocks import chunks, narrow_batches, stored, text_bytes
+from textlake.llm.words import word_spans
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 2_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of whole texts, for tokenizers that never join text across ASCII white space.
+    """Ids of whole texts, for lower-casing tokenizers that never join text across ASCII white space.
 
-    Each distinct word is encoded once and kept while the cache (``CACHE_WORDS``) has room;
-    a full cache is emptied, so memory is bounded and every text gets its exact ids.
+    Each distinct word is encoded once and kept, by its hash, in sorted arrays; when ``CACHE_WORDS`` are
+    kept the arrays are emptied, so memory is bounded and every text gets its exact ids. A worker keeps
+    its encoder from task to task.
     """
 
     def __init__(self, path: str):
@@ -29,35 +30,51 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        words = []
-        for text in texts:
-            for mark in _BREAKS:
-                text = text.replace(mark, " ")
-            words.append(text.split(" "))
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.size, self.begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each known key, else -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.place[at], -1)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids = []
+        for i in range(0, len(words), 10_000):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[i:i + 10_000], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((x for word in ids for x in word), np.uint32, int(size.sum()))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.place = np.concatenate([self.place, np.arange(len(self.size), len(self.size) + len(size))])
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        self.keys = np.concatenate([self.keys, keys])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.place = self.keys[order], self.place[order]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, n + 1 offsets), for UTF-8 bytes of texts, one after another."""
+        raw = data.tobytes()
+        # the tokenizer lower-cases words itself, but not the strings of its special tokens
+        hashes, starts, ends = word_spans(data, offsets, lower=b"<|" not in raw)
+        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > CACHE_WORDS:
             self._clear()
-            new = list(dict.fromkeys(w for ws in words for w in ws))
-        for i in range(0, len(new), 10_000):
-            some = new[i:i + 10_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for word in ids for x in word), np.uint32)])
-            self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-        if new:
-            self.begin = np.cumsum(self.size) - self.size
-        for ws in words:
-            index = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            size = self.size[index]
-            shift = np.cumsum(size) - size
-            yield self.flat[np.arange(int(size.sum())) + np.repeat(self.begin[index] - shift, size)]
+        place = self._look_up(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            words = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            self._learn(keys[new], words)
+            place = self._look_up(keys)
+        place = place[back]
+        size = self.size[place]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.begin[place] - total[:-1], size)]
+        return ids, total[np.searchsorted(starts, offsets)]
 
 
-_BREAKS = "\t\n\x0b\x0c\r"
+_encoders: dict[str, WordEncoder] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -> DataFrame:
@@ -66,18 +83,19 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -
     Null text counts as empty, so it is one piece of one id. A null doc_id stays null.
     """
     def cut(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoders.setdefault(tokenizer, None) or WordEncoder(tokenizer)
+        _encoders[tokenizer] = encoder
         for batch in chunks(batches):
+            ids, at = encoder.encode(*text_bytes(batch.column("text")))
             rows = []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for n, start in enumerate(range(0, len(ids), size)):
-                    piece = ids[start:start + size]
+            for doc, lo, hi in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                own = np.empty(hi - lo + 1, "<u4")
+                own[:-1], own[-1] = ids[lo:hi], end_id
+                for n, start in enumerate(range(0, len(own), size)):
+                    piece = own[start:start + size]
                     rows.append((doc, n, start, len(piece), zlib.crc32(piece.tobytes())))
-            columns = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
     narrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)

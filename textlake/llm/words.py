@@ -39,11 +39,11 @@ def span_hash(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str = "space") -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, n + 1 offsets of the words of each text)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word."""
     if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    code = LOWER[data]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = LOWER[data] if lower else data
     gap = SEPARATORS[kind][code]
     edge = np.zeros(len(code) + 1, bool)
     edge[offsets] = True
@@ -51,7 +51,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str = "space") -> t
     before[1:], after[:-1] = gap[:-1], gap[1:]
     starts = np.flatnonzero(~gap & (before | edge[:-1]))
     ends = np.flatnonzero(~gap & (after | edge[1:])) + 1
-    return span_hash(code, starts, ends), np.searchsorted(starts, offsets)
+    return span_hash(code, starts, ends), starts, ends
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str = "space") -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, n + 1 offsets of the words of each text)."""
+    value, starts, _ = word_spans(data, offsets, kind)
+    return value, np.searchsorted(starts, offsets)
 
 
 def one_hash(word: str) -> np.uint64:
