@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from textlake.llm.blocks import chunks, narrow_batches, stored, text_bytes
 from textlake.llm.words import word_spans
 
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -25,6 +26,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # Spark runs a task per core; more threads in each would only get in each other's way
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self._clear()
