@@ -32,7 +32,9 @@ GRAM = 18
 #: An anchor with more different contexts than this sends single suffixes.
 HOT = 256
 #: Suffixes that are sorted together.
-SORTED = 1 << 20
+SORTED = 1 << 18
+#: Bytes of text that a task works on at a time.
+PIECE = 1 << 20
 _U32, _U20, _U10, _MASK = np.uint64(32), np.uint64(20), np.uint64(10), np.uint64(1023)
 
 
@@ -144,7 +146,7 @@ def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("context", pa.binary()), ("doc", pa.binary()), ("mark", pa.binary()), ("place", pa.binary()), ("far", pa.binary())])
 
     def emit(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=PIECE):
             data, at = text_bytes(batch.column("text"))
             sums = _Sums(data)
             p = anchors(data, at, sums, length)
@@ -243,7 +245,7 @@ def _entries_then_docs(batches, kinds: tuple[int, ...]):
             if not done:
                 yield {k: _sorted([np.concatenate(x) if x else np.zeros(0, t) for x, (_, t) in zip(held[k], types)]) for k in kinds}
                 done = True
-            yield from chunks([_restored(batch.slice(int(rows[0])))])
+            yield from chunks([_restored(batch.slice(int(rows[0])))], limit=PIECE)
 
 
 def _sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -304,7 +306,7 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
                 rows = [i for i, f in enumerate(flag) if f is w]
                 if not rows:
                     continue
-                some = batch.take(pa.array(rows))
+                some = batch if len(rows) == batch.num_rows else batch.take(pa.array(rows))
                 got = [read(some.column(n), t) for n, t in (("bytes", np.uint8), ("doc", np.int64), ("mark", np.uint32), ("place", np.int32), ("left", np.uint8), ("right", np.uint8))]
                 if w is None:
                     out.append((got[1], got[2], got[3]))
@@ -314,6 +316,7 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
             if not parts:
                 continue
             columns_ = [np.concatenate(x) for x in zip(*parts)]
+            parts.clear()
             size = wide if w else length
             rows = columns_[0].reshape(-1, size)
             # suffixes of different anchors share no window, so the part is sorted in pieces of whole anchors
