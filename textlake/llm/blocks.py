@@ -8,6 +8,8 @@ share of the items, so its memory follows ``spark.sql.shuffle.partitions``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,9 +47,16 @@ def exchange(df: DataFrame, keys: np.ndarray, fn: Callable[[Batches], Batches],
     return df.repartition(len(keys), "part").mapInArrow(fn, schema)
 
 
-def narrow_batches(spark: SparkSession) -> None:
+def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows: texts and blocks are large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release() -> None:
+    """Hand memory that earlier tasks of this worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def chunks(batches: Batches, text: str = "text", limit: int = CHUNK_BYTES) -> Batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from textlake.llm.blocks import block, chunks, exchange, gather, mix, narrow_batches, part_keys, read, runs, split, stored, text_bytes
+from textlake.llm.blocks import block, chunks, exchange, gather, mix, narrow_batches, part_keys, read, release, runs, split, stored, text_bytes
 from textlake.llm.words import _BACK, _BYTE, _STEP, powers
 
 GRAM = 18
@@ -146,6 +146,7 @@ def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("context", pa.binary()), ("doc", pa.binary()), ("mark", pa.binary()), ("place", pa.binary()), ("far", pa.binary())])
 
     def emit(batches):
+        release()
         for batch in chunks(batches, limit=PIECE):
             data, at = text_bytes(batch.column("text"))
             sums = _Sums(data)
@@ -160,6 +161,7 @@ def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
             yield block([(int(keys[k]), *cut) for k, cut in split(part, n_parts, gram, context, ids[row], tags[row], *_planes(p - at[row]))], schema)
 
     def resolve(batches):
+        release()
         gram, context, doc, mark, low, far = gather(batches, ("gram", np.uint64), ("context", np.uint64), ("doc", np.int64), ("mark", np.uint32), ("place", np.uint16), ("far", np.uint16))
         place = (far.astype(np.int32) << 16) | low
         order = np.argsort(gram, kind="stable")
@@ -261,6 +263,7 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
     sql = "part int, wide boolean, bytes binary, doc binary, mark binary, place binary, left binary, right binary"
 
     def cut(batches):
+        release()
         stream = _entries_then_docs(batches, (_CHECK, _HOT))
         found = next(stream, None)
         for batch in stream:
@@ -298,6 +301,7 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
             yield block(rows, pa.schema(columns))
 
     def compare(batches):
+        release()
         held = {True: [], False: []}
         out = []
         for batch in batches:
@@ -321,6 +325,7 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
             rows = columns_[0].reshape(-1, size)
             # suffixes of different anchors share no window, so the part is sorted in pieces of whole anchors
             pieces = 1 + rows.size // SORTED
+            release()
             own = _row_hash(rows[:, reach:reach + GRAM] if w else rows) % np.uint64(pieces)
             for _, (some, doc, mark, place, left, right) in split(own.astype(np.int64), pieces, rows, *columns_[1:]):
                 ranks = suffix_ranks(some.ravel(), length)
@@ -362,7 +367,7 @@ def removed_spans(docs: DataFrame, length: int = 50, keep: bool = False) -> Data
     character are left out), whatever other columns there are.
     """
     spark = docs.sparkSession
-    narrow_batches(spark)
+    narrow_batches(spark, 200)
     keys = part_keys(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.encode(text, "UTF-8")).alias("tag"), text.alias("text"),
@@ -373,6 +378,7 @@ def removed_spans(docs: DataFrame, length: int = 50, keep: bool = False) -> Data
     reach = length - GRAM
 
     def finish(batches):
+        release()
         stream = _entries_then_docs(batches, (_COPY, _WINDOW))
         found = next(stream, None)
         for batch in stream:
