@@ -21,6 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
@@ -276,7 +277,7 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
                 row, entry = _slices(ids, tags, doc, mark)
                 p = at[row] + place[entry]
                 left, right = np.minimum(place[entry], reach), np.minimum(at[row + 1] - p, length)
-                bytes_ = padded[p[:, None] + np.arange(wide)]
+                bytes_ = sliding_window_view(padded, wide)[p]
                 if kind == _CHECK:
                     part = (gram[entry] % np.uint64(n_parts)).astype(np.int64)
                     items = [bytes_, ids[row], tags[row], place[entry], left.astype(np.uint8), right.astype(np.uint8)]
@@ -284,7 +285,7 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
                     start = np.arange(reach + 1)
                     inside = (start >= reach - left[:, None]) & (start + length <= reach + right[:, None])
                     which, start = np.nonzero(inside)
-                    window = bytes_[which[:, None], start[:, None] + np.arange(length)]
+                    window = sliding_window_view(bytes_, length, axis=1)[which, start]
                     d, first = ids[row][which], place[entry][which] + start - reach
                     hashes = _row_hash(window)
                     # equal windows of one batch meet here; only the smallest document goes on
