@@ -369,10 +369,10 @@ def removed_spans(docs: DataFrame, length: int = 50, keep: bool = False) -> Data
     """
     spark = docs.sparkSession
     narrow_batches(spark, 200)
-    keys = part_keys(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.encode(text, "UTF-8")).alias("tag"), text.alias("text"),
                        (F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]) if keep else F.lit(0)).alias("rest"))
+    keys = part_keys(spark, slim)
     known = slim.where("doc_id is not null").withColumn("rest", F.lit(0))
     entries = stored(_find_repeats(known, keys, length), "repeats")
     windows = stored(_check_contexts(known, entries, keys, length), "windows")
