@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.functions.sums import exact_sum
+
 # --- fixed values: USD per million tokens, input and output --------------------------
 PRICES = {"gpt-4o": (5.00, 15.00), "gpt-4o-mini": (0.15, 0.60), "local-llm": (0.0, 0.0)}
 
@@ -121,5 +123,5 @@ def op_cost_dedup(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Time, cost and tokens with every operator counted once across paths."""
     once = stats.groupBy(*keys, "op_id").agg(F.min(F.struct("path", "seconds", "cost", "tokens")).alias("f"))
     return once.groupBy(*keys).agg(
-        F.count("*").alias("n_ops"), F.sum(F.col("f.seconds").cast("decimal(18,2)")).cast("double").alias("seconds"),
-        F.sum(F.col("f.cost").cast("decimal(18,2)")).cast("double").alias("cost"), F.sum("f.tokens").alias("tokens"))
+        F.count("*").alias("n_ops"), exact_sum(F.col("f.seconds")).alias("seconds"),
+        exact_sum(F.col("f.cost")).alias("cost"), F.sum("f.tokens").alias("tokens"))

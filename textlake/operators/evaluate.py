@@ -23,7 +23,7 @@ def ground_truth(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) ->
     from pyspark.errors import AnalysisException, ParseException
     try:
         rows = spark.sql(sql, **tables)
-        return rows.select(F.concat_ws(", ", *[F.col(c).cast("string") for c in rows.columns]).alias("answer"))
+        return rows.select(F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in rows.columns]).alias("answer"))
     except (AnalysisException, ParseException):
         return spark.createDataFrame([], "answer string")
 
@@ -93,9 +93,11 @@ def merge_questions(questions: DataFrame, plans: DataFrame, alternatives: DataFr
 
 
 def content_hash(df: DataFrame, columns: list[str]) -> Column:
-    """Order-free hash of a table's rows as an aggregate column."""
-    row = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns]), 256)
-    return F.bit_xor(F.conv(F.substring(row, 1, 15), 16, 10).cast("bigint"))
+    """Order-free ``rows:sum of hashes`` of a table as an aggregate column; repeated rows and NULL count."""
+    cells = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
+    row = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *cells), 256), 1, 15), 16, 10)
+    total = F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0))
+    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), total.cast("string"))
 
 
 def cache_complete(cache: DataFrame, questions: DataFrame, cached_version: int, version: int) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as X
 from textlake.operators.model import RowModel, model_map
+from textlake.session import cut_lineage
 
 
 def expand_variations(sentences: DataFrame, n: int, model: RowModel, kind: str = "variations", retries: int = 3,
                       null_phrases: list[str] | None = None, cache_path: str | None = None) -> DataFrame:
     """``(…, vid, wording)``: up to n wordings of every sentence.
 
-    With ``null_phrases`` only wordings that hold one are kept. Sentences left without a
+    A sentence without a wording stays, with NULL in both. With ``null_phrases`` only wordings that hold one are kept. Sentences left without a
     wording are asked again, at most ``retries`` times in all; only those rows are rerun.
     """
     def ask(rows: DataFrame, attempt: int) -> DataFrame:
@@ -28,10 +29,11 @@ def expand_variations(sentences: DataFrame, n: int, model: RowModel, kind: str =
 
     done = ask(sentences, 0)
     if null_phrases:
+        done = cut_lineage(done)  # a retry does not ask again what was answered
         for attempt in range(1, retries):
             missing = done.where(F.size("_list") == 0).drop("_list")
-            done = done.where(F.size("_list") > 0).unionByName(ask(missing, attempt))
-    return done.select(*sentences.columns, F.posexplode("_list").alias("vid", "wording"))
+            done = done.where(F.size("_list") > 0).unionByName(cut_lineage(ask(missing, attempt)))
+    return done.select(*sentences.columns, F.posexplode_outer("_list").alias("vid", "wording"))
 
 
 def templates_from_sentences(sentences: DataFrame, rows: DataFrame, model: RowModel, n: int = 3) -> DataFrame:
@@ -54,5 +56,6 @@ def templates_from_sentences(sentences: DataFrame, rows: DataFrame, model: RowMo
                           F.when(F.col("is_static"), "STANDARD").otherwise(F.col("field_class")).alias("field_class"),
                           F.col("pattern").alias("sentence"))
     worded = expand_variations(asked, n, model)
-    return worded.select("row_id", "pos", "field", "is_static", "field_class", F.lit("std").alias("pool"), "vid",
-                         X.clean_malformed_variation(F.col("wording")).alias("pattern"))
+    return worded.select("row_id", "pos", "field", "is_static", "field_class", F.lit("std").alias("pool"),
+                         F.coalesce("vid", F.lit(0)).alias("vid"),
+                         X.clean_malformed_variation(F.coalesce("wording", "sentence")).alias("pattern"))

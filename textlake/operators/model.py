@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.vocab import IMPLICIT_NULL_PHRASES
@@ -18,6 +20,14 @@ class RowModel(Protocol):
     def answer(self, prompts: pd.Series) -> pd.Series: ...
 
 
+def _stored_answers(spark: SparkSession, path: str) -> DataFrame | None:
+    """Answers of all earlier calls; None before the first."""
+    try:
+        return spark.read.schema("prompt string, answer string").option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException:
+        return None
+
+
 def model_map(df: DataFrame, prompt: str, model: RowModel, out: str = "answer",
               cache: DataFrame | None = None, cache_path: str | None = None,
               tasks: int | None = None) -> DataFrame:
@@ -25,13 +35,15 @@ def model_map(df: DataFrame, prompt: str, model: RowModel, out: str = "answer",
 
     Each distinct prompt is asked once, and not at all when ``cache`` (prompt, answer)
     holds it. With ``cache_path`` the answers are stored before they are joined back, so
-    that a lost executor never asks again. Prompts are small but answers are slow, so they
+    that a lost executor never asks again; each call stores only prompts that are not there yet. Prompts are small but answers are slow, so they
     are spread over ``tasks`` tasks whatever their size.
     """
     spark = df.sparkSession
     asked = df.select(F.col(prompt).alias("prompt")).where("prompt is not null").distinct()
     if cache is not None:
         asked = asked.join(cache.select("prompt"), "prompt", "left_anti")
+    if cache_path and (old := _stored_answers(spark, cache_path)) is not None:
+        asked = asked.join(old.select("prompt"), "prompt", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -40,10 +52,12 @@ def model_map(df: DataFrame, prompt: str, model: RowModel, out: str = "answer",
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = asked.repartition(tasks, "prompt").mapInPandas(run, "prompt string, answer string")
     if cache_path:
-        answers.write.mode("append").parquet(cache_path)
-        answers = spark.read.parquet(cache_path)
+        answers.write.parquet(f"{cache_path}/run-{uuid.uuid4().hex}")
+        answers = _stored_answers(spark, cache_path)
     if cache is not None:
         answers = answers.unionByName(cache.select("prompt", "answer"))
+    if cache_path or cache is not None:
+        answers = answers.groupBy("prompt").agg(F.min("answer").alias("answer"))
     answers = answers.withColumnsRenamed({"prompt": prompt, "answer": out})
     return df.join(answers, prompt, "left")
 
@@ -70,7 +84,7 @@ class RuleModel:
         return args[0] if args else ""
 
     @staticmethod
-    def _variations(sentence: str, n: str) -> str:
+    def _variations(sentence: str, n: str, attempt: str = "") -> str:
         """Numbered list of n wordings."""
         def word(i: int) -> str:
             before, after = FRAMES[i % len(FRAMES)]

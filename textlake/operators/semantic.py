@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake import vocab
+from textlake.functions.sums import exact_sum
 from textlake.operators.bank import Bank, Template, normalize_pattern, placeholder
 from textlake.operators.model import RowModel, model_map
 
@@ -166,11 +167,21 @@ def sem_join(left: DataFrame, right: DataFrame, on: tuple[str, str], how: str =
 def merge_joined(joined: DataFrame) -> DataFrame:
     """One document per pair: left text, blank line, right text; the left side's identity.
 
-    Field columns of both sides stay, so that joins can be chained.
+    Field columns of both sides stay, so that joins can be chained: of a name that both sides
+    have, the left one keeps it and the right one gets ``right_`` before it.
     """
     text = F.concat_ws("\n\n", "contents_left", "contents_right")
-    keep = [F.col(c).alias(c.removesuffix("_left")) for c in joined.columns
-            if not c.endswith("_right") and c != "contents_left"]
+    both = {c.removesuffix("_left") for c in joined.columns
+            if c.endswith("_left") and f"{c.removesuffix('_left')}_right" in joined.columns}
+    names = {f"{b}_left": b for b in both}
+    taken = {names.get(c, c) for c in joined.columns}
+    for base in sorted(both):
+        name = f"right_{base}"
+        while name in taken:
+            name = f"right_{name}"
+        taken.add(name)
+        names[f"{base}_right"] = name
+    keep = [F.col(f"`{c}`").alias(names.get(c, c)) for c in joined.columns if c not in ("contents_left", "contents_right")]
     return joined.select(*keep, text.alias("contents"))
 
 
@@ -192,15 +203,14 @@ def sem_anti(left: DataFrame, right: DataFrame, on: tuple[str, str]) -> DataFram
 # --- aggregates ----------------------------------------------------------------------
 
 def aggregate_of(func: str, field: str | None) -> Column:
-    """Aggregate column; sums and averages go through decimals so that order does not matter."""
+    """Aggregate column; sums and averages do not depend on the order of rows."""
     func = func.lower()
     if func == "count":
         return F.count(F.lit(1) if field in (None, "*") else F.col(field))
-    exact = F.col(field).cast("decimal(18,2)")
     if func == "sum":
-        return F.sum(exact).cast("double")
+        return exact_sum(F.col(field))
     if func == "avg":
-        return F.try_divide(F.sum(exact).cast("double"), F.count(field))
+        return F.try_divide(exact_sum(F.col(field)), F.count(field))
     return {"min": F.min, "max": F.max, "count distinct": F.countDistinct}[func](field)
 
 
@@ -210,15 +220,32 @@ def sem_agg(docs: DataFrame, aggs: dict[str, Column | tuple[str, str | None]], g
     return docs.groupBy(*group).agg(*columns) if group else docs.agg(*columns)
 
 
-def sem_topk(docs: DataFrame, by: str, k: int = 1, ascending: bool = False, tie: str = "row_id") -> DataFrame:
-    """Best k documents by a field, ties by key."""
-    order = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
-    return docs.orderBy(order, F.col(tie)).limit(k)
+SortKey = str | tuple[str, str] | tuple[str, str, str]
+
+
+def sort_keys(by: SortKey | list[SortKey], ascending: bool = False) -> list[Column]:
+    """Sort columns of ``field``, ``(field, "asc" | "desc")`` or ``(field, direction, "first" | "last")``; NULL is last unless said."""
+    out = []
+    for key in by if isinstance(by, list) else [by]:
+        field, direction, nulls = (*((key,) if isinstance(key, str) else key), None, None)[:3]
+        up = ascending if direction is None else direction == "asc"
+        out.append(getattr(F.col(field), f"{'asc' if up else 'desc'}_nulls_{nulls or 'last'}")())
+    return out
+
+
+def sem_topk(docs: DataFrame, by: SortKey | list[SortKey], k: int = 1, ascending: bool = False, tie: str = "row_id") -> DataFrame:
+    """Best k documents by one or several fields, ties by key where the documents have it."""
+    return docs.orderBy(*sort_keys(by, ascending), *([tie] if tie in docs.columns else [])).limit(k)
 
 
 def sem_cluster_by(docs: DataFrame, keys: list[str], name: str = "group_key") -> DataFrame:
-    """Group documents by extracted keys; later aggregates use the group column."""
-    return docs.withColumn(name, F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    """Group documents by extracted keys; later aggregates use the group column.
+
+    Keys are joined by ``|``; a ``|`` or backslash of a key gets a backslash, empty text is ``\\E`` and NULL is empty.
+    """
+    texts = [F.col(k).cast("string") for k in keys]
+    escaped = [F.when(t.isNull(), "").when(t == "", "\\E").otherwise(F.regexp_replace(t, r"([\\|])", r"\\$1")) for t in texts]
+    return docs.withColumn(name, F.concat_ws("|", *escaped))
 
 
 def ungroup(docs: DataFrame, name: str = "group_key") -> DataFrame:
@@ -285,31 +312,56 @@ def _condition(step: dict, scalars: dict[str, Column]) -> Column:
 
 
 def _final_value(step: dict, docs: DataFrame, group: list[str]) -> DataFrame:
-    """Rows ``(group_key, answer)`` of one final step."""
-    keyed = docs.withColumn("group_key", F.concat_ws("|", *group) if group else F.lit(""))
+    """Rows ``(group_key, answer)`` of one final step.
+
+    An aggregate step may hold ``having`` (a condition), ``order`` (sort keys) and ``limit``
+    over the group keys and ``value``, the aggregate. A NULL key reads ``NULL``.
+    """
+    label = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in group]) if group else F.lit("")
     if step["op"] == "agg":
         column = step["column"] if "column" in step else aggregate_of(step["func"], step.get("field"))
-        value = keyed.groupBy("group_key").agg(column.alias("v")) if group else keyed.agg(
-            F.lit("").alias("group_key"), column.alias("v"))
-        return value.select("group_key", F.col("v").cast("string").alias("answer"))
-    return keyed.select("group_key", F.col(step["field"]).cast("string").alias("answer"))
+        rows = (docs.groupBy(*group) if group else docs).agg(column.alias("value"))
+        rows = rows.where(step["having"]) if "having" in step else rows
+        rows = rows.orderBy(*sort_keys(step["order"])) if "order" in step else rows
+        rows = rows.limit(step["limit"]) if "limit" in step else rows
+        return rows.select(label.alias("group_key"), F.col("value").cast("string").alias("answer"))
+    return docs.select(label.alias("group_key"), F.col(step["field"]).cast("string").alias("answer"))
+
+
+_STEPS = {"subquery", "filter", "join", "semi", "anti", "group", "map", "dedup", "topk", "setop", "agg", "extract"}
+
+
+def _filtered(docs: DataFrame, step: dict, scalars: dict[str, Column], lists: dict[str, DataFrame]) -> DataFrame:
+    """``in`` and ``not_in`` name a sub-query of many rows; other conditions are columns. NULL is not in a list, nor outside it."""
+    for word, keep in (("in", sem_semi), ("not_in", sem_anti)):
+        if word in step:
+            return keep(docs.where(F.col(step["field"]).isNotNull()), lists[step[word]], (step["field"], "answer"))
+    return sem_filter(docs, _condition(step, scalars))
 
 
 def run_steps(tables: dict[str, DataFrame], steps: list[dict]) -> list[DataFrame]:
     """Run a declared list of steps; one lazy result per final step, in order.
 
     Order of work: sub-queries, filters of a single table, joins, remaining filters,
-    grouping, top-k, finals. Catalyst sees one plan per result.
+    grouping, top-k, finals. Catalyst sees one plan per result. A sub-query with ``many`` is a
+    list for ``in`` filters; ``setop`` combines the named fields with those of another table.
     """
+    if unknown := {s["op"] for s in steps} - _STEPS:
+        raise ValueError(f"unknown steps: {sorted(unknown)}")
     scalars: dict[str, Column] = {}
+    lists: dict[str, DataFrame] = {}
     for s in steps:
         if s["op"] == "subquery":
             result = run_steps(tables, s["steps"])[0]
-            scalars[s["name"]] = result.select(F.col("answer").cast(s.get("type", "double"))).scalar()
+            typed = result.select(F.col("answer").cast(s.get("type", "double")).alias("answer"))
+            if s.get("many"):
+                lists[s["name"]] = typed.distinct()
+            else:
+                scalars[s["name"]] = typed.scalar()
     sets = dict(tables)
     for s in steps:
         if s["op"] == "filter" and s.get("table"):
-            sets[s["table"]] = sem_filter(sets[s["table"]], _condition(s, scalars))
+            sets[s["table"]] = _filtered(sets[s["table"]], s, scalars, lists)
     docs = sets[next((s["left"] for s in steps if s["op"] == "join"), next(iter(sets)))]
     for s in steps:
         if s["op"] == "join":
@@ -319,7 +371,7 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict]) -> list[DataFrame
     group: list[str] = []
     for s in steps:
         if s["op"] == "filter" and not s.get("table"):
-            docs = sem_filter(docs, _condition(s, scalars))
+            docs = _filtered(docs, s, scalars, lists)
         elif s["op"] == "group":
             group = s["keys"]
         elif s["op"] == "map":
@@ -328,6 +380,9 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict]) -> list[DataFrame
             docs = sem_dedup(docs, s["keys"])
         elif s["op"] == "topk":
             docs = sem_topk(docs, s["by"], s.get("k", 1), s.get("ascending", False))
+        elif s["op"] == "setop":
+            docs = sem_setop(docs.select(*s["fields"]), sets[s["right"]].select(*s.get("right_fields", s["fields"])),
+                             s["kind"], s.get("distinct", True))
     return [_final_value(s, docs, group) for s in steps if s["op"] in ("agg", "extract")]
 
 

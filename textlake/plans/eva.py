@@ -129,7 +129,7 @@ def _(spark, sf):
 
 
 @query("eva_9_cache_complete", """select count(*) filter (where doc_id not in (select doc_id from labels)) as missing, 0::bigint as extra, count(*) filter (where doc_id not in (select doc_id from labels)) = 0 as complete,
- (select bit_xor(('0x' || substr(sha256(cast(doc_id as varchar) || chr(31) || lang), 1, 15))::BIGINT) from documents) as hash from documents""")
+ (select cast(count(*) as varchar) || ':' || cast(sum(('0x' || substr(sha256('v' || cast(doc_id as varchar) || chr(31) || coalesce('v' || lang, 'n')), 1, 15))::BIGINT) as varchar) from documents) as hash from documents""")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     check = E.cache_complete(table(spark, sf, "labels").select(F.col("doc_id").alias("question_id")),

@@ -207,7 +207,7 @@ def _(spark, sf):
     return counts
 
 
-@query("snk_6_write_metrics", """select conv_id, turn, substr(array_to_string(string_split(text, ' '), ', '), 1, 500) as extracted from conversations""")
+@query("snk_6_write_metrics", """select conv_id, turn, array_to_string(string_split(text, ' '), ', ') as extracted from conversations""")
 def _(spark, sf):
     words = F.split("text", " ")
     answers = table(spark, sf, "conversations").select("conv_id", "turn", words.alias("extracted"), words.alias("ground_truth"))

@@ -47,11 +47,14 @@ def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def parse_kv(content: Column) -> Column:
-    """Map of ``key: value`` lines, split at the first colon; other lines are dropped."""
+    """Map of ``key: value`` lines, split at the first colon; other lines are dropped, and the last line of a key counts."""
     lines = F.filter(F.split(content, "\n"), lambda s: s.contains(":"))
-    return F.map_from_entries(F.transform(lines, lambda s: F.struct(
+    entries = F.transform(lines, lambda s: F.struct(
         F.trim(F.split_part(s, F.lit(":"), F.lit(1))).alias("key"),
-        F.trim(F.substring(s, F.instr(s, ":") + 1, F.length(s))).alias("value"))))
+        F.trim(F.substring(s, F.instr(s, ":") + 1, F.length(s))).alias("value")))
+    later = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(later, i + 2, F.size(later)), e["key"]))
+    return F.map_from_entries(last)
 
 
 def read_kv_rows(spark: SparkSession, path: str, one_file_per_row: bool = False) -> DataFrame:

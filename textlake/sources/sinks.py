@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def export_kv_rows(df: DataFrame, path: str, names: dict[str, str] | None = None
 
 def to_multi_column(sentences: DataFrame, fields: list[str], key: str = "row_id") -> DataFrame:
     """One column per field holding its sentence, empty when missing; the field list is given, so one pass."""
-    wide = sentences.groupBy(key).pivot("field", fields).agg(F.first("sentence"))
+    wide = sentences.groupBy(key).pivot("field", fields).agg(F.min_by("sentence", "pos") if "pos" in sentences.columns else F.min("sentence"))
     return wide.na.fill("", subset=fields)
 
 
@@ -48,8 +49,10 @@ def write_corpus(docs: DataFrame, path: str, as_files: bool = False) -> None:
 
     def save(rows) -> None:
         for row in rows:
-            with open(os.path.join(path, row.filename), "w", encoding="utf-8") as out:
+            target = os.path.join(path, row.filename)
+            with open(partial := f"{target}.{uuid.uuid4().hex}", "w", encoding="utf-8") as out:
                 out.write(row.contents)
+            os.replace(partial, target)
     clean.foreachPartition(save)
 
 
@@ -68,10 +71,10 @@ def append_missing(new: DataFrame, existing: DataFrame, keys: list[str], path: s
     todo.write.mode("append").parquet(path)
 
 
-def metrics_export(metrics: DataFrame, cut: int = 500) -> DataFrame:
-    """Per-question rows for the report file; answers are shown up to ``cut`` characters."""
-    return metrics.withColumns({c: F.substring(F.array_join(c, ", "), 1, cut)
-                                for c in ("extracted", "ground_truth")})
+def metrics_export(metrics: DataFrame, cut: int | None = None) -> DataFrame:
+    """Per-question rows for the report file; answers are whole unless ``cut`` characters are asked for."""
+    texts = {c: F.array_join(c, ", ") for c in ("extracted", "ground_truth")}
+    return metrics.withColumns({c: t if cut is None else F.substring(t, 1, cut) for c, t in texts.items()})
 
 
 def write_metrics(metrics: DataFrame, summary: DataFrame, path: str) -> None:
