@@ -328,7 +328,8 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
             pieces = 1 + rows.size // SORTED
             release()
             own = _row_hash(rows[:, reach:reach + GRAM] if w else rows) % np.uint64(pieces)
-            for _, (some, doc, mark, place, left, right) in split(own.astype(np.int64), pieces, rows, *columns_[1:]):
+            for _, (pick,) in split(own.astype(np.int64), pieces, np.arange(len(rows))):
+                some, doc, mark, place, left, right = (c[pick] for c in (rows, *columns_[1:]))
                 ranks = suffix_ranks(some.ravel(), length)
                 if w:
                     start = np.arange(reach + 1)
