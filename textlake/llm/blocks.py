@@ -23,6 +23,8 @@ from textlake.session import cut_lineage, scratch_path
 CHUNK_BYTES = 2 << 20
 #: Bytes of text whose windows a part should hold.
 PART_BYTES = 8 << 20
+#: What a worker may keep from task to task; a task that needs the memory drops it with ``release``.
+worker_cache: dict[str, object] = {}
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -62,7 +64,8 @@ def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def release() -> None:
-    """Hand memory that earlier tasks of this worker have freed back to the system."""
+    """Drop what earlier tasks of this worker have kept, and hand freed memory back to the system."""
+    worker_cache.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.blocks import chunks, narrow_batches, stored, text_bytes
+from textlake.llm.blocks import chunks, narrow_batches, stored, text_bytes, worker_cache
 from textlake.llm.words import word_spans
 
 CACHE_WORDS = 1_000_000
@@ -22,7 +22,7 @@ class WordEncoder:
 
     Each distinct word is encoded once and kept, by its hash, in sorted arrays; when ``CACHE_WORDS`` are
     kept the arrays are emptied, so memory is bounded and every text gets its exact ids. A worker keeps
-    its encoder from task to task.
+    its encoder from task to task, until a task of another kind releases it.
     """
 
     def __init__(self, path: str):
@@ -77,7 +77,11 @@ class WordEncoder:
         return ids, total[np.searchsorted(starts, offsets)]
 
 
-_encoders: dict[str, WordEncoder] = {}
+def _encoder(path: str) -> WordEncoder:
+    """The worker's encoder; a function of the module, since tasks get copies of what they name themselves."""
+    if path not in worker_cache:
+        worker_cache[path] = WordEncoder(path)
+    return worker_cache[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -> DataFrame:
@@ -86,8 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -
     Null text counts as empty, so it is one piece of one id. A null doc_id stays null.
     """
     def cut(batches):
-        encoder = _encoders.setdefault(tokenizer, None) or WordEncoder(tokenizer)
-        _encoders[tokenizer] = encoder
+        encoder = _encoder(tokenizer)
         for batch in chunks(batches):
             ids, at = encoder.encode(*text_bytes(batch.column("text")))
             rows = []
