@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.parity import compare, connect
-from textlake.llm import language, license, mixing, nearest, ngram_join, ngram_lm, packing, queries, sharding, suffix_dedup, vectors
+from textlake.llm import language, license, mixing, nearest, ngram_join, ngram_lm, packing, queries, sharding, suffix_dedup, vectors, word_lm
 from textlake.llm.block_topk import quantised, top_products
 from textlake.llm.blocks import components
 
@@ -249,6 +249,42 @@ def test_katz_awkward_rows(docs, none):
     assert ngram_lm.score(none, F.lit(True)).count() == 0
 
 
+def test_whole_word_katz(spark, table, monkeypatch):
+    monkeypatch.setattr(word_lm, "SPREAD", 20)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_katz_scores"](spark, SF).collect()}
+    tokens = {d: words(t) + [None] for d, t, _ in table}
+    train = [d for d in tokens if zlib.crc32(str(d).encode()) % 10]
+    count = collections.Counter(w for d in train for w in tokens[d])
+    total, once = sum(count.values()), sum(n == 1 for n in count.values())
+    assert total > 65_000  # rare words have bigrams of their own in tables of any size
+    follow = collections.defaultdict(collections.Counter)
+    for d in train:
+        for a, b in zip(["", *tokens[d]], tokens[d]):
+            follow[a][b] += 1
+    few = collections.Counter(n for f in follow.values() for n in f.values())
+    discount = ngram_lm.good_turing(np.array([few[i] for i in range(ngram_lm.CUT + 2)]))
+    kept = lambda n: discount[n] * n if n <= ngram_lm.CUT else n
+    share = lambda w: (count[w] or once) / (total + once)
+    room, back = {}, {}
+    for a, f in follow.items():
+        whole, left = sum(f.values()), sum(map(kept, f.values()))
+        room[a] = whole + (whole - left < 0.25)
+        back[a] = (1 - left / room[a]) / (1 - sum(map(share, f)))
+    for d, ws in tokens.items():
+        want = sum(np.log10(kept(follow[a][b]) / room[a] if a in follow and b in follow[a] else back.get(a, 1.0) * share(b)) for a, b in zip(["", *ws], ws))
+        r = got[d]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in count for w in ws), total)
+        assert abs(r["base_score"] - sum(np.log10((count[w] + 0.1) / (total + 0.1 * (len(count) + 1))) for w in ws)) < 1e-6
+        assert abs(r["score"] - want) < 1e-6
+
+
+def test_whole_word_katz_awkward_rows(docs, none):
+    assert word_lm.score(docs, F.col("doc_id") > 3).count() == len(ROWS)
+    untrained = word_lm.score(docs, F.lit(False)).collect()
+    assert len(untrained) == len(ROWS) and all(np.isfinite(r["score"]) and r["n_known"] == 0 for r in untrained)
+    assert word_lm.score(none, F.lit(True)).count() == 0
+
+
 VECTORS = [(100, [1.0, 0.0, 0.5]), (200, [0.0, 0.0, 0.0]), (300, None), (1, [1.0, 0.1, 0.5]), (2, [1.0, 0.1, 0.5]), (3, [float("nan"), 0.0, 1.0]), (4, [None, 1.0, 1.0]), (5, [-1.0, 2.0, 0.25])]
 
 

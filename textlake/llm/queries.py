@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import block_topk, language, license, mixing, nearest, ngram_join, ngram_lm, packing, sharding, suffix_dedup, vectors
+from textlake.llm import block_topk, language, license, mixing, nearest, ngram_join, packing, sharding, suffix_dedup, vectors, word_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,7 +92,7 @@ def suffix_array_dedup(spark, sf_dir):
 
 @query("op6_katz_scores")
 def katz_scores(spark, sf_dir):
-    return ngram_lm.score(_table(spark, sf_dir, "documents"), remainder(10) != 0)
+    return word_lm.score(_table(spark, sf_dir, "documents"), remainder(10) != 0)
 
 
 @query("op3_cross_polytope_search")
