@@ -192,6 +192,17 @@ def test_language(spark, table, docs, none):
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_rare_language_keeps_unseen_texts(spark, table):
+    english = [(d, t, "en") for d, t, lang in table if lang == "en" and t][:60]
+    french = [(d, t, "fr") for d, t, lang in table if lang == "fr" and t and len(t) > 400]
+    seen, new = french[:8], french[8:]
+    for some in (seen, seen[:2]):
+        model = language.train(spark.createDataFrame(english + some, "doc_id long, text string, lang string"))
+        best, _, accepted = model.judge([t for _, t, _ in new])
+        own = best == model.langs.index("fr")
+        assert own.mean() > 0.8 and accepted[own].mean() > 0.9
+
+
 def test_kneser_ney_shares_sum_to_one():
     table = language._counts(["abracadabra alakazam", "abra kadabra"])
     codes = np.unique(language.letters(["abracadabra alakazam", "abra kadabra"])[0])

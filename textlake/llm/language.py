@@ -14,6 +14,8 @@ from textlake.llm.blocks import chunks, mix, narrow_batches, runs
 ORDER = 5
 #: Documents of each language that a model learns from; more are drawn by a hash of doc_id.
 TRAIN_DOCS = 1000
+#: A language with fewer different held-out texts is not calibrated: all its texts are accepted.
+MIN_HELD = 4
 _PAD = "\U0010FFFF"
 _FACTOR = 0x9DDFEA08EB382D69
 _codes: list[np.ndarray] = []
@@ -154,11 +156,30 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]], default: float) -> tuple
     return keys, values
 
 
+def _left_out(texts: list[str], uniform: float) -> tuple[np.ndarray, np.ndarray]:
+    """(entropy, scored codes) of each different text that has letters, by a fit on the texts that differ from it."""
+    own, size = [], []
+    for text in dict.fromkeys(texts):
+        rest = [t for t in texts if t != text]
+        if not rest:
+            continue
+        model = Model([""], uniform=uniform)
+        for gram, share, context, back in _counts(rest):
+            model.grams.append(_merged([(gram, share)], 0.0))
+            model.contexts.append(_merged([(context, back)], 1.0))
+        h, n, n_letters = model.entropies([text])
+        if n_letters[0]:
+            own.append(h[0, 0])
+            size.append(n[0])
+    return np.array(own), np.array(size, np.int64)
+
+
 def train(docs: DataFrame, learn: Column | None = None, per_lang: int = TRAIN_DOCS) -> Model | None:
     """Learn the languages of ``docs`` (``doc_id``, ``text``, ``lang``) where ``learn`` holds.
 
     About ``per_lang`` documents of each language are drawn by a hash of doc_id; four of five
-    make the counts, the others calibrate the rejection. None without a labelled text.
+    make the counts, the others calibrate the rejection. With fewer than 20, all make the counts, and each text
+    is measured for the calibration by a fit on the others. None without a labelled text.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     known = known if learn is None else known.where(learn)
@@ -176,7 +197,7 @@ def train(docs: DataFrame, learn: Column | None = None, per_lang: int = TRAIN_DO
     fit, test = {}, {}
     for lang in model.langs:
         ordered = [t for _, t in sorted(texts[lang])]
-        test[lang] = ordered[::5] if len(ordered) >= 20 else ordered
+        test[lang] = ordered[::5] if len(ordered) >= 20 else None
         fit[lang] = [t for i, t in enumerate(ordered) if i % 5] if len(ordered) >= 20 else ordered
     tables = [_counts(fit[lang]) for lang in model.langs]
     for n in range(ORDER):
@@ -185,8 +206,15 @@ def train(docs: DataFrame, learn: Column | None = None, per_lang: int = TRAIN_DO
     model.uniform = 1.0 / (len(model.grams[0][0]) + 1)
     mean, spread = [], []
     for k, lang in enumerate(model.langs):
-        h, n, n_letters = model.entropies(test[lang])
-        own, n = h[n_letters > 0, k], n[n_letters > 0]
+        if test[lang] is None:
+            own, n = _left_out(fit[lang], model.uniform)
+            if len(own) < MIN_HELD:
+                mean.append(0.0)
+                spread.append((np.inf, 1.0))
+                continue
+        else:
+            h, n, n_letters = model.entropies(test[lang])
+            own, n = h[n_letters > 0, k], n[n_letters > 0]
         mean.append(np.median(own) if len(own) else 0.0)
         off = np.abs(own - mean[-1]) if len(own) else np.ones(1)
         long = n >= np.median(n) if len(own) else np.ones(1, bool)
