@@ -180,6 +180,14 @@ def test_license_templates(spark):
     assert [g[4] for g in got[2:]] == ["cc-by-nc", "gpl-3", "", "reserved", ""]
 
 
+def test_license_whole_wordings(spark):
+    whole = " ".join(license._pieces(license.TEMPLATES[0][1].replace("<<optional>>", "").replace("<<end>>", "").replace("<<any 12>>", "the authors or copyright holders")))
+    notice = "redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License"
+    texts = [whole, whole[:whole.index(" the software is provided")], notice.format("", "2"), notice.format("Lesser ", "2.1"), notice.format("Affero ", "3")]
+    got = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == ["mit", "", "gpl-2", "lgpl-2.1", "agpl-3"]
+
+
 def test_language(spark, table, docs, none):
     got = {r["doc_id"]: r for r in queries.QUERIES["op7_language_id"](spark, SF).collect()}
     held = [(d, lang) for d, _, lang in table if zlib.crc32(str(d).encode()) % 3 == 1]

@@ -23,11 +23,18 @@ TEMPLATES = [
             "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
             "permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
             "and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or "
-            "substantial portions of the software"),
+            "substantial portions of the software the software is provided as is without warranty of any kind express or implied "
+            "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no "
+            "event shall <<any 12>> be liable for any claim damages or other liability whether in an action of contract tort or "
+            "otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the <<optional>> terms of the <<end>> mit license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
-            "provided that the above copyright notice and this permission notice appear in all copies"),
+            "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is "
+            "and <<any 4>> disclaims all warranties with regard to this software including all implied warranties of merchantability "
+            "and fitness in no event shall <<any 12>> be liable for any special direct indirect or consequential damages or any "
+            "damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other "
+            "tortious action arising out of or in connection with the use or performance of this software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
             "following conditions are met <<any 3>> redistributions of source code must retain the above copyright notice this list "
             "of conditions and the following disclaimer"),
@@ -47,6 +54,11 @@ TEMPLATES = [
               "software foundation <<end>> <<optional>> either <<end>> version 3"),
     ("gpl-2", "licensed under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free "
               "software foundation <<end>> <<optional>> either <<end>> version 2"),
+    *((label, f"redistribute it and or modify it under the terms of {name} as published by the free software foundation "
+              f"<<optional>> either <<end>> version {version} of the license")
+      for label, name, version in [("gpl-2", "the gnu general public license", "2"), ("lgpl-2", "the gnu library general public license", "2"),
+                                   ("lgpl-2.1", "the gnu lesser general public license", "2 1"),
+                                   ("lgpl-3", "the gnu lesser general public license", "3"), ("agpl-3", "the gnu affero general public license", "3")]),
     ("gpl-3", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
               "foundation either version 3 of the license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
