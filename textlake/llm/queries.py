@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import block_topk, language, license, mixing, nearest, ngram_join, packing, sharding, suffix_dedup, vectors, word_lm
+from textlake.llm import block_topk, collocations, language, license, mixing, nearest, ngram_join, packing, sharding, suffix_dedup, vectors, word_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,26 @@ def mixing_to_targets(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     return mixing.mix(docs).select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
                                    F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+
+
+@query("op11_collocations", r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+      FROM p, range(1, 6) AS r(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cutat FROM c),
+s AS (SELECT cut.lang, cut.phrase, a, cutat, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM cut
+      JOIN f l ON l.lang = cut.lang AND l.k = cutat AND l.phrase = array_to_string(list_slice(w, 1, cutat), ' ')
+      JOIN f r ON r.lang = cut.lang AND r.k = cut.k - cutat AND r.phrase = array_to_string(list_slice(w, cutat + 1, cut.k), ' ')
+      JOIN n ON n.lang = cut.lang),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cutat) = 1),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = low.lang AND len(c.phrase) > len(low.phrase)
+         AND contains(' ' || c.phrase || ' ', ' ' || low.phrase || ' ') AND 100 * c.a >= 100 * low.a)),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM kept)
+SELECT * FROM o WHERE rank <= 2000""")
+def phrase_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
