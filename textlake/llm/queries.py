@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import block_topk, collocations, language, license, mixing, nearest, ngram_join, packing, sharding, suffix_dedup, vectors, word_lm
+from textlake.llm import block_topk, collocations, conversation_trie, language, license, mixing, nearest, ngram_join, packing, sharding, suffix_dedup, vectors, word_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,27 @@ o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a D
 SELECT * FROM o WHERE rank <= 2000""")
 def phrase_collocations(spark, sf_dir):
     return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op12_prefix_trie", """
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, '')), encode(coalesce(text, ''))) AS i,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id AS c, conv_id - conv_id % 5 AS base, count(*) AS n,
+             xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                             lambda a, b: list_reduce([xor(a, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS h
+      FROM o GROUP BY conv_id),
+t AS (SELECT s.*, least(s.h, coalesce(b.n, 0)) AS led FROM s LEFT JOIN s b ON b.c = s.base),
+r AS (SELECT c, i AS d, role, text FROM t JOIN o ON o.conv_id = base AND i <= h
+      UNION ALL SELECT c, led + i - h, role, text FROM t JOIN o ON o.conv_id = c AND i > h),
+l AS (SELECT t.c, coalesce(max(d), 0) AS len FROM t LEFT JOIN r USING (c) GROUP BY t.c),
+p AS MATERIALIZED (SELECT c, d, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY d) AS key, strlen(text) AS bytes FROM r UNION ALL SELECT c, 0, '', 0 FROM t),
+n AS MATERIALIZED (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY d, key),
+k AS (SELECT d - 1 AS d, substr(key, 1, 64 * (d - 1)) AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+u AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, key)),
+b AS (SELECT p.d, p.key, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved FROM u JOIN p ON p.c = u.conv_id AND p.d <= u.d GROUP BY ALL),
+e AS (SELECT d, key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM p JOIN l USING (c) WHERE d = len GROUP BY ALL)
+SELECT u.conv_id, u.d AS depth, up.conv_id AS parent_conv_id, u.n_convs, u.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       coalesce(ends, sha256('')) AS ends_sha256
+FROM u JOIN b USING (d, key) LEFT JOIN e USING (d, key) LEFT JOIN n up ON up.d = u.d - 1 AND up.key = substr(u.key, 1, 64 * (u.d - 1))""")
+def prefix_trie(spark, sf_dir):
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
