@@ -63,22 +63,22 @@ def _pairs(ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(ids[at] * np.uint64(0x9FB21C651E98DF25) + ids[at + 1])
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)
+def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _has(screen: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _bit(keys)
+    at = _bit(keys, (len(screen) * 8).bit_length() - 1)
     return (screen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _counted(found: Iterator[np.ndarray], keys: np.ndarray) -> Batches:
+def _counted(found: Iterator[np.ndarray], keys: np.ndarray, bits: int) -> Batches:
     """Blocks of (key, count) for the parts that own the keys' bits."""
     held: list[np.ndarray] = []
 
     def send():
         value, n = np.unique(np.concatenate(held), return_counts=True)
-        owner = _bit(value) * len(keys) >> SCREEN_BITS
+        owner = _bit(value, bits) * len(keys) >> bits
         return block([(int(keys[p]), v, c) for p, (v, c) in split(owner, len(keys), value, n.astype(np.uint32))], _KEYS)
     for value in found:
         held.append(value)
@@ -89,7 +89,7 @@ def _counted(found: Iterator[np.ndarray], keys: np.ndarray) -> Batches:
         yield send()
 
 
-def _screen(docs: DataFrame, keys: np.ndarray, least: int, hashes) -> np.ndarray:
+def _screen(docs: DataFrame, keys: np.ndarray, least: int, bits: int, hashes) -> np.ndarray:
     """Bitmap of the hashes that ``hashes(batch)`` gives at least ``least`` times in all of ``docs``.
 
     Each part counts the hashes of a range of bits and gives that range back: the driver gets the bitmap,
@@ -99,7 +99,7 @@ def _screen(docs: DataFrame, keys: np.ndarray, least: int, hashes) -> np.ndarray
 
     def count(batches):
         release()
-        yield from _counted((hashes(b) for b in chunks(batches)), keys)
+        yield from _counted((hashes(b) for b in chunks(batches)), keys, bits)
 
     def reduce(batches):
         value, n = gather(batches, ("keys", np.uint64), ("counts", np.uint32))
@@ -108,35 +108,35 @@ def _screen(docs: DataFrame, keys: np.ndarray, least: int, hashes) -> np.ndarray
         starts = runs(value)[:-1]
         if not len(starts):
             return
-        often = _bit(value[starts][np.add.reduceat(n, starts) >= least])
+        often = _bit(value[starts][np.add.reduceat(n, starts) >= least], bits)
         if len(often):
             first = int(often[0]) >> 3
-            bits = np.zeros((int(often[-1]) >> 3) - first + 1, np.uint8)
-            np.bitwise_or.at(bits, (often >> 3) - first, np.left_shift(1, often & 7).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([zlib.compress(bits.tobytes(), 1)])], ["first", "bits"])
+            own = np.zeros((int(often[-1]) >> 3) - first + 1, np.uint8)
+            np.bitwise_or.at(own, (often >> 3) - first, np.left_shift(1, often & 7).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([zlib.compress(own.tobytes(), 1)])], ["first", "bits"])
     sent = docs.mapInArrow(count, "part int, keys binary, counts binary")
-    screen = np.zeros(1 << SCREEN_BITS - 3, np.uint8)
+    screen = np.zeros(1 << bits - 3, np.uint8)
     for row in exchange(sent, keys, reduce, "first long, bits binary").collect():
-        bits = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-        screen[row["first"]:row["first"] + len(bits)] |= bits
+        own = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        screen[row["first"]:row["first"] + len(own)] |= own
     return screen
 
 
-def _counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _counts(docs: DataFrame, least: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """(``lang, level, w1..w5, f`` of all prefixes of windows, ``id, word`` of the words that may be frequent).
 
     ``level`` is the number of words, 0 for all places of a language; only prefixes with ``f >= least`` are kept.
     """
     spark = docs.sparkSession
     keys = part_keys(spark, docs)
-    often = spark.sparkContext.broadcast(_screen(docs, keys, least, lambda b: _places(b)[0]))
+    often = spark.sparkContext.broadcast(_screen(docs, keys, least, bits, lambda b: _places(b)[0]))
 
     def joined(batch):
         ids, piece, *_ = _places(batch)
         at, pair = _pairs(ids, piece)
         good = _has(often.value, ids)
         return pair[good[at] & good[at + 1]]
-    together = spark.sparkContext.broadcast(_screen(docs, keys, least, joined))
+    together = spark.sparkContext.broadcast(_screen(docs, keys, least, bits, joined))
 
     def windows(batches):
         release()
@@ -181,7 +181,7 @@ def _counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return stored(counts, "prefixes"), docs.mapInArrow(spellings, "id long, word string").groupBy("id").agg(F.min("word").alias("word"))
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int | None = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int | None = 2000, bits: int = SCREEN_BITS) -> DataFrame:
     """Phrases of 2 to 5 words that occur together more often than their parts would by chance, per language.
 
     Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into words ``[^\\x20\\x09]+``; null text is
@@ -194,7 +194,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int | None = 2000) -> D
     spark = docs.sparkSession
     narrow_batches(spark)
     source = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    counts, words = _counts(source, least)
+    counts, words = _counts(source, least, bits)
     sizes = counts.where("level = 0").select("lang", F.col("f").alias("n"))
     phrases = counts.where("level > 0").select("lang", "level", F.array(*_COLUMNS).alias("w"), "f")
     cuts = (phrases.where("level > 1")

@@ -189,11 +189,13 @@ def _ends(members: DataFrame) -> DataFrame:
     Ids are dealt by (node, id), so a node's are joined to pieces of 64 KB in many tasks; one task then
     hashes the pieces of a node as they come, and holds one at a time.
     """
+    piece = PIECE
+
     def join(batches):
         key, texts, first, size = None, [], 0, 0
         for batch in batches:
             for a, b, c in zip(*[batch.column(n).to_pylist() for n in ("g1", "g2", "c")]):
-                if key != (a, b) or size > PIECE:
+                if key != (a, b) or size > piece:
                     if texts:
                         yield _row(key, first, texts)
                     key, texts, first, size = (a, b), [], c, 0

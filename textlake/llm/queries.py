@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import block_topk, collocations, conversation_trie, language, license, mixing, nearest, ngram_join, packing, sharding, suffix_dedup, vectors, word_lm
+from textlake.llm import block_topk, collocations, conversation_trie, language, license, mixing, nearest, ngram_join, packing, sharding, suffix_dedup, toxicity, vectors, word_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,10 @@ SELECT u.conv_id, u.d AS depth, up.conv_id AS parent_conv_id, u.n_convs, u.n_chi
 FROM u JOIN b USING (d, key) LEFT JOIN e USING (d, key) LEFT JOIN n up ON up.d = u.d - 1 AND up.key = substr(u.key, 1, 64 * (u.d - 1))""")
 def prefix_trie(spark, sf_dir):
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+@query("op13_toxicity")
+def toxicity_scores(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), remainder(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (F.coalesce(remainder(5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
