@@ -4,9 +4,9 @@ Every place of a text gives one window: its word and, in lead columns, the four
 piece, padded where the piece ends. Only windows are counted; Spark's ROLLUP over the columns then sums
 them to the counts of all shorter prefixes, so no phrase length is exploded of its own.
 
-A phrase can only reach ``least`` places if each of its words and each of its adjacent pairs does. Words and
-pairs are therefore counted first, by hash and in parts; a window is padded from its first rare word or
-pair on. The screens are bitmaps of a fixed size whatever the input: a rare word that shares a bit with
+A phrase can only reach ``least`` places if each of its words, adjacent pairs and triples does. These are
+therefore screened first, by 40-bit hashes and in parts; a window is padded from its first rare word, pair or
+triple on. The screens are bitmaps of a fixed size whatever the input: a rare word that shares a bit with
 a frequent one costs work only, since counts of phrases come from the windows alone.
 """
 
@@ -24,6 +24,8 @@ from textlake.llm.blocks import Batches, block, chunks, exchange, gather, mix, n
 from textlake.llm.words import LOWER, span_hash
 
 LONGEST = 5
+#: Runs of up to so many words are screened.
+SCREENED = 3
 #: log2 of the bits of a screen: 16 MB, a bound that holds for any input.
 SCREEN_BITS = 27
 #: Hashes a task holds before it counts and sends them.
@@ -32,7 +34,7 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = _BREAK.copy()
 _GAP[[0x20, 0x09]] = True
-_KEYS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_KEYS = pa.schema([("part", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("counts", pa.binary())])
 _COLUMNS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
@@ -57,18 +59,38 @@ def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.maximum(ids, np.uint64(1)), piece, number, starts, ends, code
 
 
-def _pairs(ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places whose next word is in the same piece, hash of each pair)."""
-    at = np.flatnonzero(piece[1:] == piece[:-1])
-    return at, mix(ids[at] * np.uint64(0x9FB21C651E98DF25) + ids[at + 1])
+def _joined(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place of ``at``."""
+    value = ids[at]
+    for k in range(1, n):
+        value = mix(value * np.uint64(0x9FB21C651E98DF25) + ids[at + k])
+    return value
+
+
+def _often(ids: np.ndarray, piece: np.ndarray, screens: list[np.ndarray]) -> list[np.ndarray]:
+    """For each screen n = 1, 2, ..: whether the n words from each place pass it, as all shorter ones in them do."""
+    out = [_has(screens[0], ids)] if screens else []
+    for n in range(2, len(screens) + 1):
+        at = _next(out[-1], piece, n)
+        found = np.zeros(len(ids), bool)
+        found[at] = _has(screens[n - 1], _joined(ids, at, n))
+        out.append(found)
+    return out
+
+
+def _next(shorter: np.ndarray, piece: np.ndarray, n: int) -> np.ndarray:
+    """Places where n words stand in one piece whose first and last n - 1 words pass."""
+    end = max(len(piece) - n + 1, 0)
+    return np.flatnonzero(shorter[:end] & shorter[1:end + 1] & (piece[n - 1:] == piece[:end])) if end else np.zeros(0, np.int64)
 
 
 def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+    """Bit of a screen that a 40-bit key has."""
+    return (keys >> np.uint64(40 - bits)).astype(np.int64)
 
 
-def _has(screen: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _bit(keys, (len(screen) * 8).bit_length() - 1)
+def _has(screen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _bit(hashes >> np.uint64(24), (len(screen) * 8).bit_length() - 1)
     return (screen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -79,9 +101,10 @@ def _counted(found: Iterator[np.ndarray], keys: np.ndarray, bits: int) -> Batche
     def send():
         value, n = np.unique(np.concatenate(held), return_counts=True)
         owner = _bit(value, bits) * len(keys) >> bits
-        return block([(int(keys[p]), v, c) for p, (v, c) in split(owner, len(keys), value, n.astype(np.uint32))], _KEYS)
+        high, low = (value >> np.uint64(8)).astype(np.uint32), value.astype(np.uint8)
+        return block([(int(keys[p]), *columns) for p, columns in split(owner, len(keys), high, low, n.astype(np.uint32))], _KEYS)
     for value in found:
-        held.append(value)
+        held.append(value >> np.uint64(24))
         if sum(map(len, held)) >= FLUSH:
             yield send()
             held.clear()
@@ -89,20 +112,19 @@ def _counted(found: Iterator[np.ndarray], keys: np.ndarray, bits: int) -> Batche
         yield send()
 
 
-def _screen(docs: DataFrame, keys: np.ndarray, least: int, bits: int, hashes) -> np.ndarray:
-    """Bitmap of the hashes that ``hashes(batch)`` gives at least ``least`` times in all of ``docs``.
+def _screen(rows: DataFrame, keys: np.ndarray, least: int, bits: int, hashes) -> np.ndarray:
+    """Bitmap of the hashes that the arrays of ``hashes(batches)`` hold at least ``least`` times in all of ``rows``.
 
     Each part counts the hashes of a range of bits and gives that range back: the driver gets the bitmap,
     16 MB in all, never the hashes.
     """
-    spark = docs.sparkSession
-
     def count(batches):
         release()
-        yield from _counted((hashes(b) for b in chunks(batches)), keys, bits)
+        yield from _counted(hashes(batches), keys, bits)
 
     def reduce(batches):
-        value, n = gather(batches, ("keys", np.uint64), ("counts", np.uint32))
+        high, low, n = gather(batches, ("high", np.uint32), ("low", np.uint8), ("counts", np.uint32))
+        value = (high.astype(np.uint64) << np.uint64(8)) | low
         order = np.argsort(value)
         value, n = value[order], n[order].astype(np.int64)
         starts = runs(value)[:-1]
@@ -114,7 +136,7 @@ def _screen(docs: DataFrame, keys: np.ndarray, least: int, bits: int, hashes) ->
             own = np.zeros((int(often[-1]) >> 3) - first + 1, np.uint8)
             np.bitwise_or.at(own, (often >> 3) - first, np.left_shift(1, often & 7).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([zlib.compress(own.tobytes(), 1)])], ["first", "bits"])
-    sent = docs.mapInArrow(count, "part int, keys binary, counts binary")
+    sent = rows.mapInArrow(count, "part int, high binary, low binary, counts binary")
     screen = np.zeros(1 << bits - 3, np.uint8)
     for row in exchange(sent, keys, reduce, "first long, bits binary").collect():
         own = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
@@ -122,21 +144,21 @@ def _screen(docs: DataFrame, keys: np.ndarray, least: int, bits: int, hashes) ->
     return screen
 
 
-def _counts(docs: DataFrame, least: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(``lang, level, w1..w5, f`` of all prefixes of windows, ``id, word`` of the words that may be frequent).
+def _counts(docs: DataFrame, keys: np.ndarray, least: int, bits: int) -> DataFrame:
+    """``lang, level, w1..w5, f`` of all prefixes of windows.
 
     ``level`` is the number of words, 0 for all places of a language; only prefixes with ``f >= least`` are kept.
     """
-    spark = docs.sparkSession
-    keys = part_keys(spark, docs)
-    often = spark.sparkContext.broadcast(_screen(docs, keys, least, bits, lambda b: _places(b)[0]))
+    spark, screens = docs.sparkSession, []
+    for n in range(1, SCREENED + 1):
+        before = list(screens)
 
-    def joined(batch):
-        ids, piece, *_ = _places(batch)
-        at, pair = _pairs(ids, piece)
-        good = _has(often.value, ids)
-        return pair[good[at] & good[at + 1]]
-    together = spark.sparkContext.broadcast(_screen(docs, keys, least, bits, joined))
+        def hashes(batches, n=n, before=before):
+            for batch in chunks(batches):
+                ids, piece, *_ = _places(batch)
+                at = _next(_often(ids, piece, [s.value for s in before])[-1], piece, n) if before else np.arange(len(ids))
+                yield _joined(ids, at, n)
+        screens.append(spark.sparkContext.broadcast(_screen(docs, keys, least, bits, hashes)))
 
     def windows(batches):
         release()
@@ -145,14 +167,13 @@ def _counts(docs: DataFrame, least: int, bits: int) -> tuple[DataFrame, DataFram
             if not len(ids):
                 continue
             names = batch.column("lang").dictionary_encode().dictionary
-            good = _has(often.value, ids)
-            at, pair = _pairs(ids, piece)
-            follows = np.zeros(len(ids), bool)
-            follows[at] = good[at] & good[at + 1] & _has(together.value, pair)
+            often = _often(ids, piece, [s.value for s in screens])
             lead = np.zeros((LONGEST, len(ids)), np.uint64)
-            lead[0], live = np.where(good, ids, 0), good
+            lead[0], live = np.where(often[0], ids, 0), often[0]
             for k in range(1, LONGEST):
-                live = live[:len(ids) - k] & follows[k - 1:len(ids) - 1]
+                # the word joins if the longest screened run that ends in it is frequent
+                n = min(k + 1, SCREENED)
+                live = live[:len(ids) - k] & often[n - 1][k + 1 - n:len(ids) + 1 - n]
                 lead[k, :len(ids) - k] = np.where(live, ids[k:], 0)
             whole = number.astype(np.uint64)
             for column in lead:
@@ -160,25 +181,46 @@ def _counts(docs: DataFrame, least: int, bits: int) -> tuple[DataFrame, DataFram
             _, first, n = np.unique(whole, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [names.take(pa.array(number[first])), *[pa.array(c[first].view(np.int64)) for c in lead], pa.array(n)], ["lang", *_COLUMNS, "f"])
+    found = docs.mapInArrow(windows, f"lang string, {', '.join(c + ' long' for c in _COLUMNS)}, f long")
+    level = sum(F.when(F.grouping(c) == 0, 1).otherwise(0) for c in _COLUMNS)
+    rolled = (found.rollup("lang", *_COLUMNS)
+              .agg(F.sum("f").alias("f"), level.alias("level"), F.grouping("lang").alias("all")))
+    last = F.coalesce(*[F.col(c) for c in reversed(_COLUMNS)], F.lit(1))
+    counts = rolled.where((F.col("all") == 0) & (last != 0) & ((F.col("f") >= least) | (F.col("level") == 0))).drop("all")
+    return stored(counts, "prefixes")
+
+
+def _spelled(docs: DataFrame, ids: DataFrame, keys: np.ndarray, bits: int) -> DataFrame:
+    """``id, word`` of all words with one of ``ids``, and of some others; a task sends a word about once."""
+    def hashes(batches):
+        for batch in batches:
+            yield batch.column("id").to_numpy().view(np.uint64)
+    wanted = docs.sparkSession.sparkContext.broadcast(_screen(ids, keys, 1, bits, hashes))
 
     def spellings(batches):
         release()
         sent = np.zeros(0, np.uint64)
         for batch in chunks(batches):
-            ids, _, _, starts, ends, code = _places(batch)
-            fresh, place = np.unique(ids, return_index=True)
-            new = _has(often.value, fresh) & ~np.isin(fresh, sent)
+            value, _, _, starts, ends, code = _places(batch)
+            hit = np.flatnonzero(_has(wanted.value, value))
+            fresh, place = np.unique(value[hit], return_index=True)
+            new = ~np.isin(fresh, sent)
+            place = hit[place[new]]
             sent = np.union1d(sent, fresh[new]) if len(sent) < FLUSH else fresh[new]
             raw = code.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(starts[place[new]].tolist(), ends[place[new]].tolist())]
+            words = [raw[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(fresh[new].view(np.int64)), pa.array(words, pa.string())], ["id", "word"])
-    found = docs.mapInArrow(windows, f"lang string, {', '.join(c + ' long' for c in _COLUMNS)}, f long")
-    level = sum(F.when(F.grouping(c) == 0, 1).otherwise(0) for c in _COLUMNS)
-    rolled = (found.rollup("lang", *_COLUMNS)
-              .agg(F.sum("f").alias("f"), level.alias("level"), F.grouping("lang").alias("all")))
-    last = F.coalesce(*[F.col(c) for c in reversed(_COLUMNS)], F.lit(1))
-    counts = rolled.where((F.col("all") == 0) & (last != 0) & ((F.col("f") >= least) | (F.col("level") == 0))).drop("all")
-    return stored(counts, "prefixes"), docs.mapInArrow(spellings, "id long, word string").groupBy("id").agg(F.min("word").alias("word"))
+    return docs.mapInArrow(spellings, "id long, word string").groupBy("id").agg(F.min("word").alias("word"))
+
+
+def _leading(rows: DataFrame, spread, order: list, top: int, place) -> DataFrame:
+    """Rows whose ``place`` (row_number or rank) by ``order`` is at most ``top`` in their language.
+
+    The first of each bucket hold the first of all, so no task orders all rows of a language.
+    """
+    inner = Window.partitionBy("lang", F.pmod(F.xxhash64(spread), F.lit(64))).orderBy(*order)
+    few = rows.withColumn("_place", place().over(inner)).where(F.col("_place") <= top)
+    return few.withColumn("_place", place().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_place") <= top).drop("_place")
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int | None = 2000, bits: int = SCREEN_BITS) -> DataFrame:
@@ -194,7 +236,8 @@ def collocations(docs: DataFrame, least: int = 100, top: int | None = 2000, bits
     spark = docs.sparkSession
     narrow_batches(spark)
     source = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    counts, words = _counts(source, least, bits)
+    keys = part_keys(spark, source)
+    counts = _counts(source, keys, least, bits)
     sizes = counts.where("level = 0").select("lang", F.col("f").alias("n"))
     phrases = counts.where("level > 0").select("lang", "level", F.array(*_COLUMNS).alias("w"), "f")
     cuts = (phrases.where("level > 1")
@@ -211,15 +254,17 @@ def collocations(docs: DataFrame, least: int = 100, top: int | None = 2000, bits
               .agg(F.min(F.struct("score", "k", "l", "r")).alias("s")).select("lang", "w", "a", "n", "s.score", "s.l", "s.r"))
     longer = cuts.where("k = 1 and level > 2").select("lang", F.explode(F.array(F.expr("slice(w, 1, level - 1)"), F.expr("slice(w, 2, level - 1)"))).alias("w"), "a")
     longer = longer.groupBy("lang", "w").agg(F.max("a").alias("in_longer"))
-    kept = stored(lowest.join(longer, ["lang", "w"], "left").where("in_longer is null or 100 * in_longer < 100 * a").drop("in_longer"), "phrases")
+    kept = lowest.join(longer, ["lang", "w"], "left").where("in_longer is null or 100 * in_longer < 100 * a").drop("in_longer")
+    best = [F.col("score").desc(), F.col("a").desc()]
+    if top is not None:  # with all ties of the last place, which the words will settle
+        kept = _leading(kept, "w", best, top, F.rank)
+    kept = stored(kept, "phrases")
+    words = _spelled(source, kept.select(F.explode("w").alias("id")).distinct(), keys, bits)
     spelled = (kept.select("lang", "w", F.posexplode("w").alias("place", "id")).join(words, "id").groupBy("lang", "w")
                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("phrase")))
     ranked = kept.join(spelled, ["lang", "w"])
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
+    order = [*best, F.col("phrase").asc()]
     if top is not None:
-        # the first of each bucket hold the first of all, so no task orders all phrases of a language
-        bucket = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
-        ranked = ranked.withColumn("_in_bucket", F.row_number().over(bucket)).where(F.col("_in_bucket") <= top).drop("_in_bucket")
+        ranked = _leading(ranked, "phrase", order, top, F.row_number)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
