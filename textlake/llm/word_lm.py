@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.blocks import block, exchange, mix, narrow_batches, part_keys, read, split, stored, task_number
+from textlake.llm.blocks import block, exchange, mix, narrow_batches, part_keys, read, release, runs, split, stored, task_number
 from textlake.llm.ngram_lm import CUT, _flushes, _sum, good_turing
 
 #: A context with more than 1/SPREAD of a shuffle partition's tokens is dealt by bigram.
@@ -98,26 +98,37 @@ class Model:
         before[np.cumsum(sizes) - sizes] = self.start
         return before << np.uint64(32) | token.astype(np.uint64)
 
-    def logs(self, table: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """log10 of the bigrams' probabilities; ``table`` is sorted and has all bigrams of each context that is not hot."""
-        a, b = (table >> np.uint64(32)).astype(np.int64), (table & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        contexts, at = np.unique(a, return_inverse=True)
-        kept = np.bincount(at, weights=self.kept(n), minlength=len(contexts) + 1)
-        seen = np.bincount(at, weights=self.share(b), minlength=len(contexts) + 1)
-        a, b = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        i = np.searchsorted(contexts, a)
-        kept, seen = kept[i], seen[i]
-        if self.hot_kept is not None:
-            hot = self.is_hot(a)
-            i = np.where(a[hot] == self.start, self.hot, a[hot])
-            kept[hot], seen[hot] = self.hot_kept[i], self.hot_seen[i]
+    def leaves(self, a: np.ndarray, kept: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Back-off weight of each context, negative where one more count makes room: where all its counts are above CUT."""
         whole = self.context(a)
-        # a context whose counts are all above CUT leaves nothing: one more count makes room
-        room = np.maximum(whole + (whole - kept < 0.25), 1)
-        i = np.minimum(np.searchsorted(table, key), max(len(table) - 1, 0))
-        count = np.where(table[i] == key, n[i], 0) if len(table) else np.zeros(len(key), np.int64)
-        back = np.where(whole > 0, (1 - kept / room) / (1 - np.where(whole > 0, seen, 0)), 1.0)
-        return np.log10(np.where(count > 0, self.kept(count) / room, back * self.share(b)))
+        tight = whole - kept < 0.25
+        back = np.where(whole > 0, (1 - kept / np.maximum(whole + tight, 1)) / (1 - np.where(whole > 0, seen, 0)), 1.0)
+        return np.where(tight, -back, back)
+
+    def sums(self, table: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(contexts, what their discounts keep, share of the words seen after them) of a sorted table, and a row for none."""
+        a, b = (table >> np.uint64(32)).astype(np.int64), (table & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        starts = runs(a)[:-1]
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(1), np.zeros(1)
+        return a[starts], np.append(np.add.reduceat(self.kept(n).astype(float), starts), 0), np.append(np.add.reduceat(self.share(b), starts), 0)
+
+    def own_contexts(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(different contexts of ascending keys, which are hot, place of each key's context)."""
+        a = (key >> np.uint64(32)).astype(np.int64)
+        at = runs(a)
+        own = a[at[:-1]]
+        return own, self.is_hot(own), np.repeat(np.arange(len(own)), np.diff(at)) if len(own) else np.zeros(0, np.int64)
+
+    def logs(self, key: np.ndarray, count: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """log10 of the bigrams' probabilities by their counts and the weights of their contexts that are not hot."""
+        own, hot, at = self.own_contexts(key)
+        back = np.empty(len(own))
+        back[~hot] = weight
+        i = np.where(own[hot] == self.start, self.hot, own[hot])
+        back[hot] = self.leaves(own[hot], self.hot_kept[i], self.hot_seen[i])
+        room, b = np.maximum(self.context(own) + (back < 0), 1), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return np.log10(np.where(count > 0, self.kept(count) / room[at], np.abs(back)[at] * self.share(b)))
 
 
 def _table(blocks: DataFrame, keys: np.ndarray, label: str) -> DataFrame:
@@ -143,7 +154,7 @@ def _ask(number: int, home: int, part: np.ndarray, keys: np.ndarray, key: np.nda
 def _round(heads: DataFrame, ask, table: DataFrame, answer, keys: np.ndarray, close, schema: str) -> DataFrame:
     """Questions of the heads meet the table's parts, the answers meet their heads again.
 
-    ``ask(head)`` gives (parts, keys); ``answer(part, table keys, counts)`` a function of keys; ``close(head, answers by part)`` a batch.
+    ``ask(head)`` gives (parts, keys); ``answer(part, table keys, counts)`` a function from keys to bytes; ``close(head, answers by part)`` a batch.
     """
     n_parts = len(keys)
 
@@ -166,7 +177,7 @@ def _round(heads: DataFrame, ask, table: DataFrame, answer, keys: np.ndarray, cl
                     continue
                 if p not in ready:
                     ready[p] = answer(p, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                out.append((row.column("home")[0].as_py(), row.column("batch")[0].as_py(), row.column("of")[0].as_py(), squeeze(ready[p](key))))
+                out.append((row.column("home")[0].as_py(), row.column("batch")[0].as_py(), row.column("of")[0].as_py(), ready[p](key)))
             yield block(out, _ANSWER)
 
     def closed(batches):
@@ -236,6 +247,7 @@ def score(docs: DataFrame, train_where) -> DataFrame:
                        F.coalesce(train_where, F.lit(False)).alias("train"))
 
     def begin(batches):
+        release()
         for number, (token, at, batch) in enumerate(_flushes(batches)):
             name = (task_number() << 24) + number
             home = int(keys[int(mix(np.array([name], np.uint64))[0] % np.uint64(len(keys)))])
@@ -275,7 +287,7 @@ def score(docs: DataFrame, train_where) -> DataFrame:
 
         def give(key):
             i = np.minimum(np.searchsorted(table, key), max(len(table) - 1, 0))
-            return (np.where(table[i] == key, number[i], unseen) if len(table) else np.full(len(key), unseen)).astype(np.uint32)
+            return squeeze((np.where(table[i] == key, number[i], unseen) if len(table) else np.full(len(key), unseen)).astype(np.uint32))
         return give
 
     def close_words(head, values, n_parts):
@@ -333,11 +345,29 @@ def score(docs: DataFrame, train_where) -> DataFrame:
         return m.parts(key, n_parts), keys, key
 
     def answer_pairs(part, table, n):
-        return lambda key: whole.value.logs(table, n, key)
+        m = whole.value
+        contexts, kept, seen = m.sums(table, n)
+
+        def give(key):
+            i = np.minimum(np.searchsorted(table, key), max(len(table) - 1, 0))
+            count = np.where(table[i] == key, n[i], 0) if len(table) else np.zeros(len(key), np.int64)
+            own, hot, _ = m.own_contexts(key)
+            own = own[~hot]
+            j = np.searchsorted(contexts, own)
+            j = np.where(contexts[np.minimum(j, max(len(contexts) - 1, 0))] == own, j, -1) if len(contexts) else np.full(len(own), -1)
+            counts = squeeze(count)
+            return len(counts).to_bytes(8, "little") + counts + m.leaves(own, kept[j], seen[j]).tobytes()
+        return give
 
     def close_pairs(head, values, n_parts):
         m, key, back, sizes = questions(head)
-        logs = _filled(values, m.parts(key, n_parts), n_parts, np.float64)[back]
+        part = m.parts(key, n_parts)
+        order, ends, logs = np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=n_parts)), np.zeros(len(key))
+        for p, value in values.items():
+            at, raw = order[ends[p - 1] if p else 0:ends[p]], value[0].as_py()
+            end = 8 + int.from_bytes(raw[:8], "little")
+            logs[at] = m.logs(key[at], loosen(pa.array([raw[8:end]]), np.int64), np.frombuffer(raw, np.float64, offset=end))
+        logs = logs[back]
         ids, n = loosen(head.column("ids"), np.int64), len(sizes)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, mask=ids == -(1 << 63)), pa.array(loosen(head.column("train"), np.uint8) == 0), pa.array(sizes), pa.array(loosen(head.column("known"), np.int64)),
