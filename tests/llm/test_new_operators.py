@@ -172,3 +172,18 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [tuple(r) for r in toxicity.score(docs, toxicity.train(docs, none)).collect()] == [(1, 0.0, 0)]
     assert toxicity.score(docs.limit(0), (None, 0.2)).count() == 0
+
+
+def test_pipeline_stages_with_clashing_names(spark):
+    """Columns named like a stage's own stay as they are; rows that share an id or have none keep their texts."""
+    import corpus_pipeline
+    text = [" ".join(f"word{chr(97 + (i * k) % 23)} und{k % 7}" for k in range(40)) for i in range(1, 7)]
+    rows = [(1, text[0], "en", "a", 1), (1, text[1], "en", "a", 2), (None, text[2], "en", "a", 3), (None, text[2], "en", "b", 4), (2, text[0], "en", "b", 5)]
+    names = ["_s", "_L", "_t", "_kept", "_score", "_accepted", "_lang_pred", "own", "_own"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], schema)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, SF).columns == docs.columns
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(1, text[0]), (1, text[1]), (0, text[2])])
+    assert all([r[n] for n in names] == list(range(len(names))) for r in left)

@@ -63,14 +63,23 @@ def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def release() -> None:
-    """Drop what earlier tasks of this worker have kept, and hand freed memory back to the system."""
-    worker_cache.clear()
+def release(*keep: str) -> None:
+    """Drop what earlier tasks of this worker have kept, ``keep`` apart, and hand freed memory back to the system."""
+    for name in [n for n in worker_cache if n not in keep]:
+        del worker_cache[name]
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def free_prefix(columns: list[str], *names: str) -> str:
+    """The shortest run of underscores that makes names which ``columns`` does not have, whatever their case."""
+    taken, prefix = {c.lower() for c in columns}, "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return prefix
+
+
 def chunks(batches: Batches, text: str = "text", limit: int = CHUNK_BYTES) -> Batches:
     """Cut batches so that the texts of each piece stay near ``limit`` bytes; a longer text is alone."""
     for batch in batches:

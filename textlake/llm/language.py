@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.blocks import chunks, mix, narrow_batches, runs
+from textlake.llm.blocks import chunks, mix, narrow_batches, release, runs
 
 ORDER = 5
 #: Documents of each language that a model learns from; more are drawn by a hash of doc_id.
 TRAIN_DOCS = 1000
 #: A language with fewer different held-out texts is not calibrated: all its texts are accepted.
 MIN_HELD = 4
+#: Bytes of text that are judged at once: each takes some 50 bytes of hashes.
+TEXT_BYTES = 256 << 10
 _PAD = "\U0010FFFF"
 _FACTOR = 0x9DDFEA08EB382D69
 _codes: list[np.ndarray] = []
@@ -223,24 +225,25 @@ def train(docs: DataFrame, learn: Column | None = None, per_lang: int = TRAIN_DO
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: bool = False, prefix: str = "_") -> DataFrame:
     """Language of every whole text: ``doc_id, lang_pred, score, accepted``.
 
     ``lang_pred`` has the lowest cross-entropy per character; it is ``und`` with score 0 for a text
     that is null or has no letter, and for all texts when nothing was learned. ``accepted`` is false for
     ``und`` and where the cross-entropy is out of the range calibrated for texts of that length.
-    With ``keep``, all columns of ``docs`` stay and three are added: ``_lang_pred``, ``_score``, ``_accepted``.
+    With ``keep``, all columns of ``docs`` stay and three are added, their names led by ``prefix``; see ``blocks.free_prefix``.
     """
     spark = docs.sparkSession
     narrow_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = ["_lang_pred", "_score", "_accepted"] if keep else ["lang_pred", "score", "accepted"]
+    names = [(prefix if keep else "") + n for n in ("lang_pred", "score", "accepted")]
     source = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = docs.columns if keep else ["doc_id"]
 
     def run(batches):
+        release()
         learned = shared.value
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             n = batch.num_rows
             pred, score, accepted = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
             if learned:
@@ -249,4 +252,4 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(langs, pa.string()), pa.array(score), pa.array(accepted)],
                                              [*kept, *names])
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c in kept)
-    return source.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
+    return source.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm.blocks import free_prefix
+
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells (combinations of source, language and topic) that the driver fits and tasks look up; more raise an error.
 MAX_CELLS = 200_000
@@ -76,8 +78,12 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, share: float) -> np.nd
     return np.minimum(1, high * ratio)
 
 
-def mix(docs: DataFrame, share: float = 0.7, targets: dict[str, dict] | None = None, power: float = 0.7, seed: int = 11) -> DataFrame:
-    """All columns of ``docs`` with ``_topic, _tokens, _weight, _probability, _kept`` added.
+#: Columns that ``mix`` adds.
+NAMES = ("topic", "tokens", "weight", "probability", "kept")
+
+
+def mix(docs: DataFrame, share: float = 0.7, targets: dict[str, dict] | None = None, power: float = 0.7, seed: int = 11, prefix: str = "_") -> DataFrame:
+    """All columns of ``docs`` with ``_topic, _tokens, _weight, _probability, _kept`` added, or led by another ``prefix``.
 
     ``targets`` gives the token share of every source, language and topic (by default the corpus's own
     shares to ``power``). ``_weight`` is the raked weight of one token of the document's cell, ``_probability`` its
@@ -86,9 +92,9 @@ def mix(docs: DataFrame, share: float = 0.7, targets: dict[str, dict] | None = N
     are kept with the chance of their cell. Only cells are counted and collected; documents are not shuffled.
     """
     text = F.col("text").cast("string")
-    marked = docs.withColumns({"_topic": topic_of(text), "_tokens": words_of(text)})
-    marked = marked.withColumn("_topic", F.coalesce("_topic", F.lit("prose")))
-    found = marked.groupBy("source", "lang", F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")).limit(MAX_CELLS + 1).collect()
+    topic, words, weight_of, chance_of, kept = (prefix + n for n in NAMES)
+    marked = docs.withColumns({topic: F.coalesce(topic_of(text), F.lit("prose")), words: words_of(text)})
+    found = marked.groupBy("source", "lang", F.col(topic).alias("topic")).agg(F.sum(words).alias("tokens")).limit(MAX_CELLS + 1).collect()
     if len(found) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} combinations of source, language and topic; join rare sources first")
     keys = [tuple(r[d] for d in DIMENSIONS) for r in found]
@@ -101,8 +107,10 @@ def mix(docs: DataFrame, share: float = 0.7, targets: dict[str, dict] | None = N
     weight = rake(keys, tokens, goals)
     chance = probabilities(tokens, weight, share)
     rows = [(*[None if v is None else str(v) for v in k], float(w / t) if t else 0.0, float(p) if t else 1.0) for k, w, p, t in zip(keys, weight, chance, tokens)]
-    cells = docs.sparkSession.createDataFrame(rows, "_s string, _l string, _t string, _weight double, _probability double")
+    place = free_prefix(marked.columns, "s", "l", "t")
+    own = [*(place + n for n in "slt"), weight_of, chance_of]
+    cells = docs.sparkSession.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(own, ("string", "string", "string", "double", "double"))))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    on = (F.col("source").cast("string").eqNullSafe(F.col("_s")) & F.col("lang").cast("string").eqNullSafe(F.col("_l")) & (F.col("_topic") == F.col("_t")))
+    on = (F.col("source").cast("string").eqNullSafe(F.col(own[0])) & F.col("lang").cast("string").eqNullSafe(F.col(own[1])) & (F.col(topic) == F.col(own[2])))
     # at most MAX_CELLS short rows, checked above
-    return marked.join(F.broadcast(cells), on, "left").drop("_s", "_l", "_t").withColumn("_kept", draw < F.col("_probability"))
+    return marked.join(F.broadcast(cells), on, "left").drop(*own[:3]).withColumn(kept, draw < F.col(chance_of))

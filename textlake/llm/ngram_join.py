@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.blocks import block, chunks, components, exchange, gather, mix, narrow_batches, part_keys, runs, split, stored, text_bytes
+from textlake.llm.blocks import block, chunks, components, exchange, gather, mix, narrow_batches, part_keys, release, runs, split, stored, text_bytes
 from textlake.llm.words import shingles, word_hashes
 
 #: Sets in one chunk of a star; larger stars are cut.
@@ -35,6 +35,7 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
 def _profile(docs: DataFrame, size: int) -> DataFrame:
     """Size and two sums that name the set, for every document."""
     def run(batches):
+        release()
         for batch in chunks(batches):
             value, at = _sets(batch, size)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(value), mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
@@ -52,6 +53,7 @@ def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int) -> DataFrame:
     n_parts = len(keys)
 
     def emit(batches):
+        release()
         for batch in chunks(batches):
             value, at = _sets(batch, size)
             n = np.diff(at)
@@ -60,6 +62,7 @@ def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int) -> DataFrame:
             yield block([(int(keys[p]), g, np.zeros(0, np.uint16), d, m) for p, (g, d, m) in split(part, n_parts, value, doc, np.repeat(n, n).astype(np.int32))], _GRAMS)
 
     def count(batches):
+        release()
         gram, doc, n = gather(batches, ("gram", np.uint64), ("doc", np.int64), ("size", np.int32))
         order = np.argsort(gram, kind="stable")
         starts = runs(gram[order])
@@ -84,6 +87,7 @@ def _candidates(shared: DataFrame, keys: np.ndarray, percent: int) -> DataFrame:
                         ("doc_id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
+        release()
         gram, df, doc, n = gather(batches, ("gram", np.uint64), ("df", np.uint16), ("doc", np.int64), ("size", np.int32))
         order = np.lexsort((n, doc))
         ends = runs(doc[order])
@@ -110,6 +114,7 @@ def _candidates(shared: DataFrame, keys: np.ndarray, percent: int) -> DataFrame:
 def _stars(index: DataFrame, keys: np.ndarray, percent: int) -> DataFrame:
     """Distinct (pivot, doc_id) of all blocks of all index lists with more than one document."""
     def find(batches):
+        release()
         gram, doc, n = gather(batches, ("gram", np.uint64), ("doc", np.int64), ("size", np.int32))
         order = np.lexsort((doc, n, gram))
         gram, doc, n = gram[order], doc[order], n[order].astype(np.int64)
@@ -169,6 +174,7 @@ def _with_pivots(stars: DataFrame, sets: DataFrame) -> DataFrame:
 def _first_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Overlap of every star member with its pivot: ``pivot, doc_id, linked``."""
     def run(batches):
+        release()
         for (pivot, _), table in _groups(batches, ["pivot", "chunk"]):
             ids, grams = table.column("doc_id").to_numpy(), _blob(table, "grams")
             at = int(np.flatnonzero(ids == pivot)[0])
@@ -229,6 +235,7 @@ def _rest_links(stars: DataFrame, first: DataFrame, sets: DataFrame, percent: in
                       F.col("pivot").alias("doc_id"), F.lit(-1).cast("long").alias("root"), F.lit(2).alias("side")))
 
     def run(batches):
+        release()
         for (pivot, _, _), table in _groups(batches, ["pivot", "i", "j"]):
             ids, root, side, size = (table.column(c).to_numpy() for c in ("doc_id", "root", "side", "n"))
             grams = _blob(table, "grams")

@@ -10,18 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.blocks import chunks, narrow_batches, stored, text_bytes, worker_cache
+from textlake.llm.blocks import chunks, narrow_batches, release, stored, text_bytes, worker_cache
 from textlake.llm.words import word_spans
 
-CACHE_WORDS = 1_000_000
+#: Words and ids that an encoder keeps at most, some 40 MB.
+CACHE_WORDS, CACHE_IDS = 500_000, 4_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
     """Ids of whole texts, for lower-casing tokenizers that never join text across ASCII white space.
 
-    Each distinct word is encoded once and kept, by its hash, in sorted arrays; when ``CACHE_WORDS`` are
-    kept the arrays are emptied, so memory is bounded and every text gets its exact ids. A worker keeps
+    Each distinct word is encoded once and kept, by its hash, in sorted arrays; beyond ``CACHE_WORDS`` or
+    ``CACHE_IDS`` the arrays are emptied, so memory is bounded and every text gets its exact ids. A worker keeps
     its encoder from task to task, until a task of another kind releases it.
     """
 
@@ -62,7 +63,7 @@ class WordEncoder:
         # the tokenizer lower-cases words itself, but not the strings of its special tokens
         hashes, starts, ends = word_spans(data, offsets, lower=b"<|" not in raw)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > CACHE_WORDS:
+        if len(self.keys) + len(keys) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self._clear()
         place = self._look_up(keys)
         new = np.flatnonzero(place < 0)
@@ -90,6 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -
     Null text counts as empty, so it is one piece of one id. A null doc_id stays null.
     """
     def cut(batches):
+        release(tokenizer)
         encoder = _encoder(tokenizer)
         for batch in chunks(batches):
             ids, at = encoder.encode(*text_bytes(batch.column("text")))

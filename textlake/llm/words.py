@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from textlake.llm.blocks import mix
+from textlake.llm.blocks import mix, worker_cache
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -19,16 +19,16 @@ SEPARATORS = {"space": _SPACE, "punctuation": _PUNCTUATION}
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1) modulo 2 ** 64."""
-    if base not in _powers or len(_powers[base]) < n:
+    """base ** 0 to base ** (n - 1) modulo 2 ** 64; the worker keeps them until it releases what it holds."""
+    held = worker_cache.setdefault("powers", {})
+    if base not in held or len(held[base]) < n:
         values = np.full(max(n, 1 << 20), base, np.uint64)
         values[0] = 1
-        _powers[base] = np.cumprod(values, dtype=np.uint64)
-    return _powers[base][:n]
+        held[base] = np.cumprod(values, dtype=np.uint64)
+    return held[base][:n]
 
 
 def span_hash(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
