@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.llm import language, mixing, ngram_join, packing, suffix_dedup
-from textlake.llm.blocks import stored
+from textlake.llm.blocks import free_prefix, stored
 from textlake.llm.queries import remainder, tokenizer_path
 
 
@@ -16,16 +16,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Texts that are null or have no letter go, and those whose cross-entropy is out of the calibrated range.
     """
     model = language.train(docs, remainder(3) != 1)
-    found = language.identify(docs, model, keep=True).where("_accepted")
-    return found.select(*[F.col("_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    prefix = free_prefix(docs.columns, "lang_pred", "score", "accepted")
+    found = language.identify(docs, model, keep=True, prefix=prefix).where(f"`{prefix}accepted`")
+    return found.select(*[F.col(f"`{prefix}lang_pred`").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8; rows without an id stay."""
-    found = ngram_join.jaccard_components(docs, size=5, percent=80)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.where("doc_id is null").unionByName(named)
+    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8.
+
+    Documents are told apart by id and text, so rows that share an id but not the text are compared like any others, as
+    are rows without an id, which come last; rows equal in id and text count as one.
+    """
+    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    prefix = free_prefix(docs.columns, "own")
+    name = f"{prefix}own"
+    marked = docs.withColumn(name, own)
+    found = ngram_join.jaccard_components(marked.select(F.col(f"`{name}`").alias("doc_id"), "text"), size=5, percent=80).select(F.col("doc_id").alias(name), "component_id")
+    ids = marked.select(F.col(f"`{name}`"), "doc_id").distinct()
+    first = (found.distinct().join(ids, name).groupBy("component_id")
+             .agg(F.min_by(name, F.struct(F.col("doc_id").isNull(), "doc_id", name)).alias(name)).select(name))
+    return marked.join(first, name, "left_semi").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +46,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that source, language and topic shares meet their targets."""
-    return mixing.mix(docs).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = free_prefix(docs.columns, *mixing.NAMES)
+    return mixing.mix(docs, prefix=prefix).where(f"`{prefix}kept`").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
