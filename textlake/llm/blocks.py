@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from textlake.session import cut_lineage, scratch_path
 
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch: it stands in the executor's and in the worker's memory at once.
+BATCH_BYTES = 4 << 20
 #: Bytes of text whose windows a part should hold.
 PART_BYTES = 8 << 20
 #: What a worker may keep from task to task; a task that needs the memory drops it with ``release``.
@@ -59,8 +61,9 @@ def exchange(df: DataFrame, keys: np.ndarray, fn: Callable[[Batches], Batches],
 
 
 def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: texts and blocks are large."""
+    """Arrow batches of few rows and of at most ``BATCH_BYTES``, for all that runs in the session from here on: texts and blocks are large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def release(*keep: str) -> None:

@@ -17,7 +17,7 @@ TRAIN_DOCS = 1000
 #: A language with fewer different held-out texts is not calibrated: all its texts are accepted.
 MIN_HELD = 4
 #: Bytes of text that are judged at once: each takes some 50 bytes of hashes.
-TEXT_BYTES = 256 << 10
+TEXT_BYTES = 512 << 10
 _PAD = "\U0010FFFF"
 _FACTOR = 0x9DDFEA08EB382D69
 _codes: list[np.ndarray] = []

@@ -22,6 +22,8 @@ from textlake.llm.words import shingles, word_hashes
 
 #: Sets in one chunk of a star; larger stars are cut.
 CHUNK = 512
+#: Bytes of text whose shingles are made at once.
+TEXT_BYTES = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +38,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     """Size and two sums that name the set, for every document."""
     def run(batches):
         release()
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             value, at = _sets(batch, size)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(value), mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
             s1, s2 = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
@@ -54,7 +56,7 @@ def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int) -> DataFrame:
 
     def emit(batches):
         release()
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             value, at = _sets(batch, size)
             n = np.diff(at)
             doc = np.repeat(batch.column("doc_id").to_numpy(), n)

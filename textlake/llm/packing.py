@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from textlake.llm.blocks import chunks, narrow_batches, release, stored, text_bytes, worker_cache
 from textlake.llm.words import word_spans
 
-#: Words and ids that an encoder keeps at most, some 40 MB.
-CACHE_WORDS, CACHE_IDS = 500_000, 4_000_000
+#: Words and ids that an encoder keeps at most, some 20 MB, and bytes of text that are encoded at once.
+CACHE_WORDS, CACHE_IDS, TEXT_BYTES = 250_000, 2_000_000, 512 << 10
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -
     def cut(batches):
         release(tokenizer)
         encoder = _encoder(tokenizer)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             ids, at = encoder.encode(*text_bytes(batch.column("text")))
             rows = []
             for doc, lo, hi in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
