@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from textlake.operators import post as P
 from textlake.operators import semantic as S
+from textlake.operators.bank import Template
 from textlake.operators.model import RuleModel
-from textlake.plans.banks import NATION_BANK, ORDER_BANK, customer_bank
+from textlake.plans.banks import NATION_BANK, NOISE, ORDER_BANK, customer_bank
 from textlake.plans.base import query, table
 from textlake.plans.corpora import ORDERS_DATED, customer_docs, nation_docs, order_docs, stored
-from textlake.plans.fixtures import CUSTOMER_X, duck
+from textlake.operators.render import render_documents
+from textlake.plans.fixtures import CUSTOMER_X, customer_x, duck
 from textlake.plans.txt import STEPS_SQL, step_text_sql, steps, with_step_text
 
 CX = duck(CUSTOMER_X)
@@ -27,16 +29,16 @@ _ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus":
 def customers(spark, sf, *fields, **kw):
     """Customer documents with the named fields read back."""
     nm, bm = kw.get("null_mode", "implicit"), kw.get("binary_mode", "implicit")
-    return S.sem_extract(stored(spark, sf, customer_docs, **kw), customer_bank(nm, bm), {f: _TYPES[f] for f in fields})
+    return S.sem_extract(stored(spark, sf, customer_docs, **kw), customer_bank(nm, bm), {f: _TYPES[f] for f in fields}, plain_values=True)
 
 
 def orders(spark, sf, *fields, **kw):
-    return S.sem_extract(stored(spark, sf, order_docs, **kw), ORDER_BANK, {f: _ORDER_TYPES[f] for f in fields})
+    return S.sem_extract(stored(spark, sf, order_docs, **kw), ORDER_BANK, {f: _ORDER_TYPES[f] for f in fields}, plain_values=True)
 
 
 def nations(spark, sf):
     return S.sem_extract(stored(spark, sf, nation_docs), NATION_BANK,
-                         {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"})
+                         {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}, plain_values=True)
 
 
 @query("sem_0_segment_balance", f"""select c_mktsegment, {DEC.format('c_acctbal')} as balance, count(*) as n
@@ -71,10 +73,42 @@ def _(spark, sf):
 @query("sem_1_extraction_conflicts", "select count(*) - (select count(*) from customer) as conflicts, count(*) as n_docs from customer")
 def _(spark, sf):
     docs = stored(spark, sf, customer_docs)
-    bad = S.extraction_conflicts(docs, customer_bank()).agg(F.count("*").alias("n"))
+    bad = S.extraction_conflicts(docs, customer_bank(), NOISE).agg(F.count("*").alias("n"))
     return docs.agg(F.count("*").alias("n_docs")).select(bad.scalar().alias("conflicts"), "n_docs")
 
 
+# names and segments with sentence ends inside, and texts that hold a wording of an earlier slot
+_AWKWARD = """select c_custkey, concat('Dr. ', c_name, ' Inc. (East)') as c_name, c_nationkey, c_acctbal, is_debtor, opted_in,
+ case when c_custkey % 5 = 0 then concat(c_mktsegment, '. And more? So on') when c_custkey % 5 = 1 then concat('St. ', c_mktsegment, '! The customer on file is Mr. X')
+  else c_mktsegment end as c_mktsegment,
+ case when c_custkey % 7 = 0 then 'mail, e.g. letters. A balance of 7 is held' else channel end as channel from ({})"""
+
+
+def _awkward_query(nm, bm, ratio):
+    def run(spark, sf):
+        rows = spark.sql(_AWKWARD.format("select * from {x}"), x=customer_x(spark, sf))
+        bank = customer_bank(nm, bm)
+        docs = render_documents(rows, bank, "c_custkey", "customer", noise=NOISE, ratio=ratio).select("row_id", "contents")
+        return S.sem_extract(docs, bank, _TYPES, NOISE).select("row_id", *_TYPES)
+    query(f"sem_1_extract_awkward_{nm}_null_{bm}_binary_{ratio[0]}_{ratio[1]}", f"select c_custkey as row_id, {', '.join(_TYPES)} from ({_AWKWARD.format(CX)})")(run)
+
+
+for _nm, _bm, _r in (("explicit", "explicit", (1, 0)), ("explicit", "implicit", (1, 1)), ("implicit", "explicit", (1, 1)), ("implicit", "implicit", (1, 2))):
+    _awkward_query(_nm, _bm, _r)
+
+
+# a segment said twice in a row: either the name or the segment may hold the other one
+_TWO = [Template("c_name", ("The customer on file is [C_NAME].", "This account belongs to [C_NAME].")),
+        Template("c_mktsegment", ("Trade falls under [C_MKTSEGMENT].", "Business is done in [C_MKTSEGMENT]."))]
+
+
+@query("sem_1_ambiguous", "select c_custkey as row_id from customer where c_custkey % 3 = 0")
+def _(spark, sf):
+    doubt = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_mktsegment", F.lit(". Trade falls under "), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    docs = render_documents(customer_x(spark, sf).withColumn("c_mktsegment", doubt), _TWO, "c_custkey", "customer").select("row_id", "contents")
+    return S.extraction_conflicts(docs, _TWO).where("field is null").select("row_id")
+
+
 @query("sem_2_filter", f"""select c_custkey as row_id from ({CX}) where c_acctbal between 0 and 5000 and channel is null and c_name like '%8'""")
 def _(spark, sf):
     docs = customers(spark, sf, "c_acctbal", "channel", "c_name")
