@@ -200,3 +200,20 @@ def test_narrow_render_has_no_shuffle(spark):
     df = spark.range(10).select("id", F.lit("z").alias("v"))
     plan = render.render_documents(df, bank, "id", "t", noise=["N."], ratio=(1, 1))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_roles_and_conflicts_of_three(spark):
+    """Three-way cases: names used up by earlier sentences, removed detections that meet nobody, ties."""
+    d = spark.createDataFrame([
+        ("t", 0, "a", "field_value", "1"), ("t", 0, "b", "field_value", "2"), ("t", 1, "b", "field_name_direct", "2"), ("t", 1, "a", "field_value", "1"),
+        ("t", 1, "c", "field_value", "3"), ("t", 2, "b", "hash_validated", "2"), ("u", 0, "b", "", "2")], "k string, pos int, field string, match_type string, value string")
+    roles = detect.assign_roles(d, "k")
+    assert rows(roles.where("role = 'primary'"), "k", "pos", "field") == [("t", 0, "b"), ("t", 1, "c"), ("t", 2, "b"), ("u", 0, "b")]
+    c = spark.createDataFrame([
+        (1, 0, "a", "x", "field_value", "foreign"), (1, 0, "bb", "xy", "field_value", "foreign"), (1, 0, "ccc", "xyz", "field_value", "foreign"),
+        (2, 0, "a", "x", "field_value", "primary"), (2, 0, "bb", "xy", "field_name_direct", "foreign"), (2, 0, "c x", "q", "hash_validated", "foreign"),
+        (3, 0, "a", "x", "hash_validated", "foreign"), (3, 0, "b", "x", "hash_validated", "foreign"), (4, 0, "a", None, "field_value", "foreign"), (4, 0, "b", "v", "", "foreign")],
+        "k int, pos int, field string, value string, match_type string, role string")
+    left = rows(detect.resolve_conflicts(c, "k"), "k", "field")
+    assert left == [(1, "ccc"), (2, "a"), (3, "a"), (3, "b"), (4, "a"), (4, "b")]
+    assert "Python" not in roles._jdf.queryExecution().toString() and "InPandas" not in roles._jdf.queryExecution().toString()

@@ -6,10 +6,8 @@ one (sentence, field, value) row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -303,79 +301,67 @@ STRENGTH = {"hash_validated": 6, "field_name_direct": 4, "field_name_word_by_wor
 TRUSTED = ("hash_validated", "field_name_direct")
 
 
-def _rank(d: dict) -> tuple:
-    return STRENGTH.get(d["match_type"], 0), d["field"]
-
-
-def _pick_primaries(rows: list[dict]) -> list[str]:
-    """One primary per sentence, unused fields first, then by strength and name."""
-    used: set[str] = set()
-    out = []
-    for pos in sorted({r["pos"] for r in rows}):
-        here = [r for r in rows if r["pos"] == pos]
-        fresh = [r for r in here if r["field"] not in used]
-        best = max(fresh or here, key=_rank)["field"]
-        used.add(best)
-        out.append((pos, best))
-    return out
+def _strength(match_type: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STRENGTH.items() for x in kv]), match_type), F.lit(0))
 
 
 def assign_roles(detections: DataFrame, key: str) -> DataFrame:
-    """Role per (key, pos, field): the greedy choice goes over the few detections of one template."""
-    packed = detections.groupBy(key).agg(F.collect_list(F.struct("pos", "field", "match_type")).alias("d"))
-    schema = packed.select(key).schema.simpleString()[len("struct<"):-1].replace(":", " ")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, pos, field) for k, d in zip(batch[key], batch["d"]) for pos, field in _pick_primaries(list(d))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "_primary"])
+    """Role per (key, pos, field): one primary a sentence, the others are foreign.
 
-    primaries = packed.mapInPandas(run, f"{schema}, pos int, _primary string")
-    return (detections.join(primaries, [key, "pos"])
+    Sentences choose in their order: a field that no earlier sentence chose, else any; the strongest detection, then
+    the last name. The fold goes over the few sentences of one template, the chosen names are its state.
+    """
+    sentences = detections.groupBy(key, "pos").agg(F.collect_list(F.struct(_strength(F.col("match_type")).alias("strength"), "field")).alias("found"))
+    templates = sentences.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "found"))).alias("sentences"))
+
+    def choose(state: Column, s: Column) -> Column:
+        best = X.let(F.filter(s["found"], lambda d: ~F.array_contains(state["used"], d["field"])),
+                     lambda fresh: F.array_max(F.when(F.size(fresh) > 0, fresh).otherwise(s["found"]))["field"])
+        return X.let(best, lambda f: F.struct(F.concat(state["used"], F.array(f)).alias("used"),
+                                              F.concat(state["chosen"], F.array(F.struct(s["pos"].alias("pos"), f.alias("_primary")))).alias("chosen")))
+    pos = detections.schema["pos"].dataType.simpleString()
+    start = F.expr(f"struct(cast(array() as array<string>) as used, cast(array() as array<struct<pos:{pos},_primary:string>>) as chosen)")
+    chosen = templates.select(key, F.inline(F.aggregate("sentences", start, choose, lambda x: x["chosen"])))
+    return (detections.join(chosen, [key, "pos"])
             .withColumn("role", F.when(F.col("field") == F.col("_primary"), "primary").otherwise("foreign"))
             .drop("_primary"))
 
 
-def _surviving(fields: list[dict]) -> list[str]:
-    """Fields left after conflicts: a value that is a word of another name, or an equal or contained value."""
-    if len(fields) <= 1 or all(f["match_type"] == "hash_validated" for f in fields):
-        return [f["field"] for f in fields]
-    gone: set[str] = set()
-    for a in fields:
-        for b in fields:
-            if a is b or a["field"] in gone or b["field"] in gone:
-                continue
-            a_first, b_first = a["role"] == "primary", b["role"] == "primary"
-            if a["value"] in b["field"].split():
-                gone.add(b["field"] if a_first else a["field"])
-            elif a["value"] in b["value"]:
-                if a_first or b_first:
-                    gone.add(b["field"] if a_first else a["field"])
-                    continue
-                trust = [f["match_type"] in TRUSTED for f in (a, b)]
-                strength = [STRENGTH.get(f["match_type"], 0) for f in (a, b)]
-                if trust[0] != trust[1]:
-                    keep_a = trust[0]
-                elif strength[0] != strength[1]:
-                    keep_a = strength[0] > strength[1]
-                else:
-                    keep_a = len(a["field"]) >= len(b["field"])
-                gone.add(b["field"] if keep_a else a["field"])
-    return [f["field"] for f in fields if f["field"] not in gone]
+def _loser(a: Column, b: Column) -> Column:
+    """Place of the detection that a conflict removes, NULL without one.
 
+    They conflict when a's value is a word of b's name, or stands in b's value. A primary stays; against a name a foreign
+    a goes; between values the more trusted, then the stronger, then the one with the longer name stays, a when they are level.
+    """
+    word = F.array_contains(F.split(F.trim(b["field"]), r"\s+"), a["value"])
+
+    def weight(d: Column) -> Column:
+        return F.struct(d["match_type"].isin(*TRUSTED).cast("int"), _strength(d["match_type"]), F.length(d["field"]))
+    first = a["role"] == "primary"
+    level = F.when(first, b["i"]).when(b["role"] == "primary", a["i"]).when(weight(a) >= weight(b), b["i"]).otherwise(a["i"])
+    return F.when(word, F.when(first, b["i"]).otherwise(a["i"])).when(F.contains(b["value"], a["value"]), level)
 
-def resolve_conflicts(detections: DataFrame, key: str) -> DataFrame:
-    """Detections that survive conflicts inside their sentence; a sentence holds a handful of fields."""
-    packed = (detections.groupBy(key, "pos")
-              .agg(F.array_sort(F.collect_list(F.struct("field", "value", "match_type", "role"))).alias("d")))
-    schema = packed.select(key).schema.simpleString()[len("struct<"):-1].replace(":", " ")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, pos, f) for k, pos, d in zip(batch[key], batch["pos"], batch["d"]) for f in _surviving(list(d))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "field"])
+def resolve_conflicts(detections: DataFrame, key: str) -> DataFrame:
+    """Detections that survive the conflicts inside their sentence.
 
-    kept = packed.mapInPandas(run, f"{schema}, pos int, field string")
+    Detections, in the order of their names, meet each other in turn; one that was removed meets nobody any more. A single
+    detection, and sentences of validated tags only, have none. The fold goes over the handful of fields of one sentence.
+    """
+    packed = (detections.groupBy(key, "pos")
+              .agg(F.array_sort(F.collect_list(F.struct("field", "value", "match_type", "role"))).alias("found")))
+    numbered = F.transform("found", lambda d, i: d.withField("i", i))
+
+    def meet(gone: Column, a: Column, b: Column) -> Column:
+        loser = F.when((a["i"] != b["i"]) & ~F.array_contains(gone, a["i"]) & ~F.array_contains(gone, b["i"]), _loser(a, b))
+        return X.let(loser, lambda i: F.when(i.isNull(), gone).otherwise(F.concat(gone, F.array(i))))
+
+    def left(d: Column) -> Column:
+        nobody = F.expr("cast(array() as array<int>)")
+        gone = F.aggregate(d, nobody, lambda g, a: F.aggregate(d, g, lambda h, b: meet(h, a, b)))
+        calm = (F.size(d) <= 1) | F.forall(d, lambda x: x["match_type"] == "hash_validated")
+        return X.let(F.when(calm, nobody).otherwise(gone), lambda g: F.filter(d, lambda x: ~F.array_contains(g, x["i"])))
+    kept = packed.select(key, "pos", F.explode(X.let(numbered, left)["field"]).alias("field"))
     return detections.join(kept, [key, "pos", "field"], "left_semi")
 
 
