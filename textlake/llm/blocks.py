@@ -24,7 +24,7 @@ CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch: it stands in the executor's and in the worker's memory at once.
 BATCH_BYTES = 4 << 20
 #: Bytes of text whose windows a part should hold.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: What a worker may keep from task to task; a task that needs the memory drops it with ``release``.
 worker_cache: dict[str, object] = {}
 Batches = Iterator[pa.RecordBatch]
