@@ -91,3 +91,19 @@ def test_repeated_keys_and_rows(spark):
     assert len(sinks.metrics_export(long).first().extracted) == 600
     said = spark.createDataFrame([("r", "f", "second", 2), ("r", "f", "first", 1)], "row_id string, field string, sentence string, pos int")
     assert sinks.to_multi_column(said, ["f"]).first().f == "first"
+
+
+def test_steps_inside_groups(spark):
+    """Hot and NULL groups, ties, and clashing names."""
+    from textlake.operators import semantic as S
+    data = [(i, None if i % 5 == 0 else "hot" if i % 3 else "cold", float(i % 7), i) for i in range(300)]
+    docs = spark.createDataFrame(data, "row_id int, g string, v double, _place int")
+    got = sorted((str(r["g"]), r["row_id"]) for r in S.sem_topk_in(docs, ["g"], "v", 4).collect())
+    want = []
+    for g in (None, "hot", "cold"):
+        want += [(str(g), r[0]) for r in sorted((d for d in data if d[1] == g), key=lambda d: (-d[2], d[0]))[:4]]
+    assert got == sorted(want)
+    kept = S.sem_filter_in(docs, ["g"], {"top": ("max", "v"), "n": ("count", "*")}, "v = top and n < 100")
+    assert kept.columns == docs.columns
+    small = [g for g in (None, "hot", "cold") if sum(d[1] == g for d in data) < 100]
+    assert sorted(r["row_id"] for r in kept.collect()) == sorted(d[0] for d in data if d[1] in small and d[2] == 6.0)

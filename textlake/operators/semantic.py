@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake import vocab
@@ -264,6 +264,35 @@ def sem_topk(docs: DataFrame, by: SortKey | list[SortKey], k: int = 1, ascending
     return docs.orderBy(*sort_keys(by, ascending), *([tie] if tie in docs.columns else [])).limit(k)
 
 
+def sem_topk_in(docs: DataFrame, group: list[str], by: SortKey | list[SortKey], k: int = 1, ascending: bool = False, tie: str = "row_id",
+                buckets: int = 64) -> DataFrame:
+    """Best k documents of each group, ties by key where the documents have it; NULL keys are a group.
+
+    The best of each (group, bucket) are found first and hold the best of the group, so a group with most of all
+    documents is ordered in many tasks..
+    """
+    order = [*sort_keys(by, ascending), *([F.col(tie)] if tie in docs.columns else [])]
+    names = {n: n for n in ("_bucket", "_place")}
+    for n in names:
+        while names[n] in docs.columns:
+            names[n] = "_" + names[n]
+    bucket, place = names.values()
+    spread = docs.withColumn(bucket, F.pmod(F.xxhash64(tie if tie in docs.columns else F.struct(*docs.columns)), F.lit(buckets)))
+    few = spread.withColumn(place, F.row_number().over(Window.partitionBy(*group, bucket).orderBy(*order))).where(F.col(place) <= k).drop(bucket)
+    return few.withColumn(place, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(place) <= k).drop(place)
+
+
+def sem_filter_in(docs: DataFrame, group: list[str], aggs: dict[str, Column | tuple[str, str | None]], predicate: Column | str) -> DataFrame:
+    """Keep documents whose fields satisfy a condition that also names aggregates of their own group; NULL keys are a group.
+
+    Aggregates are combined map-side and joined back by group, so no group has to be in one task.
+    """
+    keys = [f"_key_{i}_" for i in range(len(group))]
+    sums = sem_agg(docs, aggs, group).withColumnsRenamed(dict(zip(group, keys)))
+    same = reduce(lambda a, b: a & b, [F.col(f"`{g}`").eqNullSafe(F.col(k)) for g, k in zip(group, keys)])
+    return docs.join(sums, same).where(predicate).drop(*keys, *aggs)
+
+
 def sem_cluster_by(docs: DataFrame, keys: list[str], name: str = "group_key") -> DataFrame:
     """Group documents by extracted keys; later aggregates use the group column.
 
@@ -370,7 +399,8 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict]) -> list[DataFrame
 
     Order of work: sub-queries, filters of a single table, joins, remaining filters,
     grouping, top-k, finals. Catalyst sees one plan per result. A sub-query with ``many`` is a
-    list for ``in`` filters; ``setop`` combines the named fields with those of another table.
+    list for ``in`` filters; ``setop`` combines the named fields with those of another table. After a ``group`` step, top-k and
+    filters with ``"per": "group"`` work inside each group; such a filter names aggregates of the group (``aggs``) in ``where``.
     """
     if unknown := {s["op"] for s in steps} - _STEPS:
         raise ValueError(f"unknown steps: {sorted(unknown)}")
@@ -396,8 +426,12 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict]) -> list[DataFrame
             docs = (sem_semi if s["op"] == "semi" else sem_anti)(docs, sets[s["right"]], s["on"])
     group: list[str] = []
     for s in steps:
-        if s["op"] == "filter" and not s.get("table"):
+        if s["op"] == "filter" and s.get("per") == "group":
+            docs = sem_filter_in(docs, group, s["aggs"], s["where"])
+        elif s["op"] == "filter" and not s.get("table"):
             docs = _filtered(docs, s, scalars, lists)
+        elif s["op"] == "topk" and s.get("per") == "group":
+            docs = sem_topk_in(docs, group, s["by"], s.get("k", 1), s.get("ascending", False))
         elif s["op"] == "group":
             group = s["keys"]
         elif s["op"] == "map":

@@ -290,6 +290,23 @@ def _(spark, sf):
     return counts.withColumn("ix", F.lit(0)).unionByName(best.withColumn("ix", F.lit(1)))
 
 
+@query("sem_16_topk_in_group", """select c_mktsegment as group_key, cast(c_custkey as varchar) as answer from customer
+ qualify row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) <= 3""")
+def _(spark, sf):
+    return S.run_steps({"customer": customers(spark, sf, "c_custkey", "c_acctbal", "c_mktsegment")},
+                       [{"op": "group", "keys": ["c_mktsegment"]}, {"op": "topk", "by": "c_acctbal", "k": 3, "per": "group"},
+                        {"op": "extract", "field": "c_custkey"}])[0]
+
+
+@query("sem_16_filter_in_group", f"""select c_mktsegment as group_key, cast(count(*) as varchar) as answer from (select *, avg(c_acctbal) over (partition by c_mktsegment) as mean,
+ count(*) over (partition by c_mktsegment) as n from customer) where c_acctbal > mean + 2000 and n > 5 group by 1""")
+def _(spark, sf):
+    return S.run_steps({"customer": customers(spark, sf, "c_acctbal", "c_mktsegment")},
+                       [{"op": "group", "keys": ["c_mktsegment"]},
+                        {"op": "filter", "per": "group", "aggs": {"mean": ("avg", "c_acctbal"), "n": ("count", "*")}, "where": "c_acctbal > mean + 2000 and n > 5"},
+                        {"op": "agg", "func": "count", "field": "*"}])[0]
+
+
 @query("sem_17_run_branches", """select c_mktsegment, count(*) as n, count(case when c_acctbal > 0 then 1 end) as n_positive,
  cast(sum(cast(case when c_nationkey < 10 then c_acctbal end as decimal(18,2))) as double) as near_balance from customer group by 1""")
 def _(spark, sf):
