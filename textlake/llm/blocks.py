@@ -37,16 +37,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def part_keys(spark: SparkSession, texts: DataFrame | None = None) -> np.ndarray:
+def part_keys(spark: SparkSession, texts: DataFrame | None = None, part_bytes: int = PART_BYTES) -> np.ndarray:
     """One int per shuffle partition, chosen so that each hashes to a partition of its own.
 
     With ``texts``, there are up to four times as many where the partitions would hold more than
-    ``PART_BYTES`` of their ``text``.
+    ``part_bytes`` of their ``text``.
     """
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if texts is not None:
         total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        n = min(4 * n, max(n, -(-total // PART_BYTES)))
+        n = min(4 * n, max(n, -(-total // part_bytes)))
     found = (spark.range(0, 20 * n + 100, 1, 1).select(F.col("id").cast("int").alias("id"))
              .select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).collect())
     keys = {}

@@ -22,6 +22,8 @@ from textlake.llm.words import shingles, word_hashes
 
 #: Sets in one chunk of a star; larger stars are cut.
 CHUNK = 512
+#: Bytes of text whose shingles a part should hold: smaller parts take more disk, as their blocks compress less.
+PART_BYTES = 8 << 20
 #: Bytes of text whose shingles are made at once.
 TEXT_BYTES = 1 << 20
 
@@ -271,7 +273,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     # stored, so that the join can split a set that very many documents have
     same = stored(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "same")
     copies = stored(full.join(same, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct(), "copies")
-    keys = part_keys(spark, docs)
+    keys = part_keys(spark, docs, PART_BYTES)
     shared = _shared_grams(slim.where("doc_id is not null"), keys, size)
     found = stored(_candidates(shared, keys, percent), "candidates")
     stars = _stars(found.where("part is not null").select("part", "gram", "doc", "size"), keys, percent)
