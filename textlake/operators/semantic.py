@@ -269,7 +269,7 @@ def sem_topk_in(docs: DataFrame, group: list[str], by: SortKey | list[SortKey],
     """Best k documents of each group, ties by key where the documents have it; NULL keys are a group.
 
     The best of each (group, bucket) are found first and hold the best of the group, so a group with most of all
-    documents is ordered in many tasks..
+    documents is ordered in many tasks.
     """
     order = [*sort_keys(by, ascending), *([F.col(tie)] if tie in docs.columns else [])]
     names = {n: n for n in ("_bucket", "_place")}
