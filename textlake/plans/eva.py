@@ -290,6 +290,24 @@ def _(spark, sf):
     return out.select("event_id", "answer")
 
 
+class PickyModel(RuleModel):
+    """Fails on a whole batch when it holds a prompt about a number that ends in 97."""
+
+    def answer(self, prompts):
+        if any(p.endswith("97") for p in prompts):
+            raise ValueError("number refused")
+        return super().answer(prompts)
+
+
+@query("mod_1_failing_prompts", """select o_orderkey, case when o_orderkey % 100 <> 97 then 'The customer is ' || o_custkey || ' of order ' || o_orderkey || '.' end as answer,
+ case when o_orderkey % 100 = 97 then 'failed' else 'answered' end as answer_status, case when o_orderkey % 100 = 97 then 'ValueError: number refused' end as answer_error from orders""")
+def _(spark, sf):
+    prompt = F.concat(F.lit("state\tcustomer\t"), "o_custkey", F.lit(" of order "), "o_orderkey")
+    rows = table(spark, sf, "orders").select("o_orderkey", prompt.alias("prompt_text"))
+    out = model_map(rows, "prompt_text", PickyModel(), cache_path=scratch_path(spark, "answers"), keep_errors=True)
+    return out.select("o_orderkey", "answer", "answer_status", "answer_error")
+
+
 @query("udf_2_sql_functions", f"""select doc_id, md5({D.strip_tags("text || ' (Hash: 0a1b) |'")}) as plain, cast(length(text) // 4 as bigint) as tokens, 'order date' as name from documents""")
 def _(spark, sf):
     X.register(spark)
