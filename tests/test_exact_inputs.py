@@ -107,3 +107,94 @@ def test_steps_inside_groups(spark):
     assert kept.columns == docs.columns
     small = [g for g in (None, "hot", "cold") if sum(d[1] == g for d in data) < 100]
     assert sorted(r["row_id"] for r in kept.collect()) == sorted(d[0] for d in data if d[1] in small and d[2] == 6.0)
+
+
+class _Counting:
+    """Notes every prompt it answers and refuses some, with the batch they are in."""
+
+    def __init__(self, bad):
+        self.bad, self.answered, self.calls = set(bad), [], 0
+
+    def answer(self, prompts):
+        self.calls += 1
+        if self.bad & set(prompts):
+            raise RuntimeError("refused")
+        self.answered += list(prompts)
+        return prompts.str.upper()
+
+
+def test_failing_prompts_are_cut_out():
+    """Each good prompt is answered once; calls follow the failures, not the prompts."""
+    import pandas as pd
+    from textlake.operators.model import answer_apart
+    prompts = pd.Series([f"p{i}" for i in range(500)], index=range(7, 507))
+    for bad in ([], ["p0"], ["p499"], ["p3", "p4", "p250"], list(prompts)):
+        model = _Counting(bad)
+        got = answer_apart(model, prompts)
+        assert got["answer"].tolist() == [None if p in model.bad else p.upper() for p in prompts]
+        assert got["error"].tolist() == ["RuntimeError: refused" if p in model.bad else None for p in prompts]
+        assert sorted(model.answered) == sorted(set(prompts) - model.bad)
+        assert model.calls <= 1 + 3 * 6 * max(1, len(bad)) if len(bad) < 9 else model.calls < 2 * len(prompts)
+    assert len(answer_apart(_Counting([]), prompts.iloc[:0])) == 0
+    class Short:
+        def answer(self, some):
+            return some.iloc[1:]
+    assert answer_apart(Short(), prompts.iloc[:1])["error"].tolist() == ["ValueError: 0 answers to 1 prompts"]
+
+
+def test_failures_are_asked_again_and_answers_are_not(spark):
+    from textlake.operators.model import RuleModel, model_map
+    from textlake.plans.eva import PickyModel
+    from textlake.session import scratch_path
+    docs = spark.createDataFrame([(1, "echo\t1"), (2, "echo\t97"), (3, "echo\t97"), (4, None)], "id int, q string")
+    path = scratch_path(spark, "answers")
+    def run(model):
+        out = model_map(docs, "q", model, cache_path=path, tasks=1, keep_errors=True)
+        return sorted((r["id"], r["answer"], r["answer_status"], r["answer_error"]) for r in out.collect())
+    first = run(PickyModel())
+    assert first == [(1, "1", "answered", None), (2, None, "failed", "ValueError: number refused"),
+                     (3, None, "failed", "ValueError: number refused"), (4, None, "no prompt", None)]
+    class Other(RuleModel):
+        def answer(self, prompts):
+            return prompts.map(lambda p: "again " + p[5:])
+    assert [r[1:3] for r in run(Other())] == [("1", "answered"), ("again 97", "answered"), ("again 97", "answered"), (None, "no prompt")]
+
+
+def test_branch_graph(spark):
+    """NULL and hot groups, groups that a branch empties, branches of both kinds, no group at all, clashing names."""
+    from textlake.operators import semantic as S
+    trunk = spark.createDataFrame([(i, "t", None if i % 4 == 0 else "hot" if i % 7 else "b", float(i), 1) for i in range(60)],
+                                  "row_id int, contents string, g string, v double, _key_0 int")
+    other = spark.createDataFrame([(i, "o", i // 2, i * 10.0) for i in range(20)], "row_id int, contents string, ref int, w double")
+    join = {"op": "join", "left": "trunk", "right": "other", "on": ("row_id", "ref")}
+    steps = [{"op": "filter", "where": "v < 50"}, {"op": "group", "keys": ["g"]}]
+    branches = {"n": [{"op": "agg", "func": "count"}], "n_low": [{"op": "filter", "where": "v < 3"}, {"op": "agg", "func": "count"}],
+                "n_join": [join, {"op": "agg", "func": "count"}], "best": [join, {"op": "agg", "func": "max", "field": "w"}],
+                "large": [{"op": "agg", "func": "count", "having": "value > 11"}],
+                "kept": [{"op": "topk", "per": "group", "by": "v", "k": 2}, {"op": "agg", "func": "min", "field": "v"}],
+                "label": [{"op": "agg", "func": "max", "field": "g", "type": "string"}]}
+    out = S.run_graph({"data": trunk, "other": other}, steps, branches, {"twice": lambda n: n * 2})
+    got = {r["g"]: r.asDict() for r in out.collect()}
+    rows = [(i, None if i % 4 == 0 else "hot" if i % 7 else "b") for i in range(50)]
+    assert set(got) == {None, "hot", "b"}
+    for g, r in got.items():
+        mine = [i for i, k in rows if k == g]
+        joined = [j * 10.0 for j in range(20) if j // 2 in mine]
+        assert r == {"g": g, "n": len(mine), "n_low": sum(i < 3 for i in mine), "n_join": len(joined), "best": max(joined, default=None),
+                     "large": len(mine) if len(mine) > 11 else 0, "kept": sorted(mine)[-2], "label": g, "twice": 2.0 * len(mine)}
+    alone = S.run_graph({"data": trunk, "other": other}, [], {"n": branches["n"], "n_join": branches["n_join"]}).collect()
+    assert [tuple(r) for r in alone] == [(60.0, 20.0)]
+    none = S.run_graph({"data": trunk.limit(0), "other": other}, steps, branches).collect()
+    assert none == []
+
+
+def test_branch_graph_reads_its_trunk_once(spark, tmp_path):
+    """The source is read for the stored trunk alone; folded branches share one pass over that."""
+    from textlake.operators import semantic as S
+    spark.range(100).selectExpr("id", "id % 3 as g").write.parquet(str(tmp_path / "t"))
+    source = spark.read.parquet(str(tmp_path / "t"))
+    out = S.run_graph({"t": source}, [{"op": "group", "keys": ["g"]}],
+                      {f"n{i}": [{"op": "filter", "where": f"id > {i}"}, {"op": "agg", "func": "count"}] for i in range(4)})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower() and plan.count("LogicalRDD") == 1
+    assert sorted(r["n0"] for r in out.collect()) == [33.0, 33.0, 33.0]

@@ -6,6 +6,7 @@ operator below becomes an ordinary column expression or join that Catalyst plans
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -18,6 +19,7 @@ from textlake.functions.sums import exact_sum
 from textlake.operators.bank import Bank, Template, normalize_pattern, placeholder
 from textlake.operators.model import RowModel, model_map
 from textlake.operators.segment import Wording, segments, value_of, wordings
+from textlake.session import cut_lineage
 
 # --- reading values back -------------------------------------------------------------
 
@@ -366,6 +368,15 @@ def _condition(step: dict, scalars: dict[str, Column]) -> Column:
     return _COMPARE[step["cmp"]](F.col(step["field"]), bound)
 
 
+def _aggregated(docs: DataFrame, step: dict, group: list[str]) -> DataFrame:
+    """Group keys and ``value`` of an aggregate step."""
+    column = step["column"] if "column" in step else aggregate_of(step["func"], step.get("field"))
+    rows = (docs.groupBy(*group) if group else docs).agg(column.alias("value"))
+    rows = rows.where(step["having"]) if "having" in step else rows
+    rows = rows.orderBy(*sort_keys(step["order"])) if "order" in step else rows
+    return rows.limit(step["limit"]) if "limit" in step else rows
+
+
 def _final_value(step: dict, docs: DataFrame, group: list[str]) -> DataFrame:
     """Rows ``(group_key, answer)`` of one final step.
 
@@ -374,11 +385,7 @@ def _final_value(step: dict, docs: DataFrame, group: list[str]) -> DataFrame:
     """
     label = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in group]) if group else F.lit("")
     if step["op"] == "agg":
-        column = step["column"] if "column" in step else aggregate_of(step["func"], step.get("field"))
-        rows = (docs.groupBy(*group) if group else docs).agg(column.alias("value"))
-        rows = rows.where(step["having"]) if "having" in step else rows
-        rows = rows.orderBy(*sort_keys(step["order"])) if "order" in step else rows
-        rows = rows.limit(step["limit"]) if "limit" in step else rows
+        rows = _aggregated(docs, step, group)
         return rows.select(label.alias("group_key"), F.col("value").cast("string").alias("answer"))
     return docs.select(label.alias("group_key"), F.col(step["field"]).cast("string").alias("answer"))
 
@@ -402,8 +409,12 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict]) -> list[DataFrame
     list for ``in`` filters; ``setop`` combines the named fields with those of another table. After a ``group`` step, top-k and
     filters with ``"per": "group"`` work inside each group; such a filter names aggregates of the group (``aggs``) in ``where``.
     """
-    if unknown := {s["op"] for s in steps} - _STEPS:
-        raise ValueError(f"unknown steps: {sorted(unknown)}")
+    docs, group = _worked(tables, steps)
+    return [_final_value(s, docs, group) for s in steps if s["op"] in ("agg", "extract")]
+
+
+def _bound(tables: dict[str, DataFrame], steps: list[dict]) -> tuple[dict[str, Column], dict[str, DataFrame]]:
+    """Sub-queries of the steps: one-row results as scalars, those with ``many`` as lists."""
     scalars: dict[str, Column] = {}
     lists: dict[str, DataFrame] = {}
     for s in steps:
@@ -414,6 +425,14 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict]) -> list[DataFrame
                 lists[s["name"]] = typed.distinct()
             else:
                 scalars[s["name"]] = typed.scalar()
+    return scalars, lists
+
+
+def _worked(tables: dict[str, DataFrame], steps: list[dict], group: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Documents after all steps but the finals, and the keys they are grouped by (``group`` before a group step)."""
+    if unknown := {s["op"] for s in steps} - _STEPS:
+        raise ValueError(f"unknown steps: {sorted(unknown)}")
+    scalars, lists = _bound(tables, steps)
     sets = dict(tables)
     for s in steps:
         if s["op"] == "filter" and s.get("table"):
@@ -424,7 +443,7 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict]) -> list[DataFrame
             docs = merge_joined(sem_join(docs, sets[s["right"]], s["on"], s.get("how", "inner")))
         elif s["op"] in ("semi", "anti"):
             docs = (sem_semi if s["op"] == "semi" else sem_anti)(docs, sets[s["right"]], s["on"])
-    group: list[str] = []
+    group = list(group or [])
     for s in steps:
         if s["op"] == "filter" and s.get("per") == "group":
             docs = sem_filter_in(docs, group, s["aggs"], s["where"])
@@ -443,7 +462,64 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict]) -> list[DataFrame
         elif s["op"] == "setop":
             docs = sem_setop(docs.select(*s["fields"]), sets[s["right"]].select(*s.get("right_fields", s["fields"])),
                              s["kind"], s.get("distinct", True))
-    return [_final_value(s, docs, group) for s in steps if s["op"] in ("agg", "extract")]
+    return docs, group
+
+
+def _folds(steps: list[dict]) -> bool:
+    """Whether a branch is only conditions on columns and a plain aggregate, so that it can be folded into one pass over its trunk."""
+    *work, last = steps
+    return (last["op"] == "agg" and not {"column", "having", "order", "limit"} & last.keys()
+            and all(s["op"] == "subquery" and not s.get("many")
+                    or s["op"] == "filter" and not {"table", "per", "in", "not_in"} & s.keys() for s in work))
+
+
+def run_graph(tables: dict[str, DataFrame], trunk: list[dict], branches: dict[str, list[dict]],
+              post: dict[str, Callable[..., Column]] | None = None) -> DataFrame:
+    """Branches with steps of their own over one trunk: a row per group, a column per branch.
+
+    The trunk's steps run once and are stored. A branch is a list of steps that ends with one ``agg``; the trunk is its
+    table ``trunk`` and the trunk's grouping holds. Branches that are conditions and an aggregate share a single pass over the stored
+    trunk; one with joins, list sub-queries or steps inside groups reads it for itself. All meet in a union that is
+    grouped by key once, whatever their number, so NULL keys meet too.
+
+    A group whose documents a branch drops counts 0, other aggregates of it are NULL; a branch's own ``having``, ``order`` and ``limit`` choose
+    groups in the same way. Branches add no groups, and may not group anew. Values are doubles, or of the ``type`` of the
+    final step. ``post`` makes further columns of branch columns, named as the parameters of its functions.
+    """
+    if wrong := [n for n, steps in branches.items() if sum(s["op"] in ("agg", "extract") for s in steps) != 1 or steps[-1]["op"] != "agg"
+                 or any(s["op"] == "group" for s in steps)]:
+        raise ValueError(f"branches must end with their only final, an aggregate, and keep the trunk's groups: {wrong}")
+    docs, group = _worked(tables, trunk)
+    docs = cut_lineage(docs)
+    tables = {t: d for t, d in tables.items() if t != "trunk"}
+    sets = {"trunk": docs, **tables}
+    prefix = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in [*docs.columns, *branches]), default=0))
+    keys = [f"{prefix}key_{i}" for i in range(len(group))]
+    folded = {n: steps for n, steps in branches.items() if _folds(steps)}
+    wide, sums = docs, [F.lit(None).cast("string").alias(f"{prefix}none")]
+    for i, (name, steps) in enumerate(folded.items()):
+        scalars, last, held = _bound(sets, steps)[0], steps[-1], F.lit(True)
+        for s in steps:
+            held = held & F.coalesce(_condition(s, scalars), F.lit(False)) if s["op"] == "filter" else held
+        value = F.lit(1) if last.get("field") in (None, "*") else F.col(last["field"])
+        wide = wide.withColumn(f"{prefix}value_{i}", F.when(held, value))
+        sums.append(aggregate_of(last["func"], f"{prefix}value_{i}").cast("string").alias(name))
+    first = wide.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)]).agg(*sums)
+    parts = [first.select(*keys, F.lit(True).alias(f"{prefix}base"), *[F.col(n) if n in folded else F.lit(None).cast("string").alias(n) for n in branches])]
+    keyed = {"trunk": docs.withColumns({k: F.col(g) for g, k in zip(group, keys)}), **tables}
+    for name, steps in branches.items():
+        if name not in folded:
+            rows, _ = _worked(keyed, steps, keys)
+            answers = _aggregated(rows, steps[-1], keys)
+            parts.append(answers.select(*keys, F.lit(False).alias(f"{prefix}base"), *[
+                (F.col("value").cast("string") if n == name else F.lit(None).cast("string")).alias(n) for n in branches]))
+    merged = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
+        F.bool_or(f"{prefix}base").alias(f"{prefix}base"), *[F.max(n).alias(n) for n in branches]).where(f"{prefix}base")
+    typed = {n: F.col(n).cast(steps[-1].get("type", "double")) for n, steps in branches.items()}
+    empty = {n: F.coalesce(c, F.lit(0).cast(branches[n][-1].get("type", "double"))) if str(branches[n][-1].get("func")).startswith("count") else c
+             for n, c in typed.items()}
+    out = merged.select(*[F.col(k).alias(g) for g, k in zip(group, keys)], *[c.alias(n) for n, c in empty.items()])
+    return out.withColumns({n: make(*[F.col(b) for b in inspect.signature(make).parameters]) for n, make in (post or {}).items()})
 
 
 def run_branches(trunk: DataFrame, branches: dict[str, tuple[Column | None, str, str | None]],

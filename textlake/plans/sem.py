@@ -315,6 +315,26 @@ def _(spark, sf):
                                   "near_balance": (F.col("c_nationkey") < 10, "sum", "c_acctbal")}, ["c_mktsegment"])
 
 
+@query("sem_17_run_graph", f"""with trunk as (select * from customer where c_nationkey < 20), j as (select t.*, o_totalprice from trunk t join orders on c_custkey = o_custkey where o_orderstatus = 'F'),
+ v as (select c_mktsegment, cast(count(*) as double) as n, cast(count(case when c_acctbal > (select {DEC.format('c_acctbal')} / count(c_acctbal) from trunk) then 1 end) as double) as n_rich,
+ (select max(o_totalprice) from j where j.c_mktsegment = t.c_mktsegment) as dearest, (select cast(count(*) as double) from j where j.c_mktsegment = t.c_mktsegment and o_totalprice > 200000) as n_dear,
+ cast(count(case when c_custkey not in (select o_custkey from orders) then 1 end) as double) as n_idle from trunk t group by 1)
+ select *, n_rich / n * 100 as rich_percent, n_dear > n_idle as busy from v""")
+def _(spark, sf):
+    join = {"op": "join", "left": "trunk", "right": "orders", "on": ("c_custkey", "o_custkey")}
+    return S.run_graph(
+        {"customer": customers(spark, sf, "c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"),
+         "orders": orders(spark, sf, "o_custkey", "o_orderstatus", "o_totalprice")},
+        [{"op": "filter", "where": "c_nationkey < 20"}, {"op": "group", "keys": ["c_mktsegment"]}],
+        {"n": [{"op": "agg", "func": "count"}],
+         "n_rich": [{"op": "subquery", "name": "$0", "steps": [{"op": "agg", "func": "avg", "field": "c_acctbal"}]},
+                    {"op": "filter", "field": "c_acctbal", "cmp": ">", "value": "$0"}, {"op": "agg", "func": "count"}],
+         "dearest": [join, {"op": "filter", "where": "o_orderstatus = 'F'"}, {"op": "agg", "func": "max", "field": "o_totalprice"}],
+         "n_dear": [{"op": "filter", "table": "orders", "where": "o_orderstatus = 'F'"}, join, {"op": "filter", "where": "o_totalprice > 200000"}, {"op": "agg", "func": "count"}],
+         "n_idle": [{"op": "anti", "right": "orders", "on": ("c_custkey", "o_custkey")}, {"op": "agg", "func": "count"}]},
+        {"rich_percent": lambda n_rich, n: P.percent(n_rich, n), "busy": lambda n_dear, n_idle: n_dear > n_idle})
+
+
 @query("sem_18_collect_answers", f"{_STEPS_SQL} select string_agg(answer, ';' order by ix, group_key, answer) as answers from a")
 def _(spark, sf):
     return S.collect_answers(_run_steps(spark, sf)).select(F.array_join("answers", ";").alias("answers"))
