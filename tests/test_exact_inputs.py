@@ -198,3 +198,42 @@ def test_branch_graph_reads_its_trunk_once(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan.lower() and plan.count("LogicalRDD") == 1
     assert sorted(r["n0"] for r in out.collect()) == [33.0, 33.0, 33.0]
+
+
+class _Stubborn:
+    """Right in a certain round for some rows, wrong in another way each time or always the same for others."""
+
+    def answer(self, prompts):
+        return prompts.map(self.one)
+
+    @staticmethod
+    def one(prompt):
+        kind, field, value, *rest = prompt.split("\t")
+        if value == "lost":
+            raise RuntimeError("no connection")
+        if value == "same":
+            return "Nothing to say."
+        if kind == "restate" and rest[0] == "3" and value == "third":
+            assert rest[1:] == ["no field", "Draft 2."], rest
+            return f"The {field} is third."
+        return "Draft 1." if kind == "state" else f"Draft {rest[0]}."
+
+
+def test_remediation_goes_by_round_and_reason(spark):
+    from textlake.operators import detect
+    rows = [(1, "city", "Paris", "The city is Paris."), (2, "city", "third", "Unclear."), (3, "city", "same", "Unclear. (Hash: 0a1b)"),
+            (4, "city", "lost", "Unclear."), (5, "city", None, None)]
+    data = spark.createDataFrame([(i, f, v, "STANDARD", s) for i, f, v, s in rows], "id int, field string, value string, field_class string, sentence string")
+    got = {r["id"]: (r["sentence"], r["fixed_in"]) for r in detect.remediate(data, _Stubborn(), rounds=4).collect()}
+    assert len(got) == 5 and got[1] == ("The city is Paris.", 0) and got[2] == ("The city is third.", 3)
+    assert got[3][1] == got[4][1] == 5 and got[4][0] == "The city value is lost."
+    early = detect.remediate(data.where("id in (3, 4)"), _Stubborn(), rounds=50)
+    assert {r["fixed_in"] for r in early.collect()} == {51}
+    assert early._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4  # two rounds, not fifty
+
+
+def test_labels_of_finals_tell_groups_apart(spark):
+    from textlake.operators import semantic as S
+    docs = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("NULL", "x"), ("", "x")], "k string, l string")
+    out = S.run_steps({"t": docs}, [{"op": "group", "keys": ["k", "l"]}, {"op": "agg", "func": "count", "field": "*"}])[0]
+    assert len({r["group_key"] for r in out.collect()}) == 5

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textlake import vocab
 from textlake.functions import text as X
 from textlake.operators.model import RowModel, model_map
-from textlake.operators.render import append_tag, extract_tag
+from textlake.operators.render import append_tag, extract_tag, strip_tag
 
 # a value stands alone when white space or punctuation other than '-' is on both sides
 EDGE = r"[\s!-,./:-@\[-`{-~]"
@@ -468,34 +468,43 @@ def remediate(rows: DataFrame, model: RowModel, rounds: int = 5) -> DataFrame:
     """Rewrite sentences whose field is not found, in bounded rounds over a shrinking set.
 
     ``rows``: (…, field, value, field_class, sentence). A rewrite counts when its value is
-    found by the cascade and by a plain search; what is left after the last round gets the
-    stated sentence. Tags are kept. Adds ``fixed_in`` (0 = was fine).
+    found by the cascade and by a plain search; what is left at the end gets the
+    stated sentence. Tags are kept. Adds ``fixed_in`` (0 = was fine, ``rounds + 1`` = stated).
+
+    The first prompt is ``state, field, value``. Later ones are ``restate, field, value, round, reason, sentence``, with the sentence
+    that was refused and why: ``no field``, ``no value`` or ``no answer`` (a null answer or a failing prompt, which leaves the
+    sentence as it was). The open rows of each round are stored; the loop ends when none is left or a round has changed no sentence.
     """
     from textlake.session import cut_lineage
     base = rows.columns
 
     def judged(df: DataFrame) -> DataFrame:
         hit = field_in_sentence(F.col("sentence"), F.col("field"), F.col("value"), F.col("field_class"))
-        both = hit["found"] & (has_value(F.col("sentence"), F.col("value")) | ~F.col("field_class").isin("STANDARD"))
-        return df.withColumn("_ok", both)
+        plain = has_value(F.col("sentence"), F.col("value")) | ~F.col("field_class").isin("STANDARD")
+        found, both = F.coalesce(hit["found"], F.lit(False)), F.coalesce(hit["found"] & plain, F.lit(False))
+        why = F.when(~F.col("_said"), "no answer").when(~found, "no field").otherwise("no value")
+        return df.withColumns({"_ok": both, "_why": why})
 
-    state = cut_lineage(judged(rows))
+    state = cut_lineage(judged(rows.withColumn("_said", F.lit(True))))
     done = [state.where("_ok").select(*base, F.lit(0).alias("fixed_in"))]
-    open_rows = state.where("not _ok").select(*base)
+    open_rows = state.where("not _ok")
     for n in range(1, rounds + 1):
-        kind = "state" if n == 1 else "echo"
-        prompt = F.concat_ws("\t", F.lit(kind), F.col("field"), F.col("value"))
-        answered = model_map(open_rows.withColumn("_prompt", prompt), "_prompt", model, "_new")
+        told = [F.coalesce(F.col(c), F.lit("")) for c in ("field", "value")]
+        prompt = (F.concat_ws("\t", F.lit("state"), *told) if n == 1 else
+                  F.concat_ws("\t", F.lit("restate"), *told, F.lit(str(n)), "_why", F.coalesce(strip_tag(F.col("sentence")), F.lit(""))))
+        asked = open_rows.select(*base, prompt.alias("_prompt"))
+        answered = model_map(asked, "_prompt", model, "_new", keep_errors=True)
         fresh = append_tag(F.col("_new"), F.coalesce(extract_tag(F.col("sentence")), F.lit("")))
         new = F.when(extract_tag(F.col("sentence")).isNotNull(), fresh).otherwise(F.col("_new"))
-        state = cut_lineage(judged(answered.withColumn("sentence", new).select(*base)))
+        said = answered.withColumns({"_said": F.col("_new").isNotNull(), "_old": F.col("sentence")})
+        said = said.withColumn("sentence", F.when(F.col("_said"), new).otherwise(F.col("_old")))
+        state = cut_lineage(judged(said).withColumn("_moved", ~F.col("sentence").eqNullSafe(F.col("_old"))).select(*base, "_ok", "_why", "_moved"))
         done.append(state.where("_ok").select(*base, F.lit(n).alias("fixed_in")))
-        open_rows = state.where("not _ok").select(*base)
-        if open_rows.isEmpty():
+        open_rows = state.where("not _ok")
+        if open_rows.where("_moved").isEmpty():
             break
-    else:
-        stated = F.concat(F.lit("The "), "field", F.lit(" value is "), "value", F.lit("."))
-        done.append(open_rows.withColumn("sentence", stated).select(*base, F.lit(rounds + 1).alias("fixed_in")))
+    stated = F.concat(F.lit("The "), "field", F.lit(" value is "), F.coalesce("value", F.lit("NULL")), F.lit("."))
+    done.append(open_rows.select(*base).withColumn("sentence", stated).select(*base, F.lit(rounds + 1).alias("fixed_in")))
     return reduce(DataFrame.unionByName, done)
 
 

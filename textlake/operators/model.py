@@ -143,6 +143,11 @@ class RuleModel:
         """A fresh sentence that states a value."""
         return f"The {column} is {value}."
 
+    @staticmethod
+    def _restate(field: str, value: str, attempt: str, reason: str, sentence: str) -> str:
+        """Another sentence for one that was refused, by the reason."""
+        return f"The {field} is {value}." if reason == "no field" else f"The {field} value is {value}."
+
     @staticmethod
     def _null_indicator(sentence: str) -> str:
         low = sentence.lower()
