@@ -21,12 +21,15 @@ def column_diff(expected: DataFrame, actual: DataFrame, keys: list[str]) -> Data
 
 
 def sentence_uniqueness(corpus: DataFrame, sentences: str = "sentences") -> DataFrame:
-    """Mean duplicates per document, distinct sentences in all, and their share; a copied sentence is combined map-side."""
+    """Mean duplicates per document, distinct sentences in all, and their share.
+
+    Sentences are told apart by their SHA-256, so that 32 bytes of each are shuffled, and are combined map-side.
+    """
     rows = corpus.select(F.size(sentences).alias("n"),
                          (F.size(sentences) - F.size(F.array_distinct(sentences))).alias("dup")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_all"), F.sum("dup").alias("n_dup"))
-    distinct = corpus.select(F.explode(sentences).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).agg(
-        F.count(F.lit(1)).alias("d"))
+    each = corpus.select(F.explode(F.array_distinct(sentences)).alias("s")).select(F.unhex(F.sha2("s", 256)).alias("h"))
+    distinct = each.distinct().agg(F.count(F.lit(1)).alias("d"))
     return rows.select("n_docs", "n_all", F.round(F.col("n_dup") / F.col("n_docs"), 6).alias("mean_duplicates"),
                        distinct.scalar().alias("n_distinct")).withColumn(
         "distinct_ratio", F.round(F.try_divide("n_distinct", "n_all"), 6))

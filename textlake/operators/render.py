@@ -240,8 +240,8 @@ FIELD_WORDS = ["code", "name", "number", "type", "status", "count", "id", "ident
                "percent", "percentage", "total", "amount", "value"]
 
 
-def keyword_candidates(sentence: Column, fields: list[str], values: list[Column], cap: int = 8) -> Column:
-    """Words worth varying: long enough, not a stop word, not part of a field name or value."""
+def keyword_candidates(sentence: Column, fields: list[str], values: list[Column], cap: int | None = None) -> Column:
+    """Words worth varying: long enough, not a stop word, not part of a field name or value; all, or the first ``cap``."""
     words = F.regexp_extract_all(F.lower(sentence), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))
     name_words = sorted({w for f in fields for w in "".join(
         ch if ch.isalpha() and ch.isascii() else " " for ch in f.lower()).split()})
@@ -249,13 +249,13 @@ def keyword_candidates(sentence: Column, fields: list[str], values: list[Column]
     value_words = F.transform(F.split(F.lower(F.concat_ws(" ", *values)), r"\s+"),
                               lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
     kept = F.array_except(F.array_except(words, banned), value_words)
-    return F.slice(F.array_sort(kept), 1, cap)
+    return F.array_sort(kept) if cap is None else F.slice(F.array_sort(kept), 1, cap)
 
 
-def build_synonym_sets(words: DataFrame, thesaurus: DataFrame, cap: int = 6) -> DataFrame:
+def build_synonym_sets(words: DataFrame, thesaurus: DataFrame, cap: int | None = None) -> DataFrame:
     """Synonyms per word: alphabetic, longer than two letters, the word itself first.
 
-    Only the best ``cap - 1`` rows of a word survive the window, so no group grows.
+    With ``cap`` only the best ``cap - 1`` synonyms of a word survive the window, so no group grows; without, all are kept.
     """
     from pyspark.sql import Window
     fit = (thesaurus.where((F.length("synonym") > 2) & F.col("synonym").rlike(r"^\p{L}+$")
@@ -263,7 +263,7 @@ def build_synonym_sets(words: DataFrame, thesaurus: DataFrame, cap: int = 6) ->
            .groupBy("word", "synonym").agg(F.min("rank").alias("rank")))
     best = (words.select("word").distinct().join(fit, "word", "left")
             .withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("rank", "synonym")))
-            .where(F.col("n") < cap))
+            .where(F.lit(True) if cap is None else F.col("n") < cap))
     listed = F.array_sort(F.collect_list(F.when(F.col("synonym").isNotNull(), F.struct("n", "synonym"))))
     return best.groupBy("word").agg(listed.alias("s")).select(
         "word", F.concat(F.array("word"), F.transform("s", lambda x: x["synonym"])).alias("synonyms"))

@@ -295,14 +295,19 @@ def sem_filter_in(docs: DataFrame, group: list[str], aggs: dict[str, Column | tu
     return docs.join(sums, same).where(predicate).drop(*keys, *aggs)
 
 
+def group_label(keys: list[str]) -> Column:
+    """Group keys as one text that no other group has; empty without keys."""
+    texts = [F.col(k).cast("string") for k in keys]
+    escaped = [F.when(t.isNull(), "").when(t == "", "\\E").otherwise(F.regexp_replace(t, r"([\\|])", r"\\$1")) for t in texts]
+    return F.concat_ws("|", *escaped) if keys else F.lit("")
+
+
 def sem_cluster_by(docs: DataFrame, keys: list[str], name: str = "group_key") -> DataFrame:
     """Group documents by extracted keys; later aggregates use the group column.
 
     Keys are joined by ``|``; a ``|`` or backslash of a key gets a backslash, empty text is ``\\E`` and NULL is empty.
     """
-    texts = [F.col(k).cast("string") for k in keys]
-    escaped = [F.when(t.isNull(), "").when(t == "", "\\E").otherwise(F.regexp_replace(t, r"([\\|])", r"\\$1")) for t in texts]
-    return docs.withColumn(name, F.concat_ws("|", *escaped))
+    return docs.withColumn(name, group_label(keys))
 
 
 def ungroup(docs: DataFrame, name: str = "group_key") -> DataFrame:
@@ -381,9 +386,9 @@ def _final_value(step: dict, docs: DataFrame, group: list[str]) -> DataFrame:
     """Rows ``(group_key, answer)`` of one final step.
 
     An aggregate step may hold ``having`` (a condition), ``order`` (sort keys) and ``limit``
-    over the group keys and ``value``, the aggregate. A NULL key reads ``NULL``.
+    over the group keys and ``value``, the aggregate. Keys read as those of ``sem_cluster_by``.
     """
-    label = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in group]) if group else F.lit("")
+    label = group_label(group)
     if step["op"] == "agg":
         rows = _aggregated(docs, step, group)
         return rows.select(label.alias("group_key"), F.col("value").cast("string").alias("answer"))

@@ -147,7 +147,16 @@ def _(spark, sf):
     w = F.concat(F.lit("This "), "p_name", F.lit(" with brand "), "p_brand", F.lit(
         " comes from stable supplies and would count toward early spring selling targets beyond plans."))
     return table(spark, sf, "part").select("p_partkey", F.array_join(R.keyword_candidates(
-        w, ["p_name", "p_brand"], [F.col("p_name"), F.col("p_brand")]), " ").alias("words"))
+        w, ["p_name", "p_brand"], [F.col("p_name"), F.col("p_brand")], cap=8), " ").alias("words"))
+
+
+@query("gen_9_all_keywords", rf"""select p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(w), '\b[a-z]{{4,}}\b'),
+ lambda k: not list_contains([{D.words(_BANNED)}], k)))), ' ') as words from (select *, 'Many ' || p_name || ' articles under label ' || p_brand ||
+ ' leave several warehouses before noon, cross seven bridges, reach distant harbours and return without damage.' as w from part)""")
+def _(spark, sf):
+    w = F.concat(F.lit("Many "), "p_name", F.lit(" articles under label "), "p_brand", F.lit(
+        " leave several warehouses before noon, cross seven bridges, reach distant harbours and return without damage."))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(R.keyword_candidates(w, ["p_name", "p_brand"], []), " ").alias("words"))
 
 
 @query("gen_10_assemble_document", f"""select doc_id, md5({RS.assemble('s', 'cast(doc_id as varchar)')}) as body from ({SENTENCES_SQL})""")
@@ -250,10 +259,20 @@ def _(spark, sf):
 def _(spark, sf):
     names = F.split("p_name", " ")
     thesaurus = table(spark, sf, "part").select(names[0].alias("word"), names[1].alias("synonym"), F.col("p_size").alias("rank"))
-    sets = R.build_synonym_sets(thesaurus.select("word"), thesaurus)
+    sets = R.build_synonym_sets(thesaurus.select("word"), thesaurus, cap=6)
     return sets.select("word", F.array_join("synonyms", " ").alias("synonyms"))
 
 
+@query("gen_19_all_synonyms", r"""with t as (select distinct split_part(p_name, ' ', 1) as word, split_part(p_name, ' ', -1) || p_size as synonym, min(p_retailprice) as rank from part group by 1, 2),
+ f as (select word, regexp_replace(synonym, '[0-9]+', repeat('x', cast(regexp_extract(synonym, '[0-9]+') as integer))) as synonym, rank from t)
+ select word, word || ' ' || string_agg(synonym, ' ' order by rank, synonym) as synonyms from f group by word""")
+def _(spark, sf):
+    names = F.split("p_name", " ")
+    thesaurus = table(spark, sf, "part").select(names[0].alias("word"), F.concat(F.element_at(names, -1), F.expr("repeat('x', cast(p_size as int))")).alias("synonym"),
+                                                F.col("p_retailprice").alias("rank"))
+    return R.build_synonym_sets(thesaurus.select("word"), thesaurus).select("word", F.array_join("synonyms", " ").alias("synonyms"))
+
+
 _FRAG_SQL = """select o_orderkey, [case o_orderkey % 3 when 0 then 'In fact,' when 1 then 'Note well' else 'A plain opening sentence.' end,
  'The price is ' || cast(o_custkey as varchar) || '. (Hash: 0a1b)', case when o_orderkey % 4 = 0 then 'TBD' else 'So' end,
  case when o_orderkey % 5 = 0 then 'TBD' else 'Also' end, 'Dated items follow here.', 'End'] as s from orders"""
