@@ -8,21 +8,24 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from textlake.operators.bank import Bank, normalize_pattern, placeholder
+from textlake.operators.bank import Bank, cut_wording, normalize_pattern
 
 
-def _readers(bank: Bank) -> list[tuple[str, str]]:
-    """``(field, regex)`` of every wording that shows its value."""
+def _readers(bank: Bank) -> list[tuple[list[str], str]]:
+    """``(fields, regex)`` of every wording that shows values, with a group per field."""
     out = []
     for t in bank:
         if t.field is None:
             continue
-        mark = placeholder(t.field)
         for p in map(normalize_pattern, (*t.std, *t.counter, *t.null)):
-            if mark in p:
-                before, after = p.split(mark, 1)
+            before, gaps = cut_wording(p, t.fields)
+            if gaps:
                 first = f"[{before[0].upper()}{before[0].lower()}]{re.escape(before[1:])}" if before[:1].isalpha() else re.escape(before)
-                out.append((t.field, rf"(?s)(?:^|(?<=\n)|(?<=[.!?,]\s)){first}(.*?){re.escape(after)}(?=\s|$)"))
+                fields, rest = [], ""
+                for f, text in gaps:
+                    rest += (f"(?:\\{fields.index(f) + 1})" if f in fields else "(.*?)") + re.escape(text)
+                    fields += [] if f in fields else [f]
+                out.append((fields, rf"(?s)(?:^|(?<=\n)|(?<=[.!?,]\s)){first}{rest}(?=\s|$)"))
     return out
 
 
@@ -37,10 +40,11 @@ def register_extract_fields(spark: SparkSession, bank: Bank, name: str = "extrac
 
         def eval(self, contents: str) -> Iterator[tuple[str, str]]:
             seen = set()
-            for field, rx in self._compiled:
-                hit = rx.search(contents or "")
-                if hit and field not in seen:
-                    seen.add(field)
-                    yield field, hit.group(1)
+            for fields, rx in self._compiled:
+                hit = rx.search(contents or "") if not seen.issuperset(fields) else None
+                for field, value in zip(fields, hit.groups() if hit else ()):
+                    if field not in seen:
+                        seen.add(field)
+                        yield field, value
 
     spark.udtf.register(name, ExtractFields)

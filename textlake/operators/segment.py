@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from textlake import vocab
 from textlake.functions.text import let
-from textlake.operators.bank import Bank, Template, normalize_pattern, placeholder
+from textlake.operators.bank import Bank, Template, cut_wording, normalize_pattern
 
 #: Words that a period does not end a sentence after, and single letters.
 _SHORT = r"(?i)(?:^|[\s(])(?:\p{L}|dr|mr|mrs|ms|prof|st|jr|sr|inc|ltd|co|corp|bros|no|vs|dept|ave|rev|gen|col|capt|mt|ft)\.$"
@@ -28,25 +28,32 @@ _CUT = r"(?<=[.!?,]\s{1,4})(?=\S)|(?<=\n)(?=\S)"
 
 @dataclass(frozen=True)
 class Wording:
-    """One way to say a slot: text before and after the value, or a whole sentence (``after`` is None)."""
+    """One way to say a slot: the text before its first value, and ``gaps``, the fields with the text after each.
+
+    A whole sentence has no gaps, and its ``after`` is None.
+    """
 
     slot: int
     template: Template | None
     pool: str
     before: str
-    after: str | None
+    gaps: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def after(self) -> str | None:
+        return self.gaps[-1][1] if self.gaps else None
 
 
 def wordings(bank: Bank, noise: list[str] = ()) -> list[Wording]:
     """All wordings that open with text, longest opening first; slot -1 is noise."""
-    out = [Wording(-1, None, "std", n, None) for n in noise]
+    out = [Wording(-1, None, "std", n) for n in noise]
     for slot, t in enumerate(bank):
         for pool in ("std", "counter", "null"):
             for p in map(normalize_pattern, t.pool(pool)):
-                before, mark, after = p.partition(placeholder(t.field)) if t.field else (p, "", "")
+                before, gaps = cut_wording(p, t.fields)
                 if before.strip():
-                    out.append(Wording(slot if t.field else -1, t, pool, before, after if mark else None))
-    return sorted(out, key=lambda w: (-len(w.before), w.before, w.after is not None, -len(w.after or ""), w.slot))
+                    out.append(Wording(slot if t.field else -1, t, pool, before, gaps))
+    return sorted(out, key=lambda w: (-len(w.before), w.before, bool(w.gaps), -sum(len(text) for _, text in w.gaps), w.slot))
 
 
 def _varied(w: Wording, text: str) -> bool:
@@ -62,6 +69,16 @@ def _regex(w: Wording, text: str) -> str:
     return "".join(token(t) for t in re.split(r"(\w+)", text))
 
 
+def _whole(w: Wording, greedy: bool = False) -> tuple[str, list[str]]:
+    """Regex of a whole sentence with a group per field, and the fields; a field said again has to read the same."""
+    rx, fields = "(?s)^" + _regex(w, w.before[:1].upper() + w.before[1:]), []
+    for i, (f, text) in enumerate(w.gaps):
+        rx += rf"\{fields.index(f) + 1}" if f in fields else "(.*)" if greedy else "(.*?)"
+        rx += _regex(w, text.rstrip() if i == len(w.gaps) - 1 else text)
+        fields += [] if f in fields else [f]
+    return rx + "$", fields
+
+
 def _upper_first(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 
@@ -147,14 +164,19 @@ def segments(contents: Column, known: list[Wording], strict: bool = True) -> Col
     return let(pieces, of)
 
 
-def value_of(seg: Column, t: Template, slot: int, known: list[Wording], binary: tuple[str, ...], strict: bool = True) -> Column:
-    """Text of a slot's value in segments; NULL when the slot is not there or says that it is missing.
+def value_of(seg: Column, t: Template, slot: int, known: list[Wording], binary: tuple[str, ...], strict: bool = True,
+             field: str | None = None, greedy: bool = False) -> Column:
+    """Text of the value of a slot's field (its first one unless named) in segments; NULL when the slot is not there or
+    says that it is missing.
 
+    Where the text between two values stands more than once, the earlier value is the shortest, with ``greedy`` the longest.
     Unless ``strict``, unknown sentences may follow: the sentence is over at the first place where its wording ends,
     a capital letter comes next and no abbreviation stands before.
     """
     chosen, pieces = seg["found"]["chosen"], seg["pieces"]
-    said = {"null": None, "counter": "0" if t.klass in binary else None, "std": "1"}
+    own = field in (None, t.field)
+    field = field or t.field
+    said = {"null": None, "counter": "0" if own and t.klass in binary else None, "std": "1" if own else None}
     groups: dict[str, list[int]] = {}
     for number, w in enumerate(known):
         if w.slot == slot and w.after is not None:
@@ -169,9 +191,10 @@ def value_of(seg: Column, t: Template, slot: int, known: list[Wording], binary:
             inner = F.when(F.lit(False), F.lit(""))
             for w in (known[i] for i in numbers):
                 after = w.after.rstrip()
-                if _varied(w, w.before) or _varied(w, after):
-                    rx = "(?s)^" + _regex(w, before[:1].upper() + before[1:]) + "(.*)" + _regex(w, after) + "$"
-                    inner = inner.when(_upper_first(text).rlike(rx), F.regexp_extract(_upper_first(text), rx, 1))
+                if len(w.gaps) > 1 or w.gaps[0][0] != field or _varied(w, w.before) or _varied(w, after):
+                    rx, shown = _whole(w, greedy)
+                    value = F.regexp_extract(_upper_first(text), rx, shown.index(field) + 1) if field in shown else F.lit(said[w.pool]).cast("string")
+                    inner = inner.when(_upper_first(text).rlike(rx), value)
                 else:
                     inner = inner.when(F.endswith(text, F.lit(after)), F.substring(text, F.lit(len(before) + 1), F.length(text) - len(before) - len(after)))
             chain = chain.when(here["w"].isin(numbers), inner)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textlake import vocab
 from textlake.functions.sums import exact_sum
-from textlake.operators.bank import Bank, Template, normalize_pattern, placeholder
+from textlake.operators.bank import Bank, Template, cut_wording, normalize_pattern
 from textlake.operators.model import RowModel, model_map
 from textlake.operators.segment import Wording, segments, value_of, wordings
 from textlake.session import cut_lineage
@@ -72,12 +72,11 @@ def _anchor(text: str, synonyms: dict[str, tuple[str, ...]]) -> tuple[str, str]:
 
 def pool_matches(t: Template, contents: Column) -> dict[str, Column]:
     """Per pool of a slot, whether one of its literal wordings is in the text."""
-    mark = placeholder(t.field)
     out = {}
     for pool in ("null", "counter", "std"):
         tests = []
         for p in map(normalize_pattern, t.pool(pool)):
-            if mark not in p:
+            if not cut_wording(p, t.fields)[1]:
                 literal, rx = _anchor(p, t.synonyms)
                 tests.append(contents.contains(literal) & contents.rlike(rx + r"(?=\s|$)"))
         if tests:
@@ -85,31 +84,45 @@ def pool_matches(t: Template, contents: Column) -> dict[str, Column]:
     return out
 
 
-def _value_of(pattern: str, mark: str, synonyms, contents: Column) -> Column:
-    """Value shown by one wording, NULL when the text does not hold it."""
-    before, after = pattern.split(mark, 1)
-    end = _wording(after, synonyms, False) + r"(?=\s|$)"
-    if not before.strip():
-        # the value opens the sentence, so it must not run over a sentence end
-        return F.nullif(F.regexp_extract(contents, "(?s)" + _OPEN + _TRANSITION + r"((?:(?![.!?]\s).)*?)" + end, 1), F.lit(""))
-    literal, rx = _anchor(before, synonyms)
-    return F.when(contents.contains(literal), F.nullif(F.regexp_extract(contents, "(?s)" + rx + "(.*?)" + end, 1), F.lit("")))
+def _reading(pattern: str, t: Template) -> tuple[str, str, list[str]]:
+    """``(literal, regex, fields)`` of a wording with values: a text that every match holds, and a group per field."""
+    before, gaps = cut_wording(pattern, t.fields)
+    # a value that opens the sentence must not run over a sentence end
+    group, shown, rest = "(.*?)" if before.strip() else r"((?:(?![.!?]\s).)*?)", [], ""
+    for f, text in gaps:
+        rest += (rf"\{shown.index(f) + 1}" if f in shown else group) + _wording(text, t.synonyms, False)
+        shown += [] if f in shown else [f]
+    literal, opening = _anchor(before, t.synonyms) if before.strip() else ("", _OPEN + _TRANSITION)
+    return literal, "(?s)" + opening + rest + r"(?=\s|$)", shown
 
 
-def extract_value(t: Template, contents: Column) -> Column:
+def _value_of(pattern: str, t: Template, field: str, contents: Column) -> Column:
+    """Value of a field shown by one wording, NULL when the text does not hold it."""
+    literal, rx, shown = _reading(pattern, t)
+    value = F.nullif(F.regexp_extract(contents, rx, shown.index(field) + 1), F.lit(""))
+    return F.when(contents.contains(literal), value) if literal else value
+
+
+def extract_value(t: Template, contents: Column, field: str | None = None) -> Column:
     """Text of a field's value in a document; NULL when missing or not found.
 
-    A wording without the value stands for what its pool means: missing, 0 or 1.
+    A wording that does not show the field stands for what its pool means: missing, 0 or 1.
     """
-    mark = placeholder(t.field)
+    own, field = field in (None, t.field), field or t.field
     chain = F.when(F.lit(False), F.lit(""))
-    meaning = {"null": None, "counter": "0" if t.klass in _BINARY else None, "std": "1"}
+    meaning = {"null": None, "counter": "0" if own and t.klass in _BINARY else None, "std": "1" if own else None}
     for pool, hit in pool_matches(t, contents).items():
         chain = chain.when(hit, F.lit(meaning[pool]).cast("string"))
-    with_value = [p for pool in ("std", "counter", "null") for p in map(normalize_pattern, t.pool(pool)) if mark in p]
+    for pool in ("null", "counter", "std"):
+        for p in map(normalize_pattern, t.pool(pool)):
+            gaps = cut_wording(p, t.fields)[1]
+            if gaps and field not in dict(gaps):
+                literal, rx, _ = _reading(p, t)
+                chain = chain.when(contents.contains(literal) & contents.rlike(rx), F.lit(meaning[pool]).cast("string"))
+    cut = [(p, *cut_wording(p, t.fields)) for pool in ("std", "counter", "null") for p in map(normalize_pattern, t.pool(pool))]
     # wordings with the longest start first: a shorter one may be the end of a longer one
-    with_value.sort(key=lambda p: -len(p.split(mark, 1)[0]))
-    found = [_value_of(p, mark, t.synonyms, contents) for p in with_value]
+    with_value = sorted((c for c in cut if field in dict(c[2])), key=lambda c: -len(c[1]))
+    found = [_value_of(p, t, field, contents) for p, _, _ in with_value]
     text = F.coalesce(*found) if found else F.lit(None).cast("string")
     return chain.otherwise(F.when(~F.upper(text).isin([w for w in vocab.NULL_WORDS_RENDER if w]), text))
 
@@ -118,45 +131,74 @@ def slots(bank: Bank) -> dict[str, Template]:
     return {t.field: t for t in bank if t.field}
 
 
+def _homes(bank: Bank, field: str) -> list[int]:
+    """Slots that say a field: the one it is the first field of, then those that show it beside theirs."""
+    own = [i for i, t in enumerate(bank) if t.field == field][-1:]
+    homes = own + [i for i, t in enumerate(bank) if t.field and t.field != field and field in t.others]
+    if not homes:
+        raise KeyError(f"no slot of the bank says {field}")
+    return homes
+
+
 def sem_extract(docs: DataFrame, bank: Bank, fields: dict[str, str], noise: list[str] | None = None, plain_values: bool = False) -> DataFrame:
     """Add typed field columns to a document set: ``{"c_acctbal": "double"}``.
 
     A document is cut as a whole (see ``segment``), so values may hold periods, line breaks and other wordings. With ``noise``, the
     sentences that are neither of the bank nor static slots (none: an empty list), everything between two openings is the
-    value. Without it other sentences may stand anywhere, so a value is over at a sentence end that a capital letter follows,
+    value. Without it, or with wordings that open with a value, other sentences may stand anywhere, so a value is over at a sentence end that a capital letter follows,
     abbreviations apart. A value that opens its sentence ends at the first period. NULL where a document has no such sentence.
 
     With ``plain_values`` the caller vouches that no value holds a sentence end (keys, numbers, codes): each wording
     is then read where it is first found, at about half the cost.
+
+    A field that several slots say is read from its own slot, or where that says nothing, from the first other one that shows it.
     """
-    place = {t.field: i for i, t in enumerate(bank) if t.field}
+    homes = {f: _homes(bank, f) for f in fields}
     if plain_values:
-        return docs.withColumns({f: extract_value(bank[place[f]], F.col("contents")).try_cast(t) for f, t in fields.items()})
-    known, name, strict = wordings(bank, list(noise or ())), "_segments", noise is not None
+        return docs.withColumns({f: F.coalesce(*[extract_value(bank[i], F.col("contents"), f) for i in homes[f]]).try_cast(t)
+                                 for f, t in fields.items()})
+    known, name, strict = wordings(bank, list(noise or ())), "_segments", noise is not None and not _opened_by_values(bank)
     while name in docs.columns:
         name = "_" + name
     # the row number keeps filters on a value from moving below the alignment and carrying it along
     out = docs.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, segments(F.col("contents"), known, strict)))
-    return out.withColumns({f: _typed(out[name], bank[place[f]], place[f], known, t, strict) for f, t in fields.items()}).drop(name)
+    return out.withColumns({f: F.coalesce(*[_said(out[name], bank[i], i, known, strict, f) for i in homes[f]]).try_cast(t)
+                            for f, t in fields.items()}).drop(name)
+
+
+def _opened_by_values(bank: Bank) -> bool:
+    """Whether a wording opens with a value, so that its sentences cannot be told from others beforehand."""
+    return any(gaps and not before.strip() for t in bank for pool in ("std", "counter", "null")
+               for before, gaps in (cut_wording(p, t.fields) for p in map(normalize_pattern, t.pool(pool))))
 
 
-def _typed(seg: Column, t: Template, slot: int, known: list[Wording], dtype: str, strict: bool) -> Column:
-    text = value_of(seg, t, slot, known, _BINARY, strict)
+def _said(seg: Column, t: Template, slot: int, known: list[Wording], strict: bool, field: str) -> Column:
+    """Text of a field's value in one slot, NULL for words that mean a missing value."""
+    text = value_of(seg, t, slot, known, _BINARY, strict, field)
     text = F.when(~F.upper(text).isin([w for w in vocab.NULL_WORDS_RENDER if w]), text)
-    mark = placeholder(t.field)
-    if any(mark in p and not p.split(mark, 1)[0].strip() for pool in ("std", "counter", "null") for p in map(normalize_pattern, t.pool(pool))):
-        text = F.coalesce(text, extract_value(t, F.col("contents")))
-    return text.try_cast(dtype)
+    cut = [cut_wording(p, t.fields) for pool in ("std", "counter", "null") for p in map(normalize_pattern, t.pool(pool))]
+    if any(field in dict(gaps) and not before.strip() for before, gaps in cut):
+        text = F.coalesce(text, extract_value(t, F.col("contents"), field))
+    return text
 
 
 def extraction_conflicts(docs: DataFrame, bank: Bank, noise: list[str] = ()) -> DataFrame:
-    """``row_id, field``: documents that can be read in several equally good ways (field NULL), and fields of which
-    wordings of more than one pool are found."""
+    """``row_id, field``: documents that can be read in several equally good ways (field NULL), fields of which
+    wordings of more than one pool are found, and fields of a sentence with several values that can be parted in several ways."""
     checks = [F.when(reduce(lambda a, b: a + b, [h.cast("int") for h in hits.values()]) > 1, F.lit(f))
               for f, t in slots(bank).items() if len(hits := pool_matches(t, F.col("contents"))) > 1]
-    unsure = F.when(segments(F.col("contents"), wordings(bank, list(noise)))["found"]["ambiguous"], F.array(F.lit(None).cast("string")))
-    found = F.concat(F.coalesce(unsure, F.expr("cast(array() as array<string>)")), F.array_compact(F.array(*checks)) if checks else F.expr("cast(array() as array<string>)"))
-    return docs.select("row_id", F.explode(found).alias("field"))
+    known, name = wordings(bank, list(noise)), "_segments"
+    while name in docs.columns:
+        name = "_" + name
+    strict = not _opened_by_values(bank)
+    cut = docs.withColumn(name, segments(F.col("contents"), known, strict))
+    for i, t in enumerate(bank):
+        for f in t.fields if any(w.slot == i and len(w.gaps) > 1 for w in known) else ():
+            shortest, longest = (value_of(cut[name], t, i, known, _BINARY, strict, f, g) for g in (False, True))
+            checks.append(F.when(~shortest.eqNullSafe(longest), F.lit(f)))
+    unsure = F.when(cut[name]["found"]["ambiguous"], F.array(F.lit(None).cast("string")))
+    found = F.concat(F.coalesce(unsure, F.expr("cast(array() as array<string>)")), F.array_distinct(F.array_compact(F.array(*checks))) if checks else F.expr("cast(array() as array<string>)"))
+    return cut.select("row_id", F.explode(found).alias("field"))
 
 
 # --- row operators -------------------------------------------------------------------

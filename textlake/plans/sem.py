@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textlake.operators import post as P
 from textlake.operators import semantic as S
-from textlake.operators.bank import Template
+from textlake.operators.bank import Template, bank_from_df, bank_to_df
 from textlake.operators.model import RuleModel
 from textlake.plans.banks import NATION_BANK, NOISE, ORDER_BANK, customer_bank
 from textlake.plans.base import query, table
@@ -17,6 +17,9 @@ from textlake.plans.corpora import ORDERS_DATED, customer_docs, nation_docs, ord
 from textlake.operators.render import render_documents
 from textlake.plans.fixtures import CUSTOMER_X, customer_x, duck
 from textlake.plans.txt import STEPS_SQL, step_text_sql, steps, with_step_text
+from textlake.session import scratch_path
+from textlake.sources.readers import read_bank, read_tags
+from textlake.sources.sinks import write_bank
 
 CX = duck(CUSTOMER_X)
 DEC = "cast(sum(cast({} as decimal(18,2))) as double)"
@@ -97,6 +100,57 @@ for _nm, _bm, _r in (("explicit", "explicit", (1, 0)), ("explicit", "implicit",
     _awkward_query(_nm, _bm, _r)
 
 
+# sentences with several values, in a bank that is stored and read before anything is rendered
+_SEVERAL = [
+    Template("c_name", ("The customer on file is [C_NAME], number [C_CUSTKEY] in our books.", "Under number [C_CUSTKEY] we know [C_NAME] (again: [C_CUSTKEY])."), others=("c_custkey",)),
+    Template("is_debtor", ("Money is owed, the balance being [C_ACCTBAL]!",), ("No money is owed; a saldo of [C_ACCTBAL] is held.",),
+             variation_class="BINARY", others=("c_acctbal",), synonyms={"saldo": ("position", "balance")}),
+    Template(None, ("Such notes are kept for good order.",)),
+    Template("channel", ("From [C_MKTSEGMENT] in nation [C_NATIONKEY] orders come through [CHANNEL].", "Orders arrive through [CHANNEL]; the segment is [C_MKTSEGMENT], the nation [C_NATIONKEY]."),
+             ("No channel is known (null) for [C_MKTSEGMENT] in nation [C_NATIONKEY].",), variation_class="NULL", others=("c_mktsegment", "c_nationkey")),
+    Template("opted_in", ("Mail is welcome at this address.",), ("Mail is not welcome at this address.",), ("Nothing was said on mail.",))]
+
+
+def _stored_bank(spark, bank):
+    path = scratch_path(spark, "bank")
+    write_bank(bank_to_df(spark, bank).select(F.lit("shop").alias("database"), F.lit("customer").alias("table"), "*"), path)
+    return bank_from_df(read_bank(spark, path, multi_line=False))
+
+
+def _several_query(key, source, plain):
+    def run(spark, sf):
+        bank, rows = _stored_bank(spark, _SEVERAL), spark.sql(source.format("select * from {x}"), x=customer_x(spark, sf))
+        docs = render_documents(rows, bank, "c_custkey", "customer", noise=NOISE, ratio=(1, 1)).select("row_id", "contents")
+        return S.sem_extract(docs, bank, _TYPES, None if plain else NOISE, plain).select("row_id", *_TYPES)
+    query(key, f"select c_custkey as row_id, {', '.join(_TYPES)} from ({source.format(CX)})")(run)
+
+
+_several_query("sem_1_extract_several_fields", _AWKWARD, False)
+_several_query("sem_1_extract_several_fields_plain", "select * from ({})", True)
+
+
+@query("src_7_bank_with_several_fields", """select cast(p_partkey as varchar) as "table", cast(ix as integer) as tmpl_ix, case ix when 0 then 'p_name' end as field,
+ case ix when 0 then 'p_brand,p_size' else '' end as others, case ix when 0 then 'STANDARD' end as variation_class, ix = 1 as is_static, 'std' as pool, cast(vid as integer) as vid,
+ case ix when 0 then case vid when 0 then '[P_NAME] by ' || p_brand || ' or [P_BRAND] at [P_SIZE].' else 'At [P_SIZE]: [P_NAME].' end else 'Part ' || cast(p_partkey as varchar) || ' is kept.' end as pattern,
+ case ix when 0 then 'p_size' end as tag_field, case ix when 0 then cast(p_size as varchar) end as replacement
+ from part, (values (0, 0), (0, 1), (1, 0)) v(ix, vid)""")
+def _(spark, sf):
+    # one bank a part, stored and read again
+    part, key = table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    rows = part.select(F.lit("parts").alias("database"), key.alias("table"), F.expr("""inline(array(
+        named_struct('pos', 0, 'field', 'p_name', 'others', array('p_brand', 'p_size'), 'variation_class', 'STANDARD', 'pool', 'std', 'vid', 0, 'pattern', '[P_NAME] by ' || p_brand || ' or [P_BRAND] at [P_SIZE].'),
+        named_struct('pos', 0, 'field', 'p_name', 'others', array('p_brand', 'p_size'), 'variation_class', 'STANDARD', 'pool', 'std', 'vid', 1, 'pattern', 'At [P_SIZE]: [P_NAME].'),
+        named_struct('pos', 1, 'field', cast(null as string), 'others', cast(array() as array<string>), 'variation_class', cast(null as string), 'pool', 'std', 'vid', 0,
+                     'pattern', 'Part ' || p_partkey || ' is kept.')))""")).withColumn("synonyms", F.create_map(F.lit("part"), F.array(F.lit("item"))))
+    tags = part.select(F.lit("parts").alias("database"), key.alias("table"), F.lit("0a1b").alias("tag"), F.lit("p_size").alias("field"),
+                       F.col("p_size").cast("string").alias("replacement"))
+    path = scratch_path(spark, "banks")
+    write_bank(rows, path, tags)
+    read = read_tags(spark, path, multi_line=False).select("table", F.lit(0).alias("tmpl_ix"), F.col("field").alias("tag_field"), "replacement")
+    bank = read_bank(spark, path, multi_line=False).drop("database", "lexical_sets").withColumn("others", F.array_join("others", ","))
+    return bank.join(read, ["table", "tmpl_ix"], "left")
+
+
 # a segment said twice in a row: either the name or the segment may hold the other one
 _TWO = [Template("c_name", ("The customer on file is [C_NAME].", "This account belongs to [C_NAME].")),
         Template("c_mktsegment", ("Trade falls under [C_MKTSEGMENT].", "Business is done in [C_MKTSEGMENT]."))]

@@ -108,6 +108,8 @@ BANK = T.StructType([
     T.StructField("templates", T.ArrayType(T.StructType([
         T.StructField("original", T.StringType()), T.StructField("template_pattern", T.StringType()),
         T.StructField("primary_data_fields", T.ArrayType(T.StringType())),
+        T.StructField("foreign_data_fields", T.ArrayType(T.StringType())),
+        T.StructField("variation_class", T.StringType()),
         T.StructField("variations", T.ArrayType(T.StringType())),
         T.StructField("counter_variations", T.ArrayType(T.StringType())),
         T.StructField("null_variations", T.ArrayType(T.StringType())),
@@ -145,21 +147,38 @@ def read_narratives(spark: SparkSession, path: str, multi_line: bool = True) ->
 
 
 def read_bank(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Bank rows ``(database, table, tmpl_ix, field, pool, vid, pattern, lexical_sets)``.
+    """Bank rows ``(database, table, tmpl_ix, field, others, variation_class, is_static, lexical_sets, pool, vid, pattern)``.
 
-    Repeated wordings of a pool are dropped inside the array, so nothing is shuffled.
+    ``field`` is the first primary field, ``others`` the further primary and then the foreign ones, in order. Repeated
+    wordings of a pool are dropped inside the array, so nothing is shuffled. A template without wordings has one row with
+    a NULL pattern. ``bank_from_df`` turns the rows of one table into a bank.
     """
     raw = _json(spark, path, BANK, multi_line)
     t = raw.select("database", "table", F.posexplode("templates").alias("tmpl_ix", "t"))
     pools = F.array(*[F.struct(F.lit(name).alias("pool"), F.array_distinct(F.col(f"t.{col}")).alias("p"))
                       for name, col in (("std", "variations"), ("counter", "counter_variations"),
                                         ("null", "null_variations"))])
-    return (t.select("database", "table", "tmpl_ix",
-                     F.get(F.col("t.primary_data_fields"), F.lit(0)).alias("field"),
+    none = F.array(F.struct(F.lit("std").alias("pool"), F.array(F.lit(None).cast("string")).alias("p")))
+    worded = F.filter(pools, lambda x: F.coalesce(F.size(x["p"]), F.lit(0)) > 0)
+    no_names = F.expr("cast(array() as array<string>)")
+    primary = F.coalesce("t.primary_data_fields", no_names)
+    field = F.get(primary, F.lit(0))
+    named = F.array_distinct(F.concat(primary, F.coalesce("t.foreign_data_fields", no_names)))
+    head = ("database", "table", "tmpl_ix", "field", "others", "variation_class", "is_static", "lexical_sets")
+    return (t.select("database", "table", "tmpl_ix", field.alias("field"),
+                     F.filter(named, lambda f: ~f.eqNullSafe(field)).alias("others"), F.col("t.variation_class").alias("variation_class"),
                      F.coalesce("t.is_static", F.lit(False)).alias("is_static"),
-                     F.col("t.lexical_sets").alias("lexical_sets"), F.explode(pools).alias("x"))
-            .select("database", "table", "tmpl_ix", "field", "is_static", "lexical_sets",
-                    F.col("x.pool").alias("pool"), F.posexplode("x.p").alias("vid", "pattern")))
+                     F.col("t.lexical_sets").alias("lexical_sets"), F.explode(F.when(F.size(worded) > 0, worded).otherwise(none)).alias("x"))
+            .select(*head, F.col("x.pool").alias("pool"), F.posexplode("x.p").alias("vid", "pattern")))
+
+
+def read_tags(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``(database, table, tag, field, replacement)`` of stored banks: the field a tag stands for and the words that show its value."""
+    pairs = T.MapType(T.StringType(), T.StringType())
+    schema = T.StructType([*BANK.fields[:2], T.StructField("hash_to_column", pairs), T.StructField("hash_to_replacement", pairs)])
+    raw = _json(spark, path, schema, multi_line)
+    tags = raw.select("database", "table", "hash_to_replacement", F.explode("hash_to_column").alias("tag", "field"))
+    return tags.select("database", "table", "tag", "field", F.try_element_at("hash_to_replacement", F.col("tag")).alias("replacement"))
 
 
 def read_column_descriptions(spark: SparkSession, path: str) -> DataFrame:

@@ -126,5 +126,36 @@ def copy_table(df: DataFrame, declared: dict[str, str], path: str) -> int:
     return int(seen.get["n"])
 
 
+def write_bank(rows: DataFrame, path: str, tags: DataFrame | None = None) -> None:
+    """Banks as JSON, one object a table, in the layout that ``read_bank`` and ``read_tags`` read.
+
+    ``rows``: (database, table) and the columns of ``bank_to_df``; ``tags``: (database, table, tag, field, replacement).
+    A bank has the size of a column list, so one object holds it; the tables are spread over the tasks.
+    """
+    keys = ["database", "table"]
+
+    def pool(name: str) -> Column:
+        of = F.array_sort(F.filter("words", lambda w: (w["pool"] == name) & w["pattern"].isNotNull()))
+        return F.transform(of, lambda w: w["pattern"])
+    slots = rows.groupBy(*keys, "pos").agg(
+        F.collect_list(F.struct("vid", "pool", "pattern")).alias("words"),
+        *[F.any_value(c).alias(c) for c in ("field", "others", "variation_class", "synonyms")])
+    std = pool("std")
+    template = F.struct(
+        "pos", F.get(std, F.lit(0)).alias("original"), F.get(std, F.lit(0)).alias("template_pattern"),
+        F.array_compact(F.array("field")).alias("primary_data_fields"), F.col("others").alias("foreign_data_fields"), "variation_class",
+        std.alias("variations"), pool("counter").alias("counter_variations"), pool("null").alias("null_variations"),
+        F.col("synonyms").alias("lexical_sets"), F.col("field").isNull().alias("is_static"))
+    # maps cannot be ordered, so the templates are sorted by a comparison of their places
+    by_place = F.array_sort(F.collect_list(template), lambda a, b: a["pos"] - b["pos"])
+    banks = slots.groupBy(*keys).agg(by_place.alias("templates"))
+    banks = banks.withColumn("templates", F.transform("templates", lambda t: t.dropFields("pos")))
+    if tags is not None:
+        maps = tags.groupBy(*keys).agg(*[F.map_from_entries(F.collect_set(F.struct("tag", c))).alias(name) for c, name in (
+            ("field", "hash_to_column"), ("replacement", "hash_to_replacement"))])
+        banks = banks.join(maps, keys, "left")
+    banks.write.json(path)
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
