@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,54 +76,64 @@ def placeholder_gaps(bank: DataFrame, keys: list[str]) -> DataFrame:
             .where("n_missing > 0"))
 
 
+#: Buckets of words by hash, whose counts are collected to order words by how common they are.
+WORD_BUCKETS = 16_384
+
+
+def _commonness(words: DataFrame) -> Callable[[Column], Column]:
+    """How common a word is, as one byte: the logarithm of the count of its bucket. At most ``WORD_BUCKETS`` counts are collected."""
+    def bucket(w: Column) -> Column:
+        return F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS))
+    levels = bytearray(WORD_BUCKETS)
+    counts = words.select(F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    for r in counts.collect():
+        levels[r["b"]] = r["n"].bit_length()
+    return lambda w: F.substring(F.lit(levels), bucket(w).cast("int") + 1, F.lit(1))
+
+
 def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str = "text", threshold: float = 0.55,
                   within: list[str] | None = None) -> DataFrame:
-    """Exact pairs whose word sets have a Jaccard similarity of at least ``threshold``.
+    """Exact pairs whose word sets have a Jaccard similarity of at least ``threshold``; both sides may be large.
 
-    ``b`` is the side with few different texts (wordings, reference items). Texts with
-    the same word set are compared once and get their results by a join, so copies cost
-    no pairs of their own. Pairs come from a prefix filter: with words in one order, rare
-    in ``b`` first, two sets that similar share a word among the first
-    ``n - ceil(t * n) + 1`` of each; words ``b`` does not have need no join at all.
+    Texts with the same word set are compared once and get their results by a join, so copies cost no pairs of
+    their own. Pairs come from a prefix filter: with words in one order, those rare in ``b`` first, two sets that
+    similar share a word among the first ``n - ceil(t * n) + 1`` of each, and at the first such word enough words are
+    left in both. Only (set, size, word, place) meets; the words of a set are fetched once per pair.
     ``within`` limits pairs to equal values of those columns.
     """
     within = within or []
 
+    def word_sets(df: DataFrame, key: str) -> DataFrame:
+        return df.select(*within, F.col(key), X.word_set(F.col(text)).alias("words")).where(F.size("words") > 0)
+
+    common_in_b = _commonness(word_sets(b, key_b))
+
     def sets(df: DataFrame, key: str) -> DataFrame:
-        words = df.select(*within, F.col(key), F.array_sort(X.word_set(F.col(text))).alias("words"))
-        return words.where(F.size("words") > 0).withColumn("sid", F.sha2(F.array_join("words", " "), 256))
+        words = word_sets(df, key)
+        ordered = F.array_sort(F.transform("words", lambda w: F.struct(common_in_b(w).alias("l"), w.alias("w"))))
+        return (words.withColumn("words", F.transform(ordered, lambda x: x["w"]))
+                .withColumn("sid", F.sha2(F.array_join("words", " "), 256)))
 
-    def distinct_sets(s: DataFrame) -> DataFrame:
-        return s.groupBy(*within, "sid").agg(F.first("words").alias("words"))
+    def distinct_sets(s: DataFrame, side: str) -> DataFrame:
+        return s.groupBy(*within, F.col("sid").alias(f"sid_{side}")).agg(F.first("words").alias(f"words_{side}"))
 
-    def prefix(size: Column) -> Column:
-        return size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    def postings(d: DataFrame, side: str) -> DataFrame:
+        words, n = F.col(f"words_{side}"), F.size(f"words_{side}")
+        prefix = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+        # ``left``: the words from this place on
+        return (d.select(*within, f"sid_{side}", n.alias(f"n{side}"), F.posexplode(F.slice(words, F.lit(1), prefix)).alias("p", "w"))
+                .withColumn(f"left_{side}", F.col(f"n{side}") - F.col("p")).drop("p"))
 
     sa, sb = sets(a, key_a), sets(b, key_b)
-    db = distinct_sets(sb).select(*within, "sid", "words", F.size("words").alias("n"))
-    counts = db.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-
-    def known_words(d: DataFrame) -> DataFrame:
-        """The words of a set that ``b`` has, rare first; the others take the first places of the order."""
-        return (d.select(*within, "sid", "n", F.explode("words").alias("w")).join(counts, "w")
-                .groupBy(*within, "sid", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
-                .select(*within, "sid", "n", F.transform("o", lambda x: x["w"]).alias("known"))
-                .withColumn("room", prefix(F.col("n")) - (F.col("n") - F.size("known"))).where("room > 0")
-                .select("*", F.explode(F.slice("known", F.lit(1), F.col("room"))).alias("w")))
-
-    da = distinct_sets(sa).select(*within, "sid", "words", F.size("words").alias("n"))
-    pa = known_words(da).select(*within, "w", F.col("sid").alias("sid_a"), F.col("n").alias("na"),
-                                F.col("known").alias("ka"), F.col("room").alias("ra"))
-    pb = known_words(db).select(*within, "w", F.col("sid").alias("sid_b"), F.col("n").alias("nb"),
-                                F.col("known").alias("kb"), F.col("room").alias("rb"))
-    na, nb = F.col("na"), F.col("nb")
-    sized = pa.join(pb, [*within, "w"]).where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9))
-    # a pair is kept at the first word both prefixes share
-    shared = F.array_intersect(F.slice("ka", F.lit(1), F.col("ra")), F.slice("kb", F.lit(1), F.col("rb")))
-    common = F.size(F.array_intersect("ka", "kb"))
-    hits = (sized.where(F.get(shared, F.lit(0)) == F.col("w"))
-            .withColumn("similarity", common / (na + nb - common)).where(F.col("similarity") >= threshold)
-            .select(*within, "sid_a", "sid_b", "similarity"))
+    da, db = distinct_sets(sa, "a"), distinct_sets(sb, "b")
+    na, nb, needed = F.col("na"), F.col("nb"), F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
+    met = (postings(da, "a").join(postings(db, "b"), [*within, "w"])
+           .where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9) & (F.least("left_a", "left_b") >= needed))
+           .select(*within, "sid_a", "sid_b").distinct())
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    hits = (met.join(db, [*within, "sid_b"]).join(da, [*within, "sid_a"]).withColumn("common", common)
+            .withColumn("similarity", F.col("common") / (F.size("words_a") + F.size("words_b") - F.col("common")))
+            .where(F.col("similarity") >= threshold).select(*within, "sid_a", "sid_b", "similarity"))
     ids_a = sa.select(*within, F.col(key_a), F.col("sid").alias("sid_a"))
     ids_b = sb.select(*within, F.col(key_b), F.col("sid").alias("sid_b"))
     return (hits.join(ids_b, [*within, "sid_b"]).join(ids_a, [*within, "sid_a"])

@@ -111,6 +111,24 @@ def _(spark, sf):
     return V.similar_texts(a, b, "sentence_id", "item_id")
 
 
+# both sides large: a short note on each order, even keys against odd ones; most words are in every note
+_NOTE = "'placed by customer c' || {k} || ' on ' || substr(cast(o_orderdate as {s}), 1, 10) || ' worth about t' || cast(floor(o_totalprice / 1000) as {s}) || ' under status ' || o_orderstatus"
+_NOTES = _NOTE.format(k="cast(o_custkey as varchar)", s="varchar")
+
+
+@query("val_8_two_large_sides", f"""with x as (select o_orderkey, {WORD_SET.format(x='t')} as w from (select o_orderkey, {_NOTES} as t from orders)),
+ u as (select o_orderkey, len(w) as n, unnest(w) as w from x), f as (select w from u group by w having count(*) * 5 < (select count(*) from x)),
+ p as (select distinct a.o_orderkey as even_key, b.o_orderkey as odd_key from u a join u b using (w) join f using (w) where a.o_orderkey % 2 = 0 and b.o_orderkey % 2 = 1),
+ s as (select even_key, odd_key, len(list_intersect(a.w, b.w)) as k, len(a.w) + len(b.w) as n from p join x a on a.o_orderkey = even_key join x b on b.o_orderkey = odd_key)
+ select even_key, odd_key, cast(k as double) / (n - k) as similarity from s where cast(k as double) / (n - k) >= 0.8""")
+def _(spark, sf):
+    # the six words of every note are less than 0.8 of any union, so the SQL may start from a shared other word
+    notes = table(spark, sf, "orders", heavy=True).select("o_orderkey", F.expr(_NOTE.format(k="cast(o_custkey as string)", s="string")).alias("text"))
+    even = notes.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "even_key")
+    odd = notes.where("o_orderkey % 2 = 1").withColumnRenamed("o_orderkey", "odd_key")
+    return V.similar_texts(even, odd, "even_key", "odd_key", threshold=0.8)
+
+
 @query("val_9_variation_ok", """select p_partkey, p_partkey % 4 not in (1, 2) as ok, p_partkey % 4 = 1 as counter from part""")
 def _(spark, sf):
     v = F.expr("""case p_partkey % 4 when 0 then 'It is [P_BRAND] here.' when 1 then 'No mark is left.' when 2 then 'It is [P_BRAND] of ' || lower(p_brand) || '.' else 'Not specified: [P_BRAND].' end""")
