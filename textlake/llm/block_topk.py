@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.blocks import narrow_batches, stored
-from textlake.llm.vectors import best, is_query, usable
+from textlake.llm.vectors import best, is_query, lengths, usable
 
 #: Rows of a block, blocks of a group, queries and group summaries that are bounded together.
 BLOCK_ROWS, GROUP_BLOCKS, QUERY_ROWS, SUMMARY_ROWS = 64, 16, 256, 1024
@@ -77,9 +79,13 @@ def top_products(table: DataFrame, k: int = 10) -> DataFrame:
     100. Rows are ordered by the pattern of their largest components, so that a range of rows has tight
     maxima, and cut into blocks and groups of blocks, stored with their forward index. A query starts with its
     k-th score in its own group; groups whose bound is below it never meet the query. Equal scores go to the
-    smaller id; an id that is on several rows counts once, with its best score. Vectors must have one length.
+    smaller id; an id that is on several rows counts once, with its best score. A query meets rows of its own length only.
     """
     spark = table.sparkSession
+    dims = lengths(table, "x")
+    if len(dims) > 1:
+        same = [top_products(table.where(F.size("x") == n), k) for n in dims]
+        return best(reduce(DataFrame.union, same).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k, False)
     narrow_batches(spark)
     code = F.aggregate(F.slice(F.array_sort(F.transform("x", lambda c, i: F.struct((-F.abs(c)).alias("a"), (i * 2 + (c < 0).cast("int")).alias("i")))), 1, 3),
                        F.lit(0).cast("long"), lambda acc, e: acc * 65536 + e["i"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.blocks import mix, narrow_batches, stored
-from textlake.llm.vectors import best, is_query, matrix, usable
+from textlake.llm.vectors import best, is_query, lengths, matrix, usable
 
 #: Rows of one cell that a task compares at a time; larger cells are cut.
 CELL_ROWS = 512
@@ -116,17 +117,21 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = 10, tab
     ``table`` has ``vec_id`` and ``v`` (see ``usable``), ``queries`` too (else the rows whose id is divisible by 100).
     Every row is in one cell of each table, a query looks into ``probes`` cells of each. A query with fewer
     than k rows in its cells is compared with all rows, in blocks. Equal distances go to the
-    smaller id; an id that is on several rows counts once, with its smallest distance. Vectors must have
-    one length. No rows or queries: no rows.
+    smaller id; an id that is on several rows counts once, with its smallest distance. A query is compared
+    with rows of its own length only. No rows or queries: no rows.
     """
     spark = table.sparkSession
     narrow_batches(spark)
     table = stored(table, "vectors")
     queries = stored(table.where(is_query()) if queries is None else queries, "queries")
-    first = table.select(F.size("v").alias("n")).first()
-    if first is None:
+    dims = lengths(table, "v")
+    if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = 1 << max(1, (first["n"] - 1).bit_length())
+    if len(dims) > 1:
+        same = [nearest(table.where(F.size("v") == n), queries.where(F.size("v") == n), k, tables, probes, seed) for n in dims]
+        return best(reduce(DataFrame.union, same).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, True)
+    queries = queries.where(F.size("v") == dims[0])
+    width = 1 << max(1, (dims[0] - 1).bit_length())
     sign = signs(width, tables, seed)
     rows, sizes = _cut(_explode(table, sign, 1), "cell")
     looks = (_explode(queries, sign, min(probes, 2 * width)).join(sizes, "cell")

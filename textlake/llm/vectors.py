@@ -26,6 +26,18 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+#: Different lengths of vectors that a table may hold; more raise an error.
+MAX_LENGTHS = 64
+
+
+def lengths(table: DataFrame, column: str) -> list[int]:
+    """The lengths of the vectors, at most ``MAX_LENGTHS``."""
+    found = [r["n"] for r in table.select(F.size(column).alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(found) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} different lengths")
+    return sorted(found)
+
+
 def is_query(vec_id: str = "vec_id"):
     return F.pmod(F.col(vec_id), F.lit(100)) == 0
 
