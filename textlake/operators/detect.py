@@ -15,6 +15,7 @@ from textlake import vocab
 from textlake.functions import text as X
 from textlake.operators.model import RowModel, model_map
 from textlake.operators.render import append_tag, extract_tag, strip_tag
+from textlake.session import by_shuffle
 
 # a value stands alone when white space or punctuation other than '-' is on both sides
 EDGE = r"[\s!-,./:-@\[-`{-~]"
@@ -372,7 +373,7 @@ def resolve_by_tag(sentences: DataFrame, tag_map: DataFrame) -> DataFrame:
 
     ``sentences``: (row_id, tag, sentence); ``tag_map``: (row_id, tag, field, value, field_class, replacement).
     """
-    j = sentences.join(tag_map, ["row_id", "tag"])
+    j = sentences.join(by_shuffle(tag_map), ["row_id", "tag"])
     hit = field_in_sentence(F.col("sentence"), F.col("field"), F.col("value"), F.col("field_class"))
     j = j.withColumn("_hit", hit)
     shown = F.col("_hit.found") & has_value(F.col("sentence"), F.col("_hit.matched_text"))

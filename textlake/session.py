@@ -47,6 +47,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 _local_folders: dict[str, str] = {}
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join that Spark would take for small: exploded rows and built texts are many times what the scan's size says.
+
+    Such sides meet by shuffle and sort; collected for a broadcast they would grow with the input in the driver.
+    """
+    return df.hint("merge")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
