@@ -30,3 +30,11 @@ def test_tags_are_not_collected(spark, tmp_path, capsys):
     out = detect.resolve_by_tag(t.select("row_id", "tag", "sentence"), t.drop("sentence"))
     assert "BroadcastHashJoin" not in plan_of(out, capsys)
     assert rows(out.where("row_id < 2")) == [(i, "0a", "size", "5", "field_name_direct") for i in range(2)]
+
+
+def test_orphans_are_not_collected(spark, tmp_path, capsys):
+    t = many(spark, tmp_path, "array(struct('size' as field, '1b' as tag, false as is_tbd, 0 as tmpl_ix, 'brand' as slot, false as is_static, 'The measured size comes to five units.' as original))")
+    out = validate.orphan_columns(t.select("row_id", "field", "tag", "is_tbd"), t.select("row_id", "tmpl_ix", F.col("slot").alias("field"), "is_static", "original"),
+                                  t.select("row_id", "tag", F.lit("The measured size comes to five inches.").alias("sentence")), ["row_id"])
+    assert "BroadcastHashJoin" not in plan_of(out, capsys)
+    assert rows(out.where("row_id < 2"), "field", "tmpl_ix", "matched_by") == [("size", 0, "similar")] * 2

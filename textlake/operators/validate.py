@@ -11,6 +11,7 @@ from textlake.functions import text as X
 from textlake.operators.detect import has_name, has_strict
 from textlake.operators.model import RowModel, model_map
 from textlake.operators.render import extract_tags
+from textlake.session import by_shuffle
 
 
 def missing_tags(narrative: Column, tags: Column) -> Column:
@@ -124,19 +125,21 @@ def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str
         return (d.select(*within, f"sid_{side}", n.alias(f"n{side}"), F.posexplode(F.slice(words, F.lit(1), prefix)).alias("p", "w"))
                 .withColumn(f"left_{side}", F.col(f"n{side}") - F.col("p")).drop("p"))
 
+    # sets kept apart by many keys are as many as the rows, on both sides
+    side = by_shuffle if within else lambda d: d
     sa, sb = sets(a, key_a), sets(b, key_b)
     da, db = distinct_sets(sa, "a"), distinct_sets(sb, "b")
     na, nb, needed = F.col("na"), F.col("nb"), F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
-    met = (postings(da, "a").join(postings(db, "b"), [*within, "w"])
+    met = (postings(da, "a").join(side(postings(db, "b")), [*within, "w"])
            .where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9) & (F.least("left_a", "left_b") >= needed))
            .select(*within, "sid_a", "sid_b").distinct())
     common = F.size(F.array_intersect("words_a", "words_b"))
-    hits = (met.join(db, [*within, "sid_b"]).join(da, [*within, "sid_a"]).withColumn("common", common)
+    hits = (met.join(side(db), [*within, "sid_b"]).join(side(da), [*within, "sid_a"]).withColumn("common", common)
             .withColumn("similarity", F.col("common") / (F.size("words_a") + F.size("words_b") - F.col("common")))
             .where(F.col("similarity") >= threshold).select(*within, "sid_a", "sid_b", "similarity"))
     ids_a = sa.select(*within, F.col(key_a), F.col("sid").alias("sid_a"))
     ids_b = sb.select(*within, F.col(key_b), F.col("sid").alias("sid_b"))
-    return (hits.join(ids_b, [*within, "sid_b"]).join(ids_a, [*within, "sid_a"])
+    return (hits.join(side(ids_b), [*within, "sid_b"]).join(side(ids_a), [*within, "sid_a"])
             .select(*within, key_a, key_b, "similarity"))
 
 
@@ -148,15 +151,15 @@ def orphan_columns(tag_map: DataFrame, slots: DataFrame, sentences: DataFrame, k
     original); ``sentences``: (…keys, tag, sentence without tag).
     """
     handled = slots.where(~F.col("is_static")).select(*keys, "field").distinct()
-    orphans = tag_map.where(~F.col("is_tbd")).join(handled, [*keys, "field"], "left_anti")
-    src = orphans.join(sentences, [*keys, "tag"], "left").select(*keys, "field", F.col("sentence").alias("source"))
-    exact = src.join(slots.select(*keys, "tmpl_ix", F.col("original").alias("source")), [*keys, "source"]).groupBy(
+    orphans = tag_map.where(~F.col("is_tbd")).join(by_shuffle(handled), [*keys, "field"], "left_anti")
+    src = orphans.join(by_shuffle(sentences), [*keys, "tag"], "left").select(*keys, "field", F.col("sentence").alias("source"))
+    exact = src.join(by_shuffle(slots.select(*keys, "tmpl_ix", F.col("original").alias("source"))), [*keys, "source"]).groupBy(
         *keys, "field").agg(F.max("tmpl_ix").alias("exact_ix"))
-    loose = src.join(exact, [*keys, "field"], "left_anti").where("source is not null")
+    loose = src.join(by_shuffle(exact), [*keys, "field"], "left_anti").where("source is not null")
     near = similar_texts(loose.select(*keys, "field", F.col("source").alias("text")),
                          slots.select(*keys, "tmpl_ix", F.col("original").alias("text")), "field", "tmpl_ix",
                          threshold=threshold, within=keys).groupBy(*keys, "field").agg(F.min("tmpl_ix").alias("near_ix"))
-    return (orphans.select(*keys, "field").distinct().join(exact, [*keys, "field"], "left").join(near, [*keys, "field"], "left")
+    return (orphans.select(*keys, "field").distinct().join(by_shuffle(exact), [*keys, "field"], "left").join(by_shuffle(near), [*keys, "field"], "left")
             .select(*keys, "field", F.coalesce("exact_ix", "near_ix", F.lit(-1)).alias("tmpl_ix"),
                     F.when(F.col("exact_ix").isNotNull(), "exact").when(F.col("near_ix").isNotNull(), "similar")
                     .otherwise("unmatched").alias("matched_by")))
