@@ -38,3 +38,14 @@ def test_orphans_are_not_collected(spark, tmp_path, capsys):
                                   t.select("row_id", "tag", F.lit("The measured size comes to five inches.").alias("sentence")), ["row_id"])
     assert "BroadcastHashJoin" not in plan_of(out, capsys)
     assert rows(out.where("row_id < 2"), "field", "tmpl_ix", "matched_by") == [("size", 0, "similar")] * 2
+
+
+def test_patterns_are_made_and_worded_once(spark, capsys):
+    s = spark.createDataFrame([(i, 0, f"The maker is m{i} of course. (Hash: 0a)", "0a", "maker") for i in range(40)] + [(i, 1, "Free words.", None, None) for i in range(40)],
+                              "row_id int, pos int, sentence string, tag string, field string")
+    values = spark.createDataFrame([(i, "maker", f"m{i}", "STANDARD") for i in range(40)], "row_id int, field string, value string, field_class string")
+    out = generate.templates_from_sentences(s, values, RuleModel(), 2)
+    plan = plan_of(out, capsys)
+    assert "ExistingRDD" in plan and "BroadcastHashJoin [row_id" not in plan and "\\Q" not in plan
+    got = rows(out, "row_id", "pos", "vid", "pattern")
+    assert len(got) == 160 and got[:2] == [(0, 0, 0, "The maker is [MAKER] of course."), (0, 0, 1, "In this case, the maker is [MAKER] of course.")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as X
 from textlake.operators.model import RowModel, model_map
-from textlake.session import cut_lineage
+from textlake.session import by_shuffle, cut_lineage
 
 
 def expand_variations(sentences: DataFrame, n: int, model: RowModel, kind: str = "variations", retries: int = 3,
@@ -42,20 +42,23 @@ def templates_from_sentences(sentences: DataFrame, rows: DataFrame, model: RowMo
     ``sentences``: (row_id, pos, sentence, tag, field); ``rows``: (row_id, field, value,
     field_class). A tagged sentence becomes a pattern with its value as placeholder and
     gets wordings; untagged or unresolved ones become static; ``TBD`` and word-less
-    sentences are skipped.
+    sentences are skipped. Every distinct pattern is worded and cleaned once, however many rows have it.
     """
     from textlake.operators.detect import templatize
     from textlake.operators.render import strip_tag, word_count
     body = strip_tag(F.col("sentence"))
     usable = sentences.withColumn("body", F.trim(body)).where((F.upper("body") != "TBD") & (word_count(F.col("body")) > 0))
-    joined = usable.join(rows, ["row_id", "field"], "left")
+    joined = usable.join(by_shuffle(rows), ["row_id", "field"], "left")
     pattern = templatize(F.col("body"), F.col("field"), F.col("value"))
     marked = joined.withColumn("pattern", F.coalesce(pattern, F.col("body"))).withColumn(
         "is_static", F.col("field").isNull() | (F.col("pattern") == F.col("body")))
     asked = marked.select("row_id", "pos", F.when(~F.col("is_static"), F.col("field")).alias("field"), "is_static",
                           F.when(F.col("is_static"), "STANDARD").otherwise(F.col("field_class")).alias("field_class"),
                           F.col("pattern").alias("sentence"))
-    worded = expand_variations(asked, n, model)
-    return worded.select("row_id", "pos", "field", "is_static", "field_class", F.lit("std").alias("pool"),
-                         F.coalesce("vid", F.lit(0)).alias("vid"),
-                         X.clean_malformed_variation(F.coalesce("wording", "sentence")).alias("pattern"))
+    asked = cut_lineage(asked)  # patterns are made once, though they are asked and joined
+    worded = expand_variations(asked.select("sentence").distinct(), n, model)
+    wordings = worded.select("sentence", F.coalesce("vid", F.lit(0)).alias("vid"),
+                             X.clean_malformed_variation(F.coalesce("wording", "sentence")).alias("pattern"))
+    listed = wordings.groupBy("sentence").agg(F.collect_list(F.struct("vid", "pattern")).alias("_wordings"))
+    return asked.join(listed, "sentence").select("row_id", "pos", "field", "is_static", "field_class", F.lit("std").alias("pool"),
+                                                 F.inline("_wordings"))
