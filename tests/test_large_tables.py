@@ -49,3 +49,8 @@ def test_patterns_are_made_and_worded_once(spark, capsys):
     assert "ExistingRDD" in plan and "BroadcastHashJoin [row_id" not in plan and "\\Q" not in plan
     got = rows(out, "row_id", "pos", "vid", "pattern")
     assert len(got) == 160 and got[:2] == [(0, 0, 0, "The maker is [MAKER] of course."), (0, 0, 1, "In this case, the maker is [MAKER] of course.")]
+
+
+def test_merged_documents_are_not_cut_into_sentences(spark, capsys):
+    from textlake.plans import QUERIES
+    assert "lambda" not in plan_of(QUERIES["sem_5_merge_joined"](spark, "/root/testdata/sf0.001"), capsys)

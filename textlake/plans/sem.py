@@ -215,7 +215,7 @@ def _(spark, sf):
 def _(spark, sf):
     merged = S.merge_joined(_joined(spark, sf))
     again = S.sem_extract(merged.select("row_id", "filename", "contents", F.col("o_totalprice").alias("p")),
-                          ORDER_BANK, {"o_totalprice": "double"})
+                          ORDER_BANK, {"o_totalprice": "double"}, plain_values=True)
     return again.select("row_id", "filename", "o_totalprice",
                         (F.col("contents").contains("\n\n") & (F.col("p") == F.col("o_totalprice"))).alias("both_found"))
 
