@@ -54,3 +54,11 @@ def test_patterns_are_made_and_worded_once(spark, capsys):
 def test_merged_documents_are_not_cut_into_sentences(spark, capsys):
     from textlake.plans import QUERIES
     assert "lambda" not in plan_of(QUERIES["sem_5_merge_joined"](spark, "/root/testdata/sf0.001"), capsys)
+
+
+def test_heavy_scans_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    from textlake import session
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    spark.range(40_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    dealt = session.spread(spark.read.parquet(str(tmp_path / "one")), "id")
+    assert dealt.rdd.getNumPartitions() == 40 and dealt.distinct().count() == 40_000

@@ -34,13 +34,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows that a task of heavy work per row should have at most.
+TASK_ROWS = 50_000
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan that has fewer splits than the session has cores one task per core.
+    """Deal the rows of a scan into at least one task per core and one per ``TASK_ROWS`` rows.
 
-    Large inputs have more splits than cores and stay as they are, without a shuffle.
+    Splits go by bytes and hold whole row groups, so a compact table of many rows has few and long ones, some of them empty;
+    its rows are counted, from the files' footers, and dealt anew. A scan with as many splits as that stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    tasks = max(cores, -(-df.count() // TASK_ROWS))
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *keys)
 
 
 #: Temporary folders of local sessions, whose options cannot be changed once they run.
