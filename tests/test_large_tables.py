@@ -1,6 +1,5 @@
 """Steps that must grow with their input: what is collected, how work is dealt, what pairs cost."""
 
-import itertools
 import random
 
 import pytest
@@ -62,3 +61,20 @@ def test_heavy_scans_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     spark.range(40_000).coalesce(1).write.parquet(str(tmp_path / "one"))
     dealt = session.spread(spark.read.parquet(str(tmp_path / "one")), "id")
     assert dealt.rdd.getNumPartitions() == 40 and dealt.distinct().count() == 40_000
+
+
+def test_phrases_are_searched_in_one_lower_text(spark, capsys):
+    phrases = ["is a", "serves as a", "this is a", "t", "true", "Is A", "yes"]
+    texts = ["This IS A x", "serves as", "no", "YES", "", None, "Truth"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    out = df.select("s", X.holds_phrase(F.col("s"), phrases).alias("held"))
+    assert {r["s"]: r["held"] for r in out.collect()} == {t: t if t is None else any(p in t.lower() for p in phrases) for t in texts}
+    assert "this is a" not in plan_of(out, capsys)
+
+
+def test_closed_sentences_are_left_alone(spark):
+    texts = ["A b.", "A b", "A b..", "A b!", "A b?", ".", "", None, "A b.\n", "A b\n", "é..", "A  b", "N/A is 5%."]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    old = F.regexp_replace(F.regexp_replace(F.trim("s"), r"([^.!?])$", "$1."), r"\.\.$", ".")
+    plain = df.where("s is null or s rlike '^[A-Za-z]* ?[a-z]?[.!?]*\\\\z'")
+    assert rows(plain.select(X.clean_sentence(F.col("s")).alias("t"))) == rows(plain.select(old.alias("t")))

@@ -247,9 +247,8 @@ _CLEAN_MARKS = ["|", "(hash:", "  ", "row value for", "indicates that", "the val
 
 def _may_change(c: Column) -> Column:
     """Cheap test that spares most sentences the full rewrite; any other character than plain ASCII passes it."""
-    low = F.lower(c)
-    return reduce(lambda a, b: a | b, [low.contains(m) for m in _CLEAN_MARKS],
-                  c.rlike(r"[\x00-\x1f]") | (F.length(c) != F.octet_length(c)))
+    marked = let(F.lower(c), lambda low: reduce(lambda a, b: a | b, [low.contains(m) for m in _CLEAN_MARKS]))
+    return (F.length(c) != F.octet_length(c)) | marked | c.rlike(r"[\x00-\x1f]")
 
 
 def clean_sentence(c: Column) -> Column:
@@ -258,8 +257,11 @@ def clean_sentence(c: Column) -> Column:
     for pattern, words in vocab.CLEANUPS:
         text = F.regexp_replace(text, "(?i)" + pattern, words)
     cleaned = F.when(_may_change(c), squeeze(text)).otherwise(F.trim(c))
-    closed = F.regexp_replace(cleaned, r"([^.!?])$", "$1.")
-    return F.regexp_replace(closed, r"\.\.$", ".")
+
+    def closed(t: Column) -> Column:
+        full = F.regexp_replace(F.regexp_replace(t, r"([^.!?])$", "$1."), r"\.\.$", ".")
+        return F.when(t.endswith(".") & ~t.endswith(".."), t).otherwise(full)  # most sentences are closed already
+    return let(cleaned, closed)
 
 
 def clean_malformed_variation(c: Column) -> Column:
@@ -347,8 +349,9 @@ def detection_phrases(null_mode: str, binary_mode: str) -> dict[str, list[str]]:
 
 
 def holds_phrase(c: Column, phrases: list[str]) -> Column:
-    """Whether the lower-cased text holds one of the phrases."""
-    return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.lower(c), p))
+    """Whether the lower-cased text holds one of the phrases; one that holds a shorter one of them needs no search."""
+    least = sorted((p for p in set(phrases) if not any(q != p and q in p for q in phrases)), key=lambda p: (len(p), p))
+    return let(F.lower(c), lambda low: F.exists(F.array(*[F.lit(p) for p in least]), lambda p: F.contains(low, p)))
 
 
 def is_misc(c: Column) -> Column:
