@@ -78,3 +78,22 @@ def test_closed_sentences_are_left_alone(spark):
     old = F.regexp_replace(F.regexp_replace(F.trim("s"), r"([^.!?])$", "$1."), r"\.\.$", ".")
     plain = df.where("s is null or s rlike '^[A-Za-z]* ?[a-z]?[.!?]*\\\\z'")
     assert rows(plain.select(X.clean_sentence(F.col("s")).alias("t"))) == rows(plain.select(old.alias("t")))
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.55, 0.8])
+def test_links_are_counted_as_brute_force_lists_them(spark, threshold, monkeypatch):
+    monkeypatch.setattr(validate, "MAX_PARTS", 40)  # short and long sets
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(14)]
+    texts = [" ".join(rng.sample(words, rng.choice([1, 3, 5, 6, 8, 9, 12]))) for _ in range(90)]
+    a = [(i, t) for i, t in enumerate(texts[:45] + texts[:9] + [None, "", "a b"])]
+    b = [(100 + i, t) for i, t in enumerate(texts[45:] + texts[:20] + [None, ""])]
+    got = rows(validate.text_links(spark.createDataFrame(a, "k int, text string"), spark.createDataFrame(b, "k int, text string"), "k", threshold=threshold))
+    want = []
+    for side, mine, other in (("a", a, b), ("b", b, a)):
+        sets = [(k, frozenset(w for w in (t or "").split() if len(w) > 2)) for k, t in mine]
+        others = [frozenset(w for w in (t or "").split() if len(w) > 2) for _, t in other]
+        for k, s in sets:
+            n = sum(bool(s) and len(s & o) / len(s | o) >= threshold for o in others)
+            want.append((side, k, min(j for j, x in sets if x == s) if s else k, n))
+    assert got == sorted(want, key=repr)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,7 +107,8 @@ def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str
     within = within or []
 
     def word_sets(df: DataFrame, key: str) -> DataFrame:
-        return df.select(*within, F.col(key), X.word_set(F.col(text)).alias("words")).where(F.size("words") > 0)
+        # no filter on the set: below this projection it would make every set twice; without words there are no postings
+        return df.select(*within, F.col(key), X.word_set(F.col(text)).alias("words"))
 
     common_in_b = _commonness(word_sets(b, key_b))
 
@@ -143,6 +146,74 @@ def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str
             .select(*within, key_a, key_b, "similarity"))
 
 
+#: Parts of one word set that ``text_links`` may count by; larger sets are compared in pairs.
+MAX_PARTS = 128
+
+
+def _least_common(n: int, m: int, threshold: float) -> int:
+    """Words that sets of n and m words must share to be similar."""
+    return next((k for k in range(1, min(n, m) + 1) if k / (n + m - k) >= threshold), min(n, m) + 1)
+
+
+def _parts(words: Column, threshold: float, longest: int) -> Column:
+    """Every part of a word set that a similar set can share: the set without up to ``n - least`` of its words."""
+    lose = [max((n - k for m in range(1, longest + 1) if (k := _least_common(n, m, threshold)) <= min(n, m)), default=0) for n in range(longest + 1)]
+    may_lose, most = F.element_at(F.lit(lose), F.size(words) + 1), max(lose)
+
+    def without(x: Column, i: Column) -> Column:
+        kept = F.concat(F.slice(x["w"], F.lit(1), i - 1), F.slice(x["w"], i + 1, F.size(x["w"])))
+        return F.struct(kept.alias("w"), i.alias("next"))
+
+    def fewer(level: Column) -> Column:
+        return F.flatten(F.transform(level, lambda x: F.transform(F.when(x["next"] <= F.size(x["w"]), F.sequence(x["next"], F.size(x["w"]))).otherwise(
+            F.array().cast("array<int>")), lambda i: without(x, i))))
+    level, levels = F.array(F.struct(words.alias("w"), F.lit(1).alias("next"))), []
+    for lost in range(most + 1):
+        level = fewer(level) if lost else level
+        levels.append(F.when(may_lose >= lost, F.transform(level, lambda x: x["w"])).otherwise(F.array().cast("array<array<string>>")))
+    return F.flatten(F.array(*levels))
+
+
+def text_links(a: DataFrame, b: DataFrame, key: str, text: str = "text", threshold: float = 0.55) -> DataFrame:
+    """``(side, key, class_id, n_links)`` of every text of two large sides: its class, the smallest key of its side with the
+    same word set, and how many texts of the other side have a Jaccard similarity of at least ``threshold``. Exact.
+
+    Links are counted, not listed, so the work does not grow with their number. Two sets that are similar share a part of at
+    least ``o`` words, and with k common words they share C(k, j) parts of j words; the sum over j >= o of
+    (-1)^(j-o) C(j-1, o-1) C(k, j) is 1 for k >= o and 0 below. So each set adds up counts of its own parts, weighted. Sets with more than
+    ``MAX_PARTS`` parts meet in pairs, by ``similar_texts``. A text without words is a class of its own and has no link.
+    """
+    longest = 0
+    while sum(math.comb(longest + 1, j) for j in range(int((longest + 1) * (1 - threshold) + 1e-9) + 1)) <= MAX_PARTS and longest < 40:
+        longest += 1
+    words = F.array_sort(X.word_set(F.col(text)))
+    rows = reduce(DataFrame.unionByName, [d.select(F.lit(side).alias("side"), F.col(key), words.alias("words")) for side, d in (("a", a), ("b", b))])
+    rows = rows.withColumn("sid", F.when(F.size("words") > 0, F.unhex(F.sha2(F.array_join("words", " "), 256))))
+    sets = (rows.where("sid is not null").groupBy("side", "sid")
+            .agg(F.min(key).alias("class_id"), F.count("*").alias("m"), F.first("words").alias("words")).withColumn("n", F.size("words")))
+    sizes = range(1, longest + 1)
+    weights = F.broadcast(a.sparkSession.createDataFrame(
+        [(n, m, j, (-1) ** (j - o) * math.comb(j - 1, o - 1)) for n in sizes for m in sizes for o in [_least_common(n, m, threshold)] for j in range(o, min(n, m) + 1)],
+        "n int, n_other int, j int, weight bigint"))
+    parts = (sets.where(F.col("n") <= longest).select("side", "sid", "m", "n", F.explode(_parts(F.col("words"), threshold, longest)).alias("w"))
+             .select("side", "sid", "m", "n", F.unhex(F.md5(F.array_join("w", " "))).alias("part"), F.size("w").alias("j")))
+    held = (parts.groupBy("side", "part", F.col("n").alias("n_other")).agg(F.sum("m").alias("held"))
+            .withColumn("side", F.when(F.col("side") == "a", "b").otherwise("a")))
+    counted = (parts.join(by_shuffle(held), ["side", "part"]).join(weights, ["n", "n_other", "j"])
+               .select("side", "sid", (F.col("weight") * F.col("held")).alias("links")))
+    least = min(k for m in range(1, longest + 2) if (k := _least_common(longest + 1, m, threshold)) <= m)  # also of a partner of a longer set
+    long = sets.where(F.col("n") >= least).select("side", F.struct("sid", "m", "n").alias("set"), F.array_join("words", " ").alias("text"))
+    met = similar_texts(long.where("side = 'a'").withColumnRenamed("set", "a"), long.where("side = 'b'").withColumnRenamed("set", "b"), "a", "b",
+                        threshold=threshold).where(F.greatest("a.n", "b.n") > longest)
+    paired = met.select(F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("a.sid").alias("sid"), F.col("b.m").alias("links")),
+                                         F.struct(F.lit("b").alias("side"), F.col("b.sid").alias("sid"), F.col("a.m").alias("links")))))
+    links = counted.unionByName(paired).groupBy("side", "sid").agg(F.sum("links").alias("n_links"))
+    classes = sets.select("side", "sid", "class_id").join(by_shuffle(links), ["side", "sid"], "left")
+    return rows.join(by_shuffle(classes), ["side", "sid"], "left").select(
+        "side", key, F.when(F.col("sid").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+
+
 def orphan_columns(tag_map: DataFrame, slots: DataFrame, sentences: DataFrame, keys: list[str],
                    threshold: float = 0.55) -> DataFrame:
     """Columns with a tag but no data slot, matched to a slot by exact text, else by similar text.
