@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 from textlake.llm.blocks import chunks, narrow_batches, release, stored, text_bytes, worker_cache
 from textlake.llm.words import word_spans
 
-#: Words and ids that an encoder keeps at most, some 20 MB, and bytes of text that are encoded at once.
-CACHE_WORDS, CACHE_IDS, TEXT_BYTES = 250_000, 2_000_000, 512 << 10
+#: Words and ids that an encoder keeps at most, some 30 MB, and bytes of text that are encoded at once.
+CACHE_WORDS, CACHE_IDS, TEXT_BYTES = 500_000, 4_000_000, 512 << 10
+#: New words that the tokenizer gets in one call, and what stands between them there: a word of one id.
+JOINED, MARK = 100, b" \x01 "
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP[[*b".,;:!?"]] = True
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of whole texts, for lower-casing tokenizers that never join text across ASCII white space.
+    """Ids of whole texts, for lower-casing tokenizers that never join text across ASCII white space, nor an ASCII
+    letter to a stop (``.,;:!?``) after it: a word ends there too, so that it is the same word before a stop.
 
     Each distinct word is encoded once and kept, by its hash, in sorted arrays; beyond ``CACHE_WORDS`` or
-    ``CACHE_IDS`` the arrays are emptied, so memory is bounded and every text gets its exact ids. A worker keeps
-    its encoder from task to task, until a task of another kind releases it.
+    ``CACHE_IDS`` the arrays are emptied, so memory is bounded and every text gets its exact ids. New words are encoded
+    ``JOINED`` at a time, since a call costs more than a word. A worker keeps its encoder from task to task, until a
+    task of another kind releases it.
     """
 
     def __init__(self, path: str):
@@ -34,8 +41,8 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.size, self.begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.size, self.begin = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _look_up(self, keys: np.ndarray) -> np.ndarray:
         """Place of each known key, else -1."""
@@ -44,31 +51,49 @@ class WordEncoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.place[at], -1)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = []
-        for i in range(0, len(words), 10_000):
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[i:i + 10_000], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for word in ids for x in word), np.uint32, int(size.sum()))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.place = np.concatenate([self.place, np.arange(len(self.size), len(self.size) + len(size))])
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each); words that hold the mark's own id are encoded one by one."""
+        mark = self._ids([MARK])[0]
+        flat, size = [], []
+        for i in range(0, len(words), JOINED * JOINED):  # what the tokenizer returns is large
+            groups = [words[k:k + JOINED] for k in range(i, min(i + JOINED * JOINED, len(words)), JOINED)]
+            for group, ids in zip(groups, self._ids([MARK.join(g) + MARK for g in groups])):
+                cuts = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else mark[:0]
+                if len(cuts) == len(group):
+                    flat.append(np.delete(ids, cuts))
+                    size.append(np.diff(cuts, prepend=-1) - 1)
+                else:
+                    single = self._ids(group)
+                    flat += single
+                    size.append(np.array([len(x) for x in single]))
+        return np.concatenate(flat), np.concatenate(size).astype(np.int32)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Keep the ids of new words; ``keys`` ascend."""
+        flat, size = self._encode_words(words)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.place = np.insert(self.place, at, np.arange(len(self.size), len(self.size) + len(size), dtype=np.int32))
+        self.begin = np.concatenate([self.begin, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
         self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
-        self.keys = np.concatenate([self.keys, keys])
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.place = self.keys[order], self.place[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n + 1 offsets), for UTF-8 bytes of texts, one after another."""
         raw = data.tobytes()
+        stops = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
         # the tokenizer lower-cases words itself, but not the strings of its special tokens
-        hashes, starts, ends = word_spans(data, offsets, lower=b"<|" not in raw)
+        hashes, starts, ends = word_spans(data, np.concatenate([offsets, stops]), lower=b"<|" not in raw)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self._clear()
         place = self._look_up(keys)
         new = np.flatnonzero(place < 0)
         if len(new):
-            words = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            words = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
             self._learn(keys[new], words)
             place = self._look_up(keys)
         place = place[back]
