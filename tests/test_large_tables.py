@@ -97,3 +97,12 @@ def test_links_are_counted_as_brute_force_lists_them(spark, threshold, monkeypat
             n = sum(bool(s) and len(s & o) / len(s | o) >= threshold for o in others)
             want.append((side, k, min(j for j, x in sets if x == s) if s else k, n))
     assert got == sorted(want, key=repr)
+
+
+def test_word_sets_are_made_once(spark, capsys):
+    a = [(i, f"alpha beta gamma delta word{i} other{i}") for i in range(30)] + [(30, "alpha beta gamma delta"), (31, "alpha beta gamma word1"), (32, None), (33, "to"), (34, "Beta, gamma alpha delta; delta")]
+    b = [(0, "alpha beta gamma delta"), (1, "alpha beta epsilon zeta"), (2, None), (3, "")]
+    out = validate.similar_texts(spark.createDataFrame(a, "ka int, text string"), spark.createDataFrame(b, "kb int, text string"), "ka", "kb", threshold=0.66)
+    assert "split(" not in plan_of(out, capsys)  # the join reads what was stored
+    want = [(i, 0, 4 / 6) for i in range(30)] + [(30, 0, 1.0), (34, 0, 1.0)]
+    assert rows(out, "ka", "kb", "similarity") == sorted(want, key=repr)

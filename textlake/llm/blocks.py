@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.session import cut_lineage, scratch_path
+from textlake.session import cut_lineage, stored
 
 CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch: it stands in the executor's and in the worker's memory at once.
@@ -30,13 +30,6 @@ worker_cache: dict[str, object] = {}
 Batches = Iterator[pa.RecordBatch]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again: lost executors then cost a re-read only."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def part_keys(spark: SparkSession, texts: DataFrame | None = None, part_bytes: int = PART_BYTES) -> np.ndarray:
     """One int per shuffle partition, chosen so that each hashes to a partition of its own.
 

@@ -13,7 +13,7 @@ from textlake.functions import text as X
 from textlake.operators.detect import has_name, has_strict
 from textlake.operators.model import RowModel, model_map
 from textlake.operators.render import extract_tags
-from textlake.session import by_shuffle
+from textlake.session import by_shuffle, stored
 
 
 def missing_tags(narrative: Column, tags: Column) -> Column:
@@ -80,7 +80,7 @@ def placeholder_gaps(bank: DataFrame, keys: list[str]) -> DataFrame:
 
 
 #: Buckets of words by hash, whose counts are collected to order words by how common they are.
-WORD_BUCKETS = 16_384
+WORD_BUCKETS = 65_536
 
 
 def _commonness(words: DataFrame) -> Callable[[Column], Column]:
@@ -102,35 +102,43 @@ def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str
     their own. Pairs come from a prefix filter: with words in one order, those rare in ``b`` first, two sets that
     similar share a word among the first ``n - ceil(t * n) + 1`` of each, and at the first such word enough words are
     left in both. Only (set, size, word, place) meets; the words of a set are fetched once per pair.
+    Words that ``b`` lacks are only counted, and a set with fewer than ``ceil(t * n)`` others is left out; what is left of
+    each side is made once and stored, as making words costs more than all that follows.
     ``within`` limits pairs to equal values of those columns.
     """
     within = within or []
 
     def word_sets(df: DataFrame, key: str) -> DataFrame:
-        # no filter on the set: below this projection it would make every set twice; without words there are no postings
         return df.select(*within, F.col(key), X.word_set(F.col(text)).alias("words"))
 
+    def least(n: Column) -> Column:
+        return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
+
     common_in_b = _commonness(word_sets(b, key_b))
 
     def sets(df: DataFrame, key: str) -> DataFrame:
-        words = word_sets(df, key)
-        ordered = F.array_sort(F.transform("words", lambda w: F.struct(common_in_b(w).alias("l"), w.alias("w"))))
-        return (words.withColumn("words", F.transform(ordered, lambda x: x["w"]))
-                .withColumn("sid", F.sha2(F.array_join("words", " "), 256)))
+        def known(words: Column) -> Column:
+            levels = F.transform(words, lambda w: F.struct(common_in_b(w).alias("l"), w.alias("w")))
+            return F.struct(F.size(words).alias("n"), F.filter(levels, lambda x: x["l"] > F.lit(b"\0")).alias("known"))
+
+        # in one generator: a filter on the set would be pushed below it and make every set twice
+        fit = F.filter(F.transform(F.array("words"), known), lambda x: F.size(x["known"]) >= F.greatest(least(x["n"]), F.lit(1)))
+        return (word_sets(df, key).select(*within, key, F.inline(fit))
+                .withColumn("words", F.transform(F.array_sort("known"), lambda x: x["w"])).drop("known")
+                .withColumn("sid", F.unhex(F.sha2(F.concat_ws(" ", F.col("n").cast("string"), F.array_join("words", " ")), 256))))
 
     def distinct_sets(s: DataFrame, side: str) -> DataFrame:
-        return s.groupBy(*within, F.col("sid").alias(f"sid_{side}")).agg(F.first("words").alias(f"words_{side}"))
+        return s.groupBy(*within, F.col("sid").alias(f"sid_{side}")).agg(F.first("words").alias(f"words_{side}"), F.first("n").alias(f"n{side}"))
 
     def postings(d: DataFrame, side: str) -> DataFrame:
-        words, n = F.col(f"words_{side}"), F.size(f"words_{side}")
-        prefix = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+        words, n = F.col(f"words_{side}"), F.col(f"n{side}")
         # ``left``: the words from this place on
-        return (d.select(*within, f"sid_{side}", n.alias(f"n{side}"), F.posexplode(F.slice(words, F.lit(1), prefix)).alias("p", "w"))
-                .withColumn(f"left_{side}", F.col(f"n{side}") - F.col("p")).drop("p"))
+        return (d.select(*within, f"sid_{side}", n, F.size(words).alias("k"), F.posexplode(F.slice(words, F.lit(1), F.size(words) - least(n) + 1)).alias("p", "w"))
+                .withColumn(f"left_{side}", F.col("k") - F.col("p")).drop("k", "p"))
 
     # sets kept apart by many keys are as many as the rows, on both sides
     side = by_shuffle if within else lambda d: d
-    sa, sb = sets(a, key_a), sets(b, key_b)
+    sa, sb = stored(sets(a, key_a), "sets"), stored(sets(b, key_b), "sets")
     da, db = distinct_sets(sa, "a"), distinct_sets(sb, "b")
     na, nb, needed = F.col("na"), F.col("nb"), F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
     met = (postings(da, "a").join(side(postings(db, "b")), [*within, "w"])
@@ -138,7 +146,7 @@ def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str
            .select(*within, "sid_a", "sid_b").distinct())
     common = F.size(F.array_intersect("words_a", "words_b"))
     hits = (met.join(side(db), [*within, "sid_b"]).join(side(da), [*within, "sid_a"]).withColumn("common", common)
-            .withColumn("similarity", F.col("common") / (F.size("words_a") + F.size("words_b") - F.col("common")))
+            .withColumn("similarity", F.col("common") / (na + nb - F.col("common")))
             .where(F.col("similarity") >= threshold).select(*within, "sid_a", "sid_b", "similarity"))
     ids_a = sa.select(*within, F.col(key_a), F.col("sid").alias("sid_a"))
     ids_b = sb.select(*within, F.col(key_b), F.col("sid").alias("sid_b"))
@@ -191,6 +199,7 @@ def text_links(a: DataFrame, b: DataFrame, key: str, text: str = "text", thresho
     rows = rows.withColumn("sid", F.when(F.size("words") > 0, F.unhex(F.sha2(F.array_join("words", " "), 256))))
     sets = (rows.where("sid is not null").groupBy("side", "sid")
             .agg(F.min(key).alias("class_id"), F.count("*").alias("m"), F.first("words").alias("words")).withColumn("n", F.size("words")))
+    sets = stored(sets, "classes")  # read by the parts, the longer sets and the classes
     sizes = range(1, longest + 1)
     weights = F.broadcast(a.sparkSession.createDataFrame(
         [(n, m, j, (-1) ** (j - o) * math.comb(j - 1, o - 1)) for n in sizes for m in sizes for o in [_least_common(n, m, threshold)] for j in range(o, min(n, m) + 1)],
