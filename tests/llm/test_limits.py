@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textlake.llm import packing, queries
-from textlake.llm.blocks import text_bytes
+from textlake.llm import ngram_join, packing, queries
+from textlake.llm.blocks import part_keys, text_bytes
 
 
 class Counted:
@@ -42,3 +42,19 @@ def test_words_have_the_ids_of_the_whole_text(kept, monkeypatch):
         texts = ["".join(some.choice(atoms) for _ in range(some.randrange(60))) for _ in range(30)]
         ids, at = encoder.encode(*text_bytes(pa.array(texts)))
         assert [x.tolist() for x in np.split(ids, at[1:-1])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_copies_end_at_the_first_shuffle(spark):
+    texts = ["one two three four five six seven"] * 20 + ["One  two three four five six SEVEN", "another text of seven words is here", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sum(len(r["gram"]) for r in ngram_join._shared_grams(docs, part_keys(spark), 4).collect()) == 0
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == [(i, 4, 0) for i in range(21)] + [(21, 4, 21), (22, 0, 22), (23, 0, 23)]
+
+
+def test_sets_are_named_by_their_smallest_document(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "z"])
+    texts = [(7, " ".join(words)), (3, near), (9, " ".join(words)), (5, near), (1, "w0 w1 w2 w3 w4"), (8, " ".join(words[::-1]))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {7: 3, 3: 3, 9: 3, 5: 3, 1: 1, 8: 8}

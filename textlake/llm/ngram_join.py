@@ -36,14 +36,19 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
 
+def _sums(value: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+    """A sum over each set's shingles that names the set."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt)), dtype=np.uint64)])
+    return (total[at[1:]] - total[at[:-1]]).view(np.int64)
+
+
 def _profile(docs: DataFrame, size: int) -> DataFrame:
     """Size and two sums that name the set, for every document."""
     def run(batches):
         release()
         for batch in chunks(batches, limit=TEXT_BYTES):
             value, at = _sets(batch, size)
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(value), mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-            s1, s2 = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
+            s1, s2 = _sums(value, at, 0), _sums(value, at, 0xA5A5A5A5A5A5A5A5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(s1), pa.array(s2)], ["doc_id", "n_shingles", "s1", "s2"])
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
 
@@ -53,7 +58,10 @@ _GRAMS_SQL = "part int, gram binary, df binary, doc binary, size binary"
 
 
 def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int) -> DataFrame:
-    """Shingles that more than one document has, with their documents, dealt by document."""
+    """Shingles that more than one set has, with their sets, dealt by set.
+
+    A set stands for all documents that have it and goes by its first sum, so that copies cost nothing after the first shuffle.
+    """
     n_parts = len(keys)
 
     def emit(batches):
@@ -61,7 +69,7 @@ def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int) -> DataFrame:
         for batch in chunks(batches, limit=TEXT_BYTES):
             value, at = _sets(batch, size)
             n = np.diff(at)
-            doc = np.repeat(batch.column("doc_id").to_numpy(), n)
+            doc = np.repeat(_sums(value, at, 0), n)
             part = (value % np.uint64(n_parts)).astype(np.int64)
             yield block([(int(keys[p]), g, np.zeros(0, np.uint16), d, m) for p, (g, d, m) in split(part, n_parts, value, doc, np.repeat(n, n).astype(np.int32))], _GRAMS)
 
@@ -69,10 +77,16 @@ def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int) -> DataFrame:
         release()
         gram, doc, n = gather(batches, ("gram", np.uint64), ("doc", np.int64), ("size", np.int32))
         order = np.argsort(gram, kind="stable")
-        starts = runs(gram[order])
-        df = np.diff(starts)
+        df = np.diff(runs(gram[order]))
         order = order[np.repeat(df > 1, df)]
+        order = order[np.lexsort((doc[order], gram[order]))]
         gram, doc, n = gram[order], doc[order], n[order]
+        once = np.ones(len(gram), bool)
+        once[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+        gram, doc, n = gram[once], doc[once], n[once]
+        df = np.diff(runs(gram))
+        more = np.repeat(df > 1, df)
+        gram, doc, n = gram[more], doc[more], n[more]
         df = np.minimum(np.repeat(df[df > 1], df[df > 1]), 65535).astype(np.uint16)
         order = np.argsort(doc, kind="stable")
         gram, df, doc, n = gram[order], df[order], doc[order], n[order]
@@ -81,9 +95,9 @@ def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int) -> DataFrame:
 
 
 def _candidates(shared: DataFrame, keys: np.ndarray, percent: int) -> DataFrame:
-    """Sets (``doc_id, n, grams``) whose prefix reaches a shared shingle, and index blocks of those prefixes (``part``).
+    """Sets (``doc_id``, the set's first sum, ``n, grams``) whose prefix reaches a shared shingle, and index blocks of those prefixes (``part``).
 
-    Shingles of one document come first in the order, so a set with enough of them is linked with nothing.
+    Shingles of one set come first in the order, so a set with enough of them is linked with nothing.
     ``grams`` holds the shared shingles only: no overlap has others.
     """
     n_parts = len(keys)
@@ -96,7 +110,6 @@ def _candidates(shared: DataFrame, keys: np.ndarray, percent: int) -> DataFrame:
         order = np.lexsort((n, doc))
         ends = runs(doc[order])
         counts, size = np.diff(ends), n[order][ends[:-1]].astype(np.int64)
-        # rows that repeat an id count together; their sets are told apart by ``copies``
         fine = counts >= size - _prefix(size, percent) + 1
         order = order[np.repeat(fine, counts)]
         gram, df, doc, n = gram[order], df[order], doc[order], n[order].astype(np.int64)
@@ -276,8 +289,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     keys = part_keys(spark, docs, PART_BYTES)
     shared = _shared_grams(slim.where("doc_id is not null"), keys, size)
     found = stored(_candidates(shared, keys, percent), "candidates")
-    stars = _stars(found.where("part is not null").select("part", "gram", "doc", "size"), keys, percent)
-    stars = stored(stars.join(copies.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select("pivot", "doc_id"), "stars")
+    stars = stored(_stars(found.where("part is not null").select("part", "gram", "doc", "size"), keys, percent), "stars")
     wanted = stars.select("doc_id").union(stars.select("pivot")).distinct()
     sets = stored(found.where("part is null").select("doc_id", "n", "grams").join(wanted, "doc_id"), "grams")
     first = stored(_first_links(stars, sets, percent), "links")
@@ -288,6 +300,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
              .join(roots.select(F.col("v").alias("pivot"), F.col("root").alias("home")), "pivot", "left")
              .select("pivot", "doc_id", F.coalesce("root", "doc_id").alias("root"), F.coalesce("home", "pivot").alias("home")))
     rest = stored(_rest_links(named, first, sets, percent), "rest")
-    final = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(rest).union(same_id))
+    # up to here sets are linked; each is named by its smallest document from here on
+    linked = roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(rest)
+    for end in ("a", "b"):
+        linked = linked.join(same.select(F.col("s1").alias(end), F.col("rep").alias(f"rep_{end}")), end)
+    final = components(linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).union(same_id))
     return (own.join(final.select(F.col("v").alias("doc_id"), "root"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))
