@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textlake.llm import ngram_join, packing, queries
+from tests.llm.test_operators import brute_removed
+from textlake.llm import ngram_join, packing, queries, suffix_dedup
 from textlake.llm.blocks import part_keys, text_bytes
 
 
@@ -58,3 +59,20 @@ def test_sets_are_named_by_their_smallest_document(spark):
     texts = [(7, " ".join(words)), (3, near), (9, " ".join(words)), (5, near), (1, "w0 w1 w2 w3 w4"), (8, " ".join(words[::-1]))]
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {7: 3, 3: 3, 9: 3, 5: 3, 1: 1, 8: 8}
+
+
+@pytest.mark.parametrize("hot", [2, 30])
+def test_contexts_of_a_frequent_anchor_meet_by_one_side(hot, spark, monkeypatch):
+    # before, every context of an anchor with more than HOT of them was sent as 33 windows
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    some = random.Random(5)
+    noise = lambda n: "".join(some.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    tails = [noise(40) for _ in range(8)]
+    rows = [(i, f"{noise(70)}an anchor of many texts{tails[i % 8] if i % 2 else noise(40)}{noise(30)}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = docs.selectExpr("doc_id", "crc32(text) AS tag", "text")
+    found = suffix_dedup._find_repeats(known, part_keys(spark), 50).collect()
+    sent = {k: sum(len(r["doc"]) // 8 for r in found if r["kind"] == k) for k in (suffix_dedup._CHECK, suffix_dedup._HOT)}
+    assert sent[suffix_dedup._CHECK] > 0 and (sent[suffix_dedup._HOT] > 0) == (hot == 2)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removed_spans(docs).collect()}
+    assert got == brute_removed(rows) and any(r[1] for r in got.values())

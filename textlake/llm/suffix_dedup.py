@@ -10,7 +10,8 @@ id. Suffix arrays are built where suffixes can match, not over the whole corpus:
    earlier document, all its windows do. Only the first document of each context is compared further.
 3. The differing contexts of an anchor form the suffix array of step 3: prefix doubling sorts the suffixes,
    and a suffix whose previous smaller document shares ``length`` bytes (LPF of at least ``length``)
-   is a later copy. Contexts of very frequent anchors travel as single suffixes, keyed by their own bytes.
+   is a later copy. Contexts of a very frequent anchor meet by the bytes on one side of it; where these are very frequent
+   too, single suffixes travel, keyed by their own bytes.
 4. Documents take the places found and drop the covered bytes.
 """
 
@@ -30,7 +31,8 @@ from textlake.llm.blocks import block, chunks, exchange, gather, mix, narrow_bat
 from textlake.llm.words import _BACK, _BYTE, _STEP, powers
 
 GRAM = 18
-#: An anchor with more different contexts than this sends single suffixes.
+#: Contexts of an anchor that are compared together: with more they are dealt by the bytes on one side of it, and with more than
+#: this of the same side they send single suffixes.
 HOT = 256
 #: Suffixes that are sorted together.
 SORTED = 1 << 18
@@ -103,6 +105,19 @@ def later_copies(ranks: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def meeting(data: np.ndarray, suffix: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """Whether the hash of the first ``length`` bytes of each suffix is that of another document's too."""
+    if len(suffix) == 0:
+        return np.zeros(0, bool)
+    hashes = _Sums(data).span(suffix, suffix + length)
+    order = np.argsort(hashes)
+    starts = runs(hashes[order])
+    of = docs[order]
+    out = np.zeros(len(docs), bool)
+    out[order] = np.repeat(np.minimum.reduceat(of, starts[:-1]) < np.maximum.reduceat(of, starts[:-1]), np.diff(starts))
+    return out
+
+
 def _doc_part(doc, n: int):
     return doc % n
 
@@ -155,15 +170,17 @@ def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
             row = np.searchsorted(at, p, side="right") - 1
             lo, hi = np.maximum(at[row], p - reach), np.minimum(at[row + 1], p + length)
             gram = sums.span(p, p + GRAM)
+            # anchors of one part that agree in 32 more bits are only compared in vain
+            short = (gram // np.uint64(n_parts)).astype(np.uint32)
             near = [sums.span(np.maximum(at[row], p - half), p + GRAM), sums.span(p, np.minimum(at[row + 1], p + GRAM + half))]
             context = mix(sums.span(lo, hi) + (p - lo).astype(np.uint64)) << _U20 | (near[0] & _MASK) << _U10 | near[1] & _MASK
             ids, tags = _ids(batch)
             part = (gram % np.uint64(n_parts)).astype(np.int64)
-            yield block([(int(keys[k]), *cut) for k, cut in split(part, n_parts, gram, context, ids[row], tags[row], *_planes(p - at[row]))], schema)
+            yield block([(int(keys[k]), *cut) for k, cut in split(part, n_parts, short, context, ids[row], tags[row], *_planes(p - at[row]))], schema)
 
     def resolve(batches):
         release()
-        gram, context, doc, mark, low, far = gather(batches, ("gram", np.uint64), ("context", np.uint64), ("doc", np.int64), ("mark", np.uint32), ("place", np.uint16), ("far", np.uint16))
+        gram, context, doc, mark, low, far = gather(batches, ("gram", np.uint32), ("context", np.uint64), ("doc", np.int64), ("mark", np.uint32), ("place", np.uint16), ("far", np.uint16))
         place = (far.astype(np.int32) << 16) | low
         order = np.argsort(gram, kind="stable")
         starts = runs(gram[order])
@@ -185,19 +202,31 @@ def _find_repeats(docs: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
         heads, outer = starts[:-1], runs(gram[starts[:-1]])
         contexts = np.diff(outer)
         # a shared window holds half of the reach on one side, so one of the two near hashes is shared too
-        group = np.repeat(np.arange(len(contexts), dtype=np.uint64), contexts) << _U10
-        shared = np.zeros(len(heads), bool)
+        owner = np.repeat(np.arange(len(contexts)), contexts)
+        group, times, shared = [], [], np.zeros(len(heads), bool)
         for side in (context[heads] >> _U10 & _MASK, context[heads] & _MASK):
-            _, back, times = np.unique(group | side, return_inverse=True, return_counts=True)
-            shared |= times[back] > 1
+            _, back, count = np.unique(owner.astype(np.uint64) << _U10 | side, return_inverse=True, return_counts=True)
+            shared |= count[back] > 1
+            group.append(back)
+            times.append(count)
         rivals = np.add.reduceat(shared.astype(np.int64), outer[:-1])
         apart = np.minimum.reduceat(doc[heads], outer[:-1]) < np.maximum.reduceat(doc[heads], outer[:-1])
-        per_head = np.where(shared, np.repeat(np.where(apart, rivals, 0), contexts), 0)
-        number = np.repeat(per_head, np.diff(starts))
-        check, hot = ~copy & (number > 1) & (number <= HOT), ~copy & (number > HOT)
+        number = np.where(shared & apart[owner], rivals[owner], 0)
         rows = _entries(_COPY, keys, doc[copy], mark[copy], place[copy])
-        for kind, pick in ((_CHECK, check), (_HOT, hot)):
-            rows += _entries(kind, keys, doc[pick], mark[pick], place[pick], gram[pick])
+        # what meets: contexts of an anchor or, where it has too many, those with the same bytes on one side of it
+        meet = [(_CHECK, (number > 1) & (number <= HOT), mix(gram[heads].astype(np.uint64)))]
+        for k, (back, count) in enumerate(zip(group, times)):
+            lowest, highest = np.full(len(count), np.iinfo(np.int64).max), np.full(len(count), np.iinfo(np.int64).min)
+            np.minimum.at(lowest, back, doc[heads])
+            np.maximum.at(highest, back, doc[heads])
+            several = (number > HOT) & (lowest < highest)[back]
+            bits = context[heads] >> (_U10 if k == 0 else np.uint64(0)) & _MASK
+            key = mix(gram[heads].astype(np.uint64) << np.uint64(11) | bits << np.uint64(1) | np.uint64(k))
+            meet += [(_CHECK, several & (count[back] <= HOT), key), (_HOT, several & (count[back] > HOT), key)]
+        position = np.repeat(np.arange(len(heads)), np.diff(starts))
+        for kind, wanted, key in meet:
+            pick = np.flatnonzero(~copy & wanted[position])
+            rows += _entries(kind, keys, doc[pick], mark[pick], place[pick], key[position[pick]])
         yield block(rows, pa.schema(_ENTRY))
     blocks = docs.mapInArrow(emit, "part int, gram binary, context binary, doc binary, mark binary, place binary, far binary")
     return exchange(blocks, keys, resolve, _ENTRY_SQL)
@@ -330,7 +359,6 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
             own = _row_hash(rows[:, reach:reach + GRAM] if w else rows) % np.uint64(pieces)
             for _, (pick,) in split(own.astype(np.int64), pieces, np.arange(len(rows))):
                 some, doc, mark, place, left, right = (c[pick] for c in (rows, *columns_[1:]))
-                ranks = suffix_ranks(some.ravel(), length)
                 if w:
                     start = np.arange(reach + 1)
                     which, start = np.nonzero((start >= reach - left[:, None].astype(np.int64)) & (start + length <= reach + right[:, None].astype(np.int64)))
@@ -338,6 +366,15 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
                 else:
                     which = np.arange(len(doc))
                     suffix, first = which * length, place
+                meets = meeting(some.ravel(), suffix, doc[which], length)
+                if not meets.any():
+                    continue
+                # only rows with a window that meets are sorted
+                which, suffix, first = which[meets], suffix[meets], first[meets]
+                held_rows = np.zeros(len(some), bool)
+                held_rows[which] = True
+                suffix = suffix - which * size + (np.cumsum(held_rows) - 1)[which] * size
+                ranks = suffix_ranks(some[held_rows].ravel(), length)
                 later = later_copies(ranks[suffix], doc[which])
                 out.append((doc[which][later], mark[which][later], first[later].astype(np.int32)))
         if out:
