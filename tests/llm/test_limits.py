@@ -76,3 +76,38 @@ def test_contexts_of_a_frequent_anchor_meet_by_one_side(hot, spark, monkeypatch)
     assert sent[suffix_dedup._CHECK] > 0 and (sent[suffix_dedup._HOT] > 0) == (hot == 2)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removed_spans(docs).collect()}
     assert got == brute_removed(rows) and any(r[1] for r in got.values())
+
+
+def test_shingles_of_many_parts_travel_without_their_sets_names(spark):
+    # before, each took 20 bytes where every shingle of a set goes to another part
+    some = random.Random(9)
+    texts = [" ".join(f"w{some.randrange(10 ** 6)}" for _ in range(203)) for _ in range(300)]
+    texts = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(20)] + [(2000 + i, texts[i + 30][:-3] + " x") for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(1)
+    keys = np.arange(5000, dtype=np.int32)
+    own = ngram_join._profile(docs, 4)
+    copied = spark.sparkContext.broadcast(ngram_join._screen(own, part_keys(spark), 2, ngram_join.SCREEN_BITS, ngram_join._set_names))
+    assert ngram_join._width(5000) == 6 and ngram_join._width(102) == 7 and ngram_join._width(2) == 8
+    emitted = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "exchange", lambda df, keys, fn, schema: emitted.append(df) or df)
+        ngram_join._shared_grams(docs, keys, 4, copied)
+    rows = [r for r in emitted[0].collect() if not r["name"]]
+    n = sum(len(r["number"]) for r in rows)
+    assert n == 340 * 200 + 20
+    assert sum(len(r[c]) for r in rows for c in ("gram", "home", "times", "number")) < 14 * n  # chunks as small as this one share a home with few
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {**{i: i for i in range(300)}, **{1000 + i: i for i in range(20)}, **{2000 + i: 30 + i for i in range(20)}}
+
+
+def test_homes_tell_all_sets_apart():
+    name, copied = np.arange(10, 2010), np.arange(2000) % 5 == 0
+    home, number = ngram_join._homes(name, copied)
+    assert len(set(zip(home.tolist(), number.tolist()))) == 2000 and (home[copied] == name[copied]).all()
+    assert len(set(home[~copied].tolist())) == -(-1600 // 256)
+    gram = np.array([0, 1, 2 ** 64 - 1, 2 ** 63 + 12345], np.uint64)
+    for parts in (2, 7, 300):
+        for g in gram:
+            again = ngram_join._unpacked(ngram_join._packed(np.array([g]), parts).tobytes(), int(g) % parts, parts)[0]
+            bits = 8 * ngram_join._width(parts)
+            assert int(again) == int(g) // parts % 2 ** bits * parts + int(g) % parts

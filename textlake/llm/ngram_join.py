@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.blocks import block, chunks, components, exchange, gather, mix, narrow_batches, part_keys, release, runs, split, stored, text_bytes
+from textlake.llm.collocations import SCREEN_BITS, _has, _screen
 from textlake.llm.words import shingles, word_hashes
 
 #: Sets in one chunk of a star; larger stars are cut.
@@ -53,47 +54,141 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
-_GRAMS = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("df", pa.binary()), ("doc", pa.binary()), ("size", pa.binary())])
-_GRAMS_SQL = "part int, gram binary, df binary, doc binary, size binary"
+_GRAMS = pa.schema([("part", pa.int32()), ("gram", pa.binary()), ("df", pa.binary()), ("home", pa.binary()), ("times", pa.binary()),
+                    ("number", pa.binary()), ("name", pa.binary()), ("size", pa.binary())])
+_GRAMS_SQL = "part int, gram binary, df binary, home binary, times binary, number binary, name binary, size binary"
+_EMPTY = np.zeros(0, np.uint8)
+#: Sets that share a home: they are told apart by one byte.
+HOME = 1 << 8
+#: Bits of a shingle that count, those that the part gives included.
+GRAM_BITS = 60
 
 
-def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int) -> DataFrame:
-    """Shingles that more than one set has, with their sets, dealt by set.
+def _width(n_parts: int) -> int:
+    return min(8, -(-(GRAM_BITS - (n_parts.bit_length() - 1)) // 8))
+
+
+def _packed(gram: np.ndarray, n_parts: int) -> np.ndarray:
+    """The bytes of each shingle that its part does not tell, byte by byte."""
+    rest = (gram // np.uint64(n_parts)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(rest[:, :_width(n_parts)].T)
+
+
+def _unpacked(packed: bytes, part: int, n_parts: int) -> np.ndarray:
+    """The shingles of a part, equal where their packed bytes are."""
+    some = np.frombuffer(packed, np.uint8).reshape(_width(n_parts), -1).T
+    rest = np.zeros((len(some), 8), np.uint8)
+    rest[:, :some.shape[1]] = some
+    return rest.view("<u8").ravel().astype(np.uint64) * np.uint64(n_parts) + np.uint64(part)
+
+
+def _runs_of(home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of equal homes and their lengths, or all homes where that is shorter."""
+    at = runs(home)
+    return (home[at[:-1]], np.diff(at).astype(np.uint32)) if 3 * (len(at) - 1) < 2 * len(home) else (home, _EMPTY)
+
+
+def _all_homes(row: dict) -> np.ndarray:
+    home, times = np.frombuffer(row["home"], np.int64), np.frombuffer(row["times"], np.uint32)
+    return np.repeat(home, times) if len(times) else home
+
+
+def _homes(name: np.ndarray, copied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(home, number) of each set of a chunk: the name of the first of up to ``HOME`` sets and the place; its own name and 0 if it has copies."""
+    home, number = name.copy(), np.zeros(len(name), np.uint8)
+    alone = np.flatnonzero(~copied)
+    if len(alone):
+        place = np.arange(len(alone))
+        home[alone] = name[alone[place // HOME * HOME]]
+        number[alone] = place % HOME
+    return home, number
+
+
+def _shared_grams(docs: DataFrame, keys: np.ndarray, size: int, copied=None) -> DataFrame:
+    """Shingles that more than one set has, with their sets, dealt by the sets' homes, and the names and sizes of the sets.
 
     A set stands for all documents that have it and goes by its first sum, so that copies cost nothing after the first shuffle.
+    That name is as long as a shingle, and where there are many parts each shingle of a set goes to another: only sets that may
+    have copies (a bitmap of names, ``copied``; all, without one) take it along. Of the others up to ``HOME`` made together go by
+    the name of the first, their home, which a part gets once, and a number of one byte.
     """
     n_parts = len(keys)
 
     def emit(batches):
         release()
-        for batch in chunks(batches, limit=TEXT_BYTES):
+        for batch in chunks(batches, limit=2 * TEXT_BYTES):
             value, at = _sets(batch, size)
             n = np.diff(at)
-            doc = np.repeat(_sums(value, at, 0), n)
-            part = (value % np.uint64(n_parts)).astype(np.int64)
-            yield block([(int(keys[p]), g, np.zeros(0, np.uint16), d, m) for p, (g, d, m) in split(part, n_parts, value, doc, np.repeat(n, n).astype(np.int32))], _GRAMS)
+            name = _sums(value, at, 0)
+            named = np.ones(len(name), bool) if copied is None else (n == 0) | _has(copied.value, mix(name.view(np.uint64)))
+            home, number = _homes(name, named)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.argsort(named[row], kind="stable")
+            value, row = value[order], row[order]
+            rows = []
+            for p, (g, r) in split((value % np.uint64(n_parts)).astype(np.int64), n_parts, value, row):
+                rows.append((int(keys[p]), _packed(g, n_parts), _EMPTY, *_runs_of(home[r]), number[r], _EMPTY, _EMPTY))
+            some = np.flatnonzero(n > 0)
+            for p, (h, k, s, m) in split(home[some] % n_parts, n_parts, home[some], number[some], name[some], n[some].astype(np.int32)):
+                rows.append((int(keys[p]), _EMPTY, _EMPTY, h, _EMPTY, k, s, m))
+            yield block(rows, _GRAMS)
 
     def count(batches):
         release()
-        gram, doc, n = gather(batches, ("gram", np.uint64), ("doc", np.int64), ("size", np.int32))
+        held, place = [], {int(k): p for p, k in enumerate(keys)}
+        for batch in batches:
+            names = np.array([v.as_buffer().size > 0 for v in batch.column("name")], bool)
+            if names.any():
+                yield batch.filter(pa.array(names))
+            for r in batch.filter(pa.array(~names)).to_pylist():
+                held.append((_unpacked(r["gram"], place[r["part"]], n_parts), _all_homes(r), np.frombuffer(r["number"], np.uint8)))
+        gram, home, number = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, t) for t in (np.uint64, np.int64, np.uint8))
+        held.clear()
         order = np.argsort(gram, kind="stable")
         df = np.diff(runs(gram[order]))
         order = order[np.repeat(df > 1, df)]
-        order = order[np.lexsort((doc[order], gram[order]))]
-        gram, doc, n = gram[order], doc[order], n[order]
+        order = order[np.lexsort((number[order], home[order], gram[order]))]
+        gram, home, number = gram[order], home[order], number[order]
         once = np.ones(len(gram), bool)
-        once[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-        gram, doc, n = gram[once], doc[once], n[once]
+        once[1:] = (gram[1:] != gram[:-1]) | (home[1:] != home[:-1]) | (number[1:] != number[:-1])
+        gram, home, number = gram[once], home[once], number[once]
         df = np.diff(runs(gram))
         more = np.repeat(df > 1, df)
-        gram, doc, n = gram[more], doc[more], n[more]
+        gram, home, number = gram[more], home[more], number[more]
         df = np.minimum(np.repeat(df[df > 1], df[df > 1]), 65535).astype(np.uint16)
-        order = np.argsort(doc, kind="stable")
-        gram, df, doc, n = gram[order], df[order], doc[order], n[order]
-        yield block([(int(keys[p]), *cut) for p, cut in split(doc % n_parts, n_parts, gram, df, doc, n)], _GRAMS)
+        order = np.lexsort((number, home))
+        gram, df, home, number = gram[order], df[order], home[order], number[order]
+        rows = []
+        for p, (g, d, h, k) in split(home % n_parts, n_parts, gram, df, home, number):
+            rows.append((int(keys[p]), g, d, *_runs_of(h), k, _EMPTY, _EMPTY))
+        yield block(rows, _GRAMS)
     return exchange(docs.mapInArrow(emit, _GRAMS_SQL), keys, count, _GRAMS_SQL)
 
 
+def _named(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All (gram, df, set's name, set's size) of a part of shared shingles."""
+    held, known = [], []
+    for batch in batches:
+        for r in batch.to_pylist():
+            home, number = _all_homes(r), np.frombuffer(r["number"], np.uint8)
+            if r["name"]:
+                known.append((home, number, np.frombuffer(r["name"], np.int64), np.frombuffer(r["size"], np.int32)))
+            else:
+                held.append((np.frombuffer(r["gram"], np.uint64), np.frombuffer(r["df"], np.uint16), home, number))
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    home, number, name, size = (np.concatenate(x) for x in zip(*known))
+    order = np.lexsort((number, home))
+    home, number, name, size = home[order], number[order], name[order], size[order]
+    new = np.ones(len(home), bool)
+    new[1:] = (home[1:] != home[:-1]) | (number[1:] != number[:-1])
+    home, number, name, size = home[new], number[new], name[new], size[new]
+    gram, df, whose, which = (np.concatenate(x) for x in zip(*held))
+    # the numbers of a home are 0, 1, .. without a gap
+    at = np.searchsorted(home, whose) + which
+    return gram, df, name[at], size[at]
+
+
 def _candidates(shared: DataFrame, keys: np.ndarray, percent: int) -> DataFrame:
     """Sets (``doc_id``, the set's first sum, ``n, grams``) whose prefix reaches a shared shingle, and index blocks of those prefixes (``part``).
 
@@ -106,7 +201,7 @@ def _candidates(shared: DataFrame, keys: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches):
         release()
-        gram, df, doc, n = gather(batches, ("gram", np.uint64), ("df", np.uint16), ("doc", np.int64), ("size", np.int32))
+        gram, df, doc, n = _named(batches)
         order = np.lexsort((n, doc))
         ends = runs(doc[order])
         counts, size = np.diff(ends), n[order][ends[:-1]].astype(np.int64)
@@ -271,6 +366,11 @@ def _rest_links(stars: DataFrame, first: DataFrame, sets: DataFrame, percent: in
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _set_names(batches):
+    for batch in batches:
+        yield mix(batch.column("s1").to_numpy().view(np.uint64))
+
+
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document: the smallest doc_id that links reach.
 
@@ -287,7 +387,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     same = stored(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "same")
     copies = stored(full.join(same, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct(), "copies")
     keys = part_keys(spark, docs, PART_BYTES)
-    shared = _shared_grams(slim.where("doc_id is not null"), keys, size)
+    # sums of sets that more than one row has, in a bitmap of fixed size; a set that shares a bit with one of them is only named in vain
+    copied = spark.sparkContext.broadcast(_screen(full.select("s1"), keys, 2, SCREEN_BITS, _set_names))
+    shared = _shared_grams(slim.where("doc_id is not null"), keys, size, copied)
     found = stored(_candidates(shared, keys, percent), "candidates")
     stars = stored(_stars(found.where("part is not null").select("part", "gram", "doc", "size"), keys, percent), "stars")
     wanted = stars.select("doc_id").union(stars.select("pivot")).distinct()
