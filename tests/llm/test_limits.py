@@ -111,3 +111,11 @@ def test_homes_tell_all_sets_apart():
             again = ngram_join._unpacked(ngram_join._packed(np.array([g]), parts).tobytes(), int(g) % parts, parts)[0]
             bits = 8 * ngram_join._width(parts)
             assert int(again) == int(g) // parts % 2 ** bits * parts + int(g) % parts
+
+
+def test_suffixes_that_meet_are_ranked_as_in_the_whole_array():
+    data = np.random.default_rng(1).integers(0, 3, 600).astype(np.uint8)
+    data[300:500] = data[:200]
+    some = np.arange(0, 550, 2)
+    want = np.unique(suffix_dedup.suffix_ranks(data, 50)[some], return_inverse=True)[1]
+    assert suffix_dedup.ranks_of(data, some, 50).tolist() == want.tolist() and want.max() < len(some) - 1

@@ -91,6 +91,19 @@ def suffix_ranks(data: np.ndarray, cap: int) -> np.ndarray:
     return rank.astype(np.int64)
 
 
+def ranks_of(data: np.ndarray, suffix: np.ndarray, cap: int) -> np.ndarray:
+    """Rank of each given suffix among them by its first ``cap`` bytes, all of which ``data`` holds."""
+    first = np.zeros((len(suffix), -(-cap // 8) * 8), np.uint8)
+    first[:, :cap] = sliding_window_view(data, cap)[suffix]
+    words = first.view(">u8").astype(np.uint64)
+    order = np.lexsort(words.T[::-1])
+    new = np.zeros(len(suffix), np.int64)
+    new[1:] = (words[order][1:] != words[order][:-1]).any(axis=1)
+    rank = np.empty(len(suffix), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
 def later_copies(ranks: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Whether the longest previous factor of each suffix reaches the length the ranks were cut at.
 
@@ -369,13 +382,9 @@ def _check_contexts(docs: DataFrame, entries: DataFrame, keys: np.ndarray, lengt
                 meets = meeting(some.ravel(), suffix, doc[which], length)
                 if not meets.any():
                     continue
-                # only rows with a window that meets are sorted
+                # only suffixes whose first bytes meet are sorted
                 which, suffix, first = which[meets], suffix[meets], first[meets]
-                held_rows = np.zeros(len(some), bool)
-                held_rows[which] = True
-                suffix = suffix - which * size + (np.cumsum(held_rows) - 1)[which] * size
-                ranks = suffix_ranks(some[held_rows].ravel(), length)
-                later = later_copies(ranks[suffix], doc[which])
+                later = later_copies(ranks_of(some.ravel(), suffix, length), doc[which])
                 out.append((doc[which][later], mark[which][later], first[later].astype(np.int32)))
         if out:
             yield block(_entries(_WINDOW, keys, *[np.concatenate(x) for x in zip(*out)]), pa.schema(_ENTRY))
