@@ -9,6 +9,7 @@ from tests.conftest import rows
 from textlake.functions import text as X
 from textlake.operators import detect, generate, validate
 from textlake.operators.model import RuleModel
+from textlake.plans import QUERIES
 
 
 def plan_of(df, capsys):
@@ -99,6 +100,21 @@ def test_links_are_counted_as_brute_force_lists_them(spark, threshold, monkeypat
     assert got == sorted(want, key=repr)
 
 
+def test_two_large_sides_list_every_pair(spark, tmp_path):
+    notes = [(2, 700, "2000-01-01", 51000.0), (3, 701, "2000-09-09", 51999.0), (5, 700, "2001-01-01", 51000.0), (7, 700, "2000-01-01", 51500.0), (9, 702, "1999-01-01", 52000.0),
+             (4, 700, "2000-03-01", 51020.0), (4, 700, "2000-03-01", 51020.0), (11, None, "2000-01-01", 51000.0), (6, 1, "2000-01-01", 2000.0), (13, 2, "2000-01-01", 3000.0)]
+    (spark.createDataFrame(notes, "o_orderkey long, o_custkey long, day string, o_totalprice double")
+     .selectExpr("*", "timestamp(day) as o_orderdate", "'F' as o_orderstatus").write.parquet(str(tmp_path / "orders.parquet")))
+
+    def words(note):
+        _, customer, day, price = note
+        return {"placed", "customer", "worth", "about", "under", "status"} | {w for w in (f"c{customer}", day[:4], f"t{int(price // 1000)}") if len(w) > 2}
+    known = [n for n in notes if n[1] is not None]
+    want = [(a[0], b[0], len(words(a) & words(b)) / len(words(a) | words(b))) for a in known for b in known if a[0] % 2 == 0 and b[0] % 2 == 1]
+    out = QUERIES["val_8_two_large_sides"](spark, str(tmp_path))
+    assert rows(out, "even_key", "odd_key", "similarity") == sorted((w for w in want if w[2] >= 0.8), key=repr)
+
+
 def test_word_sets_are_made_once(spark, capsys):
     a = [(i, f"alpha beta gamma delta word{i} other{i}") for i in range(30)] + [(30, "alpha beta gamma delta"), (31, "alpha beta gamma word1"), (32, None), (33, "to"), (34, "Beta, gamma alpha delta; delta")]
     b = [(0, "alpha beta gamma delta"), (1, "alpha beta epsilon zeta"), (2, None), (3, "")]
