@@ -115,6 +115,30 @@ def test_two_large_sides_list_every_pair(spark, tmp_path):
     assert rows(out, "even_key", "odd_key", "similarity") == sorted((w for w in want if w[2] >= 0.8), key=repr)
 
 
+@pytest.mark.parametrize("threshold,pairs,within", [(0.2, 1 << 26, []), (0.55, 5, ["g"]), (0.8, 1 << 26, []), (0.8, 5, [])])
+def test_dense_sides_are_listed_as_brute_force_lists_them(spark, threshold, pairs, within, monkeypatch):
+    monkeypatch.setattr(validate, "MAX_PARTS", 40)  # short and long sets
+    monkeypatch.setattr(validate, "TASK_PAIRS", pairs)  # parts in one task, or dealt to several
+    rng = random.Random(4)
+    words = ["common", *(f"word{i}" for i in range(13))]
+    texts = [" ".join({"common", *rng.sample(words, rng.choice([1, 3, 5, 6, 8, 9, 12]))}) for _ in range(90)]
+    a = [(i % 2, i, t) for i, t in enumerate(texts[:45] + texts[:9] + [None, "", "a b", "word1 word2"])] + [(0, 0, texts[0])]
+    b = [(i % 2, 100 + i, t) for i, t in enumerate(texts[45:] + texts[:20] + [None, ""])]
+    sets = {t: frozenset(w for w in (t or "").split() if len(w) > 2) for _, _, t in a + b}
+    want = [(i, j, len(sets[t] & sets[u]) / len(sets[t] | sets[u])) for g, i, t in a for h, j, u in b if sets[t] and sets[u] and (g == h or not within)]
+    out = validate.similar_texts(spark.createDataFrame(a, "g int, ka int, text string"), spark.createDataFrame(b, "g int, kb int, text string"), "ka", "kb",
+                                 threshold=threshold, within=within, dense=True)
+    assert rows(out, "ka", "kb", "similarity") == sorted((w for w in want if w[2] >= threshold), key=repr)
+
+
+def test_dense_pairs_do_not_travel(spark, capsys):
+    notes = [(i, f"alpha beta gamma delta epsilon word{i % 3}") for i in range(60)]
+    out = validate.similar_texts(spark.createDataFrame(notes, "ka int, text string"), spark.createDataFrame(notes, "kb int, text string"), "ka", "kb", threshold=0.8, dense=True)
+    plan = plan_of(out, capsys).split("\n\n")[0]
+    assert plan.count("Exchange") == 2 and plan.count("Join") == 1 and plan.index("Join") < plan.index("Exchange")  # below the join only
+    assert out.count() == 3 * 20 * 20
+
+
 def test_word_sets_are_made_once(spark, capsys):
     a = [(i, f"alpha beta gamma delta word{i} other{i}") for i in range(30)] + [(30, "alpha beta gamma delta"), (31, "alpha beta gamma word1"), (32, None), (33, "to"), (34, "Beta, gamma alpha delta; delta")]
     b = [(0, "alpha beta gamma delta"), (1, "alpha beta epsilon zeta"), (2, None), (3, "")]

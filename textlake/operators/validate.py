@@ -95,7 +95,7 @@ def _commonness(words: DataFrame) -> Callable[[Column], Column]:
 
 
 def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str = "text", threshold: float = 0.55,
-                  within: list[str] | None = None) -> DataFrame:
+                  within: list[str] | None = None, dense: bool = False) -> DataFrame:
     """Exact pairs whose word sets have a Jaccard similarity of at least ``threshold``; both sides may be large.
 
     Texts with the same word set are compared once and get their results by a join, so copies cost no pairs of
@@ -105,16 +105,34 @@ def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str
     Words that ``b`` lacks are only counted, and a set with fewer than ``ceil(t * n)`` others is left out; what is left of
     each side is made once and stored, as making words costs more than all that follows.
     ``within`` limits pairs to equal values of those columns.
+    ``dense`` is for sides whose texts have many partners each: pairs of sets of at most ``MAX_PARTS`` parts are listed where
+    both meet and never travel; only pairs with a larger set come from the prefix filter. The rows are the same.
     """
     within = within or []
 
     def word_sets(df: DataFrame, key: str) -> DataFrame:
         return df.select(*within, F.col(key), X.word_set(F.col(text)).alias("words"))
 
+    a, b = word_sets(a, key_a), word_sets(b, key_b)
+    if not dense:
+        return _rare_pairs(a, b, key_a, key_b, threshold, within)
+    a, b = (stored(d, "words").where(F.size("words") > 0) for d in (a, b))
+    longest, n = _longest(threshold), F.size("words")
+    short = _dense_pairs(a.where(n <= longest), b.where(n <= longest), key_a, key_b, threshold, within, longest)
+    if all(d.where(n > longest).isEmpty() for d in (a, b)):
+        return short
+    long = [d.where(n >= _least_partner(threshold, longest)).select(*within, F.struct(F.col(key).alias("key"), n.alias("n")).alias(side), "words")
+            for d, key, side in ((a, key_a, "a"), (b, key_b, "b"))]
+    met = _rare_pairs(*long, "a", "b", threshold, within).where(F.greatest("a.n", "b.n") > longest)
+    return short.unionByName(met.select(*within, F.col("a.key").alias(key_a), F.col("b.key").alias(key_b), "similarity"))
+
+
+def _rare_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, threshold: float, within: list[str]) -> DataFrame:
+    """``similar_texts`` of word sets by the prefix filter."""
     def least(n: Column) -> Column:
         return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
 
-    common_in_b = _commonness(word_sets(b, key_b))
+    common_in_b = _commonness(b)
 
     def sets(df: DataFrame, key: str) -> DataFrame:
         def known(words: Column) -> Column:
@@ -123,7 +141,7 @@ def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str
 
         # in one generator: a filter on the set would be pushed below it and make every set twice
         fit = F.filter(F.transform(F.array("words"), known), lambda x: F.size(x["known"]) >= F.greatest(least(x["n"]), F.lit(1)))
-        return (word_sets(df, key).select(*within, key, F.inline(fit))
+        return (df.select(*within, key, F.inline(fit))
                 .withColumn("words", F.transform(F.array_sort("known"), lambda x: x["w"])).drop("known")
                 .withColumn("sid", F.unhex(F.sha2(F.concat_ws(" ", F.col("n").cast("string"), F.array_join("words", " ")), 256))))
 
@@ -154,9 +172,91 @@ def similar_texts(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str
             .select(*within, key_a, key_b, "similarity"))
 
 
-#: Parts of one word set that ``text_links`` may count by; larger sets are compared in pairs.
+#: Parts of one word set that texts may be listed or counted by; larger sets are compared in pairs.
 MAX_PARTS = 128
 
+#: Pairs that one task should list of one part; a part with more is dealt to a grid of tasks.
+TASK_PAIRS = 1 << 26
+
+
+def _longest(threshold: float) -> int:
+    """Words of the longest sets that have at most ``MAX_PARTS`` parts, 40 at most."""
+    longest = 0
+    while sum(math.comb(longest + 1, j) for j in range(int((longest + 1) * (1 - threshold) + 1e-9) + 1)) <= MAX_PARTS and longest < 40:
+        longest += 1
+    return longest
+
+
+def _least_partner(threshold: float, longest: int) -> int:
+    """Words that a set similar to one of more than ``longest`` words must have."""
+    return min(k for m in range(1, longest + 2) if (k := _least_common(longest + 1, m, threshold)) <= m)
+
+
+def _in_every(sets: DataFrame) -> list[str]:
+    """The words that every set has."""
+    one = sets.select("words").first()
+    if one is None:
+        return []
+    held = sets.select(*[F.every(F.array_contains("words", w)) for w in one["words"]]).first()
+    return [w for w, every in zip(one["words"], held) if every]
+
+
+def _dense_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, threshold: float, within: list[str], longest: int) -> DataFrame:
+    """``similar_texts`` of word sets of at most ``longest`` words, each pair listed where the parts of both that are just their
+    common words meet.
+
+    A part is a set without up to ``n - ceil(t * n)`` of its words, named by the exclusive or of 64 and 32 bits a word. Two
+    sets may share several parts, but what both have lost is without a common word at one only, and there the similarity is
+    known. So no pair is met twice, checked by its words or sent on. Words that every set of the other side has are never lost.
+    """
+    lose = [n - next((k for k in range(1, n + 1) if k / n >= threshold), n) for n in range(longest + 1)]
+
+    def parts(sets: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        every = _in_every(other)
+
+        def hashed(words: Column) -> Column:
+            return F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("_h"), F.hash(w).alias("_g")))
+
+        def without(x: Column, i: Column) -> Column:
+            w = F.element_at("_may", i)
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(w["_h"], F.lit(64)).cast("int"))
+            return F.struct(x["_h"].bitwiseXOR(w["_h"]).alias("_h"), x["_g"].bitwiseXOR(w["_g"]).alias("_g"), F.concat(x["_lost"], F.array(w["_h"])).alias("_lost"),
+                            x["_bits"].bitwiseOR(bit).alias("_bits"), (i + 1).alias("_next"))
+
+        def fewer(level: Column) -> Column:
+            return F.flatten(F.transform(level, lambda x: F.transform(F.when(x["_next"] <= F.size("_may"), F.sequence(x["_next"], F.size("_may"))).otherwise(
+                F.array().cast("array<int>")), lambda i: without(x, i))))
+        rows = sets.select(*within, F.col(key_a if side == "a" else key_b), F.size("words").alias("_n"), hashed(F.col("words")).alias("_all"),
+                           hashed(F.filter("words", lambda w: ~w.isin(every)) if every else F.col("words")).alias("_may"))
+        whole = F.aggregate("_all", F.struct(F.lit(0).cast("bigint").alias("_h"), F.lit(0).alias("_g")), lambda s, w: F.struct(
+            s["_h"].bitwiseXOR(w["_h"]).alias("_h"), s["_g"].bitwiseXOR(w["_g"]).alias("_g")),
+            lambda s: F.struct(s["_h"].alias("_h"), s["_g"].alias("_g"), F.array().cast("array<bigint>").alias("_lost"), F.lit(0).cast("bigint").alias("_bits"), F.lit(1).alias("_next")))
+        level = F.array(whole)
+        levels = [level]
+        for lost in range(1, max(lose) + 1):
+            level = fewer(level)
+            levels.append(F.when(F.element_at(F.lit(lose), F.col("_n") + 1) >= lost, level).otherwise(F.slice(levels[0], 1, 0)))
+        return (rows.select(*within, key_a if side == "a" else key_b, "_n", F.inline(F.flatten(F.array(*levels)))).drop("_next")
+                .withColumnsRenamed({x: f"{x}_{side}" for x in ("_n", "_lost", "_bits")}))
+
+    pa, pb = parts(a, b, "a"), parts(b, a, "b")
+    bucket = F.pmod(F.col("_h"), F.lit(WORD_BUCKETS)).alias("_bucket")
+    counts = (pa.select(bucket, F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(pb.select(bucket, F.lit(0).alias("a"), F.lit(1).alias("b")))
+              .groupBy("_bucket").agg((F.sum("a") * F.sum("b").cast("double") / F.lit(TASK_PAIRS)).alias("tasks")))
+    grids = [(r["_bucket"], math.ceil(math.sqrt(r["tasks"]))) for r in counts.where("tasks > 1").collect()]
+    if grids:
+        grid = F.broadcast(a.sparkSession.createDataFrame(grids, "_bucket bigint, _grid int"))
+
+        def dealt(p: DataFrame, key: str, own: str, other: str) -> DataFrame:
+            g = F.coalesce("_grid", F.lit(1))
+            return (p.withColumn("_bucket", bucket).join(grid, "_bucket", "left").withColumn(own, F.pmod(F.xxhash64(key), g).cast("int"))
+                    .withColumn(other, F.explode(F.sequence(F.lit(0), g - 1))).drop("_bucket", "_grid"))
+        pa, pb = dealt(pa, key_a, "_row", "_column"), dealt(pb, key_b, "_column", "_row")
+    common = F.col("_n_a") - F.size("_lost_a")
+    return (pa.join(by_shuffle(pb), [*within, "_h", "_g", *(["_row", "_column"] if grids else [])])
+            .where((F.col("_bits_a").bitwiseAND(F.col("_bits_b")) == 0) | ~F.arrays_overlap("_lost_a", "_lost_b"))
+            .select(*within, key_a, key_b, (common / (F.col("_n_a") + F.col("_n_b") - common)).alias("similarity")).where(F.col("similarity") >= threshold))
+
 
 def _least_common(n: int, m: int, threshold: float) -> int:
     """Words that sets of n and m words must share to be similar."""
@@ -191,9 +291,7 @@ def text_links(a: DataFrame, b: DataFrame, key: str, text: str = "text", thresho
     (-1)^(j-o) C(j-1, o-1) C(k, j) is 1 for k >= o and 0 below. So each set adds up counts of its own parts, weighted. Sets with more than
     ``MAX_PARTS`` parts meet in pairs, by ``similar_texts``. A text without words is a class of its own and has no link.
     """
-    longest = 0
-    while sum(math.comb(longest + 1, j) for j in range(int((longest + 1) * (1 - threshold) + 1e-9) + 1)) <= MAX_PARTS and longest < 40:
-        longest += 1
+    longest = _longest(threshold)
     words = F.array_sort(X.word_set(F.col(text)))
     rows = reduce(DataFrame.unionByName, [d.select(F.lit(side).alias("side"), F.col(key), words.alias("words")) for side, d in (("a", a), ("b", b))])
     rows = rows.withColumn("sid", F.when(F.size("words") > 0, F.unhex(F.sha2(F.array_join("words", " "), 256))))
@@ -210,8 +308,7 @@ def text_links(a: DataFrame, b: DataFrame, key: str, text: str = "text", thresho
             .withColumn("side", F.when(F.col("side") == "a", "b").otherwise("a")))
     counted = (parts.join(by_shuffle(held), ["side", "part"]).join(weights, ["n", "n_other", "j"])
                .select("side", "sid", (F.col("weight") * F.col("held")).alias("links")))
-    least = min(k for m in range(1, longest + 2) if (k := _least_common(longest + 1, m, threshold)) <= m)  # also of a partner of a longer set
-    long = sets.where(F.col("n") >= least).select("side", F.struct("sid", "m", "n").alias("set"), F.array_join("words", " ").alias("text"))
+    long = sets.where(F.col("n") >= _least_partner(threshold, longest)).select("side", F.struct("sid", "m", "n").alias("set"), F.array_join("words", " ").alias("text"))
     met = similar_texts(long.where("side = 'a'").withColumnRenamed("set", "a"), long.where("side = 'b'").withColumnRenamed("set", "b"), "a", "b",
                         threshold=threshold).where(F.greatest("a.n", "b.n") > longest)
     paired = met.select(F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("a.sid").alias("sid"), F.col("b.m").alias("links")),
